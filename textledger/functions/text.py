@@ -15,18 +15,14 @@ def _blanks() -> Column:
 def trimmed_bytes(text: Column) -> Column:
     """Bytes left after trimming white space from both ends; NULL for NULL.
 
-    `rtrim` with a character set walks the whole string, so the common case looks at the last 64
-    characters only. If those are all blank the whole string is trimmed, so the answer is exact.
+    Trimming a set of characters from the right walks the whole string. As a rule the last 64
+    characters are not all blank; then trimming those tells how many bytes go. Exact either way.
     """
     tail = F.substring(text, -64, 64)
-    kept_tail = F.octet_length(F.rtrim(tail, _blanks()))
-    leading = F.octet_length(text) - F.octet_length(F.ltrim(text, _blanks()))
-    trailing = F.when(kept_tail > 0, F.octet_length(tail) - kept_tail).otherwise(
-        F.octet_length(text) - F.octet_length(F.rtrim(text, _blanks()))
-    )
-    left = F.octet_length(text) - leading - trailing
-    # An all-blank text is counted from both ends, which would go below zero.
-    return F.when(left < 0, F.lit(0)).otherwise(left)
+    kept = F.octet_length(F.rtrim(tail, _blanks()))
+    return F.when(
+        kept > 0, F.octet_length(F.ltrim(text, _blanks())) - F.octet_length(tail) + kept
+    ).otherwise(F.octet_length(F.btrim(text, _blanks())))
 
 
 def is_substantial(text: Column) -> Column:
@@ -39,16 +35,11 @@ def is_blank(text: Column) -> Column:
     return F.octet_length(F.ltrim(text, _blanks())) == 0
 
 
-def wants_alternative(direct_bytes: Column) -> Column:
-    """The direct text is short enough to try the alternative extractor: under 50 trimmed bytes."""
+def is_short(direct_bytes: Column) -> Column:
+    """The alternative extractor is tried: under 50 trimmed bytes of direct text."""
     return direct_bytes < formats.SUBSTANTIAL_BYTES
 
 
-def prefers_alternative(direct_bytes: Column, alternative_bytes: Column) -> Column:
-    """The alternative text replaces the direct one: the latter is short and the former strictly longer."""
-    return F.coalesce(wants_alternative(direct_bytes) & (alternative_bytes > direct_bytes), F.lit(False))
-
-
 def page_label(number: Column, ocr: bool = False) -> Column:
     head, tail = (formats.OCR_PAGE_LABEL if ocr else formats.PAGE_LABEL).split("%d")
     return F.concat(F.lit(head), number.cast("string"), F.lit(tail))

@@ -1,32 +1,34 @@
-"""The extraction cascade: direct text, else alternative text, else OCR, else an error row."""
+"""The extraction cascade: direct text, else alternative text, else OCR, else an error row.
+
+Its conditions are kept small on purpose: when a query filters on an outcome, the optimizer copies them
+into the filter.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textledger import formats
-from textledger.functions.text import prefers_alternative, trimmed_bytes
+from textledger.functions.text import is_short, trimmed_bytes
 
 OUTCOME = ["extraction_method", "extracted_text", "page_count", "success", "error_message"]
 
+_ROUTES = {"direct_text", "direct_pages", "direct_error", "alt_text", "ocr_text", "ocr_pages", "ocr_error"}
 
-def needs_ocr(direct_text: Column, direct_bytes: Column) -> Column:
-    """The direct route gave no text, or not more than 50 trimmed bytes of it."""
-    return direct_text.isNull() | (direct_bytes <= formats.SUBSTANTIAL_BYTES)
 
+def direct_choice(direct: Column, alternative: Column) -> Column:
+    """Direct text, or the alternative one if the former is short and the latter strictly longer (trimmed)."""
+    direct_bytes = trimmed_bytes(direct)
+    return F.when(is_short(direct_bytes) & (trimmed_bytes(alternative) > direct_bytes), alternative).otherwise(direct)
 
-def with_direct_choice(candidates: DataFrame) -> DataFrame:
-    """Settle direct against alternative text: adds `chosen_text` and `chosen_bytes` (trimmed)."""
-    measured = candidates.withColumn("direct_bytes", trimmed_bytes(F.col("direct_text")))
-    measured = measured.withColumn(
-        "alt_bytes",
-        F.when(F.col("direct_bytes") < formats.SUBSTANTIAL_BYTES, trimmed_bytes(F.col("alt_text"))),
-    )
-    alternative = prefers_alternative(F.col("direct_bytes"), F.col("alt_bytes"))
-    return measured.select(
-        *candidates.columns,
-        F.when(alternative, F.col("alt_text")).otherwise(F.col("direct_text")).alias("chosen_text"),
-        F.when(alternative, F.col("alt_bytes")).otherwise(F.col("direct_bytes")).alias("chosen_bytes"),
-    )
+
+def stands_alone(direct: Column, alternative: Column) -> Column:
+    """The choice of the two has more than 50 trimmed bytes, so no OCR is needed; never NULL.
+
+    Exactly 50 bytes of direct text are neither short nor enough.
+    """
+    direct_bytes, enough = trimmed_bytes(direct), formats.SUBSTANTIAL_BYTES
+    stands = (direct_bytes > enough) | (is_short(direct_bytes) & (trimmed_bytes(alternative) > enough))
+    return F.coalesce(stands, F.lit(False))
 
 
 def cascade(candidates: DataFrame, text_only: bool = False, ocr_only: bool = False) -> DataFrame:
@@ -35,47 +37,35 @@ def cascade(candidates: DataFrame, text_only: bool = False, ocr_only: bool = Fal
     Candidates hold `direct_text`, `direct_pages`, `direct_error`, `alt_text`, `ocr_text`, `ocr_pages` and
     `ocr_error`; a text is NULL when its route failed or was not taken. All other columns pass through.
     """
-    passed = [name for name in candidates.columns if name not in _ROUTES]
-    if ocr_only:
-        settled = candidates.withColumns(
-            {"chosen_text": F.lit(None).cast("string"), "chosen_bytes": F.lit(None).cast("int")}
-        )
-    else:
-        settled = with_direct_choice(candidates)
-
-    chosen = F.col("chosen_text")
-    ocr_text = F.lit(None).cast("string") if text_only else F.col("ocr_text")
+    nothing = F.lit(None).cast("string")
+    direct = nothing if ocr_only else F.col("direct_text")
+    ocr = nothing if text_only else F.col("ocr_text")
     ocr_error = F.lit(formats.OCR_DISABLED) if text_only else F.coalesce("ocr_error", F.lit(""))
     if ocr_only:
+        stands = F.lit(False)
         message = F.concat(F.lit(formats.OCR_ONLY_FAILED), ocr_error)
     else:
-        message = F.concat(
-            F.lit(formats.DIRECT_PART),
-            F.coalesce("direct_error", F.lit("")),
-            F.lit(formats.OCR_PART),
-            ocr_error,
-        )
-    method = (
-        F.when(~needs_ocr(chosen, F.col("chosen_bytes")), formats.DIRECT)
-        .when(ocr_text.isNotNull(), formats.OCR)
-        .when(chosen.isNotNull(), formats.DIRECT_PARTIAL)
-        .otherwise(formats.ERROR)
-    )
-    decided = settled.withColumn("extraction_method", method)
+        stands = stands_alone(direct, F.col("alt_text"))
+        direct_error = F.coalesce("direct_error", F.lit(""))
+        message = F.concat(F.lit(formats.DIRECT_PART), direct_error, F.lit(formats.OCR_PART), ocr_error)
+
+    passed = [name for name in candidates.columns if name not in _ROUTES]
+    decided = candidates.withColumn("stands", stands)
+    taken = F.when(F.col("stands"), formats.DIRECT).when(ocr.isNotNull(), formats.OCR)
 
-    def by_method(ocr, error, direct) -> Column:
-        taken = F.col("extraction_method")
-        return F.when(taken == formats.OCR, ocr).when(taken == formats.ERROR, error).otherwise(direct)
+    def by_route(of_ocr: Column, of_direct: Column, of_error: Column) -> Column:
+        return (
+            F.when(~F.col("stands") & ocr.isNotNull(), of_ocr).when(direct.isNotNull(), of_direct).otherwise(of_error)
+        )
 
-    failed = F.col("extraction_method") == formats.ERROR
+    failed = direct.isNull() & ocr.isNull()
     return decided.select(
         *passed,
-        "extraction_method",
-        by_method(ocr_text, F.lit(""), chosen).alias("extracted_text"),
-        by_method(F.col("ocr_pages"), F.lit(0), F.col("direct_pages")).cast("int").alias("page_count"),
+        taken.when(direct.isNotNull(), formats.DIRECT_PARTIAL).otherwise(formats.ERROR).alias("extraction_method"),
+        by_route(ocr, direct if ocr_only else direct_choice(direct, F.col("alt_text")), F.lit("")).alias(
+            "extracted_text"
+        ),
+        by_route(F.col("ocr_pages"), F.col("direct_pages"), F.lit(0)).cast("int").alias("page_count"),
         (~failed).alias("success"),
         F.when(failed, message).alias("error_message"),
     )
-
-
-_ROUTES = {"direct_text", "direct_pages", "direct_error", "alt_text", "ocr_text", "ocr_pages", "ocr_error"}

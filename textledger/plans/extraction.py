@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from textledger import formats
 from textledger.functions.decoders import Decoder, poppler_text, tesseract_ocr
 from textledger.functions.fingerprint import fingerprint
-from textledger.functions.text import trimmed_bytes
-from textledger.operators.cascade import cascade, needs_ocr, with_direct_choice
+from textledger.functions.text import is_short, trimmed_bytes
+from textledger.operators.cascade import cascade, stands_alone
 from textledger.operators.pages import assemble_array
 from textledger.operators.versions import pending
 from textledger.sources.files import read_files, scan_files
@@ -58,17 +58,12 @@ def decode_candidates(
             "direct_error": F.coalesce("direct.error", too_large),
         }
     )
-    is_short = trimmed_bytes(F.col("direct_text")) < formats.SUBSTANTIAL_BYTES
-    rows = run(rows, "alternative", None if ocr_only else alternative, is_short).withColumn(
+    wanted = is_short(trimmed_bytes(F.col("direct_text")))
+    rows = run(rows, "alternative", None if ocr_only else alternative, wanted).withColumn(
         "alt_text", F.array_join("alternative.pages", "")
     )
-    if ocr_only:
-        rows = rows.withColumn("to_ocr", F.lit(True))
-    else:
-        rows = with_direct_choice(rows).withColumn(
-            "to_ocr", needs_ocr(F.col("chosen_text"), F.col("chosen_bytes"))
-        )
-    rows = run(rows, "ocr", None if text_only else ocr, F.col("to_ocr"))
+    to_ocr = F.lit(True) if ocr_only else ~stands_alone(F.col("direct_text"), F.col("alt_text"))
+    rows = run(rows, "ocr", None if text_only else ocr, to_ocr)
     no_images = F.size("ocr.pages") == 0
     seconds = [F.coalesce(f"{route}.seconds", F.lit(0.0)) for route in ["direct", "alternative", "ocr"]]
     return rows.select(

@@ -27,30 +27,33 @@ def scan_files(
     Files gone by the time they are read are left out; `skip_unreadable` extends that to read errors,
     which otherwise fail the task and are retried. Names that start with `_` or `.` are not seen.
     """
-    listed = _reader(spark, suffix, skip_unreadable).load(folder)
-    readable = listed.where(F.col("length") <= MAX_CONTENT_BYTES)
-    # The length filters reach the scan, so neither branch opens a file of the other.
-    oversized = listed.where(F.col("length") > MAX_CONTENT_BYTES).select(
-        "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content")
-    )
-    files = readable.select(*FILES.names).unionByName(oversized)
+    listed = _reader(spark, skip_unreadable).option("pathGlobFilter", f"*.{suffix}").load(folder)
+    files = _with_content(listed)
     return files.unionByName(_empty_files(listed)) if empty_files else files
 
 
 def read_files(spark: SparkSession, paths: list[str], skip_unreadable: bool = False) -> DataFrame:
     """The files at the given paths only; for short lists, as every path passes through the driver."""
     escaped = [re.sub(r"([\\\[\]{}*?])", r"\\\1", path) for path in paths]
-    return _reader(spark, None, skip_unreadable).load(escaped).select(*FILES.names)
+    return _with_content(_reader(spark, skip_unreadable).load(escaped))
+
+
+def _with_content(listed: DataFrame) -> DataFrame:
+    # The length filters reach the scan, so neither branch opens a file of the other.
+    readable = listed.where(F.col("length") <= MAX_CONTENT_BYTES)
+    oversized = listed.where(F.col("length") > MAX_CONTENT_BYTES).select(
+        "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content")
+    )
+    return readable.select(*FILES.names).unionByName(oversized)
 
 
-def _reader(spark: SparkSession, suffix: str | None, skip_unreadable: bool):
-    reader = (
+def _reader(spark: SparkSession, skip_unreadable: bool):
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("ignoreMissingFiles", "true")
         .option("ignoreCorruptFiles", str(skip_unreadable).lower())
     )
-    return reader.option("pathGlobFilter", f"*.{suffix}") if suffix else reader
 
 
 def _empty_files(listed: DataFrame) -> DataFrame:

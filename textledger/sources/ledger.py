@@ -83,9 +83,11 @@ def write_batch(
     elif not unique and not _repeated_keys(rows).isEmpty():
         raise ValueError("a batch holds several rows of one key; name the column that orders them as sequence")
     counts = Observation()
-    batch = conform(rows.withColumn("timestamp", load_time(loaded_at))).observe(counts, *summary_counts())
+    batch = conform(rows.withColumn("timestamp", load_time(loaded_at)))
     # Texts of all sizes come from very many small inputs: even them out into files of sensible size.
-    batch.hint("rebalance", "file_path").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    # Counting comes after that shuffle, in the tasks that write, so that a repeated map task adds nothing.
+    counted = batch.hint("rebalance", "file_path").observe(counts, *summary_counts())
+    counted.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return counts.get
 
 
