@@ -8,26 +8,34 @@ from pyspark.sql import functions as F
 from textledger import formats
 
 
+_PREFIX_CHARS = 256
+
+
 def _blanks() -> Column:
     return F.lit(formats.WHITE_SPACE)
 
 
 def trimmed_bytes(text: Column) -> Column:
-    """Bytes left after trimming white space from both ends; NULL for NULL.
+    """Bytes left after trimming white space from both ends; NULL for NULL."""
+    return F.octet_length(F.btrim(text, _blanks()))
 
-    Trimming a set of characters from the right walks the whole string. As a rule the last 64
-    characters are not all blank; then trimming those tells how many bytes go. Exact either way.
-    """
-    tail = F.substring(text, -64, 64)
-    kept = F.octet_length(F.rtrim(tail, _blanks()))
-    return F.when(
-        kept > 0, F.octet_length(F.ltrim(text, _blanks())) - F.octet_length(tail) + kept
-    ).otherwise(F.octet_length(F.btrim(text, _blanks())))
+
+def _prefix_bytes(text: Column) -> Column:
+    # Never more than `trimmed_bytes(text)`; settles most comparisons with a small number without a
+    # walk through the whole text.
+    return trimmed_bytes(F.substring(text, 1, _PREFIX_CHARS))
 
 
 def is_substantial(text: Column) -> Column:
     """The text stands on its own: more than 50 trimmed bytes."""
-    return trimmed_bytes(text) > formats.SUBSTANTIAL_BYTES
+    enough = formats.SUBSTANTIAL_BYTES
+    return (_prefix_bytes(text) > enough) | (trimmed_bytes(text) > enough)
+
+
+def is_short(text: Column) -> Column:
+    """The alternative extractor is tried: under 50 trimmed bytes of direct text."""
+    enough = formats.SUBSTANTIAL_BYTES
+    return (_prefix_bytes(text) < enough) & (trimmed_bytes(text) < enough)
 
 
 def is_blank(text: Column) -> Column:
@@ -35,11 +43,6 @@ def is_blank(text: Column) -> Column:
     return F.octet_length(F.ltrim(text, _blanks())) == 0
 
 
-def is_short(direct_bytes: Column) -> Column:
-    """The alternative extractor is tried: under 50 trimmed bytes of direct text."""
-    return direct_bytes < formats.SUBSTANTIAL_BYTES
-
-
 def page_label(number: Column, ocr: bool = False) -> Column:
     head, tail = (formats.OCR_PAGE_LABEL if ocr else formats.PAGE_LABEL).split("%d")
     return F.concat(F.lit(head), number.cast("string"), F.lit(tail))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textledger import formats
-from textledger.functions.text import is_short, trimmed_bytes
+from textledger.functions.text import is_short, is_substantial, trimmed_bytes
 
 OUTCOME = ["extraction_method", "extracted_text", "page_count", "success", "error_message"]
 
@@ -17,8 +17,8 @@ _ROUTES = {"direct_text", "direct_pages", "direct_error", "alt_text", "ocr_text"
 
 def direct_choice(direct: Column, alternative: Column) -> Column:
     """Direct text, or the alternative one if the former is short and the latter strictly longer (trimmed)."""
-    direct_bytes = trimmed_bytes(direct)
-    return F.when(is_short(direct_bytes) & (trimmed_bytes(alternative) > direct_bytes), alternative).otherwise(direct)
+    longer = trimmed_bytes(alternative) > trimmed_bytes(direct)
+    return F.when(is_short(direct) & longer, alternative).otherwise(direct)
 
 
 def stands_alone(direct: Column, alternative: Column) -> Column:
@@ -26,8 +26,7 @@ def stands_alone(direct: Column, alternative: Column) -> Column:
 
     Exactly 50 bytes of direct text are neither short nor enough.
     """
-    direct_bytes, enough = trimmed_bytes(direct), formats.SUBSTANTIAL_BYTES
-    stands = (direct_bytes > enough) | (is_short(direct_bytes) & (trimmed_bytes(alternative) > enough))
+    stands = is_substantial(direct) | (is_short(direct) & is_substantial(alternative))
     return F.coalesce(stands, F.lit(False))
 
 

@@ -11,29 +11,38 @@ from pyspark.sql import functions as F
 from textledger.schema import KEY
 
 
-def current_versions(rows: DataFrame, versions: DataFrame | None = None, order: str = "batch_id") -> DataFrame:
-    """Rows that no later version of the same key replaces.
+def replaced_keys(versions: DataFrame, order: str = "batch_id") -> DataFrame:
+    """Keys written more than once, with the `order` of their newest version as `newest`.
 
-    `versions` is the full history when `rows` is only a part of it (filtered, or fewer columns): give
-    it `rows` already cut down to what is needed, keeping `KEY` and `order`, and text never has to move.
-    The history side is read as keys only, aggregated before its shuffle, and keeps only keys that
-    were written more than once, so it is small unless files are reprocessed en masse; at run time the
-    adaptive planner broadcasts it if it is, and splits a hot key's rows if it is not.
+    Reads keys only and aggregates them before the shuffle; small unless files are reprocessed en masse.
     """
-    history = rows if versions is None else versions
-    replaced = (
-        history.where(F.col("file_hash").isNotNull())
+    return (
+        versions.where(F.col("file_hash").isNotNull())
         .groupBy(*KEY)
         .agg(F.min(order).alias("oldest"), F.max(order).alias("newest"))
         .where("oldest < newest")
         .select(*[F.col(name).alias(f"replaced_{name}") for name in KEY], "newest")
     )
-    later = (
+
+
+def without_replaced(rows: DataFrame, replaced: DataFrame, order: str = "batch_id") -> DataFrame:
+    """`rows` without those that a newer version, told by `replaced_keys`, replaces."""
+    newer = (
         (F.col("file_path") == F.col("replaced_file_path"))
         & (F.col("file_hash") == F.col("replaced_file_hash"))
         & (F.col(order) < F.col("newest"))
     )
-    return rows.join(replaced, later, "left_anti")
+    return rows.join(replaced, newer, "left_anti")
+
+
+def current_versions(rows: DataFrame, versions: DataFrame | None = None, order: str = "batch_id") -> DataFrame:
+    """Rows that no later version of the same key replaces.
+
+    `versions` is the full history when `rows` is only a part of it (filtered, or fewer columns): give
+    `rows` cut down to what is needed, keeping `KEY` and `order`, and texts stay where they are. At run time
+    the adaptive planner broadcasts the replaced keys if they are few, and splits a hot key if not.
+    """
+    return without_replaced(rows, replaced_keys(rows if versions is None else versions, order), order)
 
 
 def upsert(versions: DataFrame, rows: DataFrame, batch_id: int, sequence: str | None = None) -> DataFrame:

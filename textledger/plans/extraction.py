@@ -8,18 +8,16 @@ from pyspark.sql import functions as F
 from textledger import formats
 from textledger.functions.decoders import Decoder, poppler_text, tesseract_ocr
 from textledger.functions.fingerprint import fingerprint
-from textledger.functions.text import is_short, trimmed_bytes
+from textledger.functions.text import is_short
 from textledger.operators.cascade import cascade, stands_alone
 from textledger.operators.pages import assemble_array
 from textledger.operators.versions import pending
 from textledger.sources.files import read_files, scan_files
 from textledger.sources.ledger import batch_ids, read_versions, write_batch
-from textledger.sources.shared import stored
+from textledger.sources.shared import stored_for_join
 
 # Paths that may go through the driver to be opened one by one.
 LISTED_PATHS = 10_000
-# Bytes of path text that may be broadcast.
-BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def with_fingerprint(files: DataFrame, full_hash: bool = False) -> DataFrame:
@@ -58,7 +56,7 @@ def decode_candidates(
             "direct_error": F.coalesce("direct.error", too_large),
         }
     )
-    wanted = is_short(trimmed_bytes(F.col("direct_text")))
+    wanted = is_short(F.col("direct_text"))
     rows = run(rows, "alternative", None if ocr_only else alternative, wanted).withColumn(
         "alt_text", F.array_join("alternative.pages", "")
     )
@@ -98,18 +96,18 @@ def pending_files(
     case, and only if the paths are too many to broadcast.
     """
     hashed = with_fingerprint(files, full_hash).select(F.col("path").alias("file_path"), "file_hash")
-    paths = stored(pending(hashed, versions).select(F.col("file_path").alias("path")), "pending")
-    number, size = paths.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("path")), F.lit(0))).first()
+    todo = pending(hashed, versions).select(F.col("file_path").alias("path"))
+    paths, number = stored_for_join(todo, "pending")
     if number == files.select("path").count():
         return files
     if number == 0:
         return files.where(F.lit(False))
     if number <= LISTED_PATHS:
-        sized = files.select("path", "modificationTime", "length").join(F.broadcast(paths), "path", "left_semi")
+        sized = files.select("path", "modificationTime", "length").join(paths, "path", "left_semi")
         empty = sized.where("length = 0").withColumn("content", F.lit(b""))
         listed = [row.path for row in sized.where("length > 0").select("path").collect()]
         return read_files(spark, listed, skip_unreadable).unionByName(empty) if listed else empty
-    return files.join(F.broadcast(paths) if size <= BROADCAST_BYTES else paths, "path", "left_semi")
+    return files.join(paths, "path", "left_semi")
 
 
 def run_extraction(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from textledger import formats
 from textledger.operators.queries import summary_counts
-from textledger.operators.versions import current_versions
+from textledger.operators.versions import current_versions, replaced_keys, without_replaced
 from textledger.schema import KEY, LEDGER, VERSIONS
+from textledger.sources.shared import stored_for_join
 
 
 def batch_ids(spark: SparkSession, path: str) -> list[int]:
@@ -29,11 +30,16 @@ def read_versions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The current row of every (file_path, file_hash)."""
+    """The current row of every (file_path, file_hash), texts included.
+
+    Which keys were rewritten is found and measured first: as long as they can be broadcast, the rows
+    themselves are only filtered.
+    """
     versions = read_versions(spark, path)
-    # With a single batch nothing can have been replaced.
-    current = current_versions(versions) if len(batch_ids(spark, path)) > 1 else versions
-    return current.drop("batch_id")
+    if len(batch_ids(spark, path)) < 2:  # nothing can have been replaced
+        return versions.drop("batch_id")
+    replaced, number = stored_for_join(replaced_keys(versions), "replaced")
+    return (without_replaced(versions, replaced) if number else versions).drop("batch_id")
 
 
 def load_time(moment: datetime | None = None) -> Column:

@@ -6,10 +6,15 @@ from collections.abc import Iterable
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 CHUNK_ROWS = 50_000
 
+# What may be broadcast: measured bytes of text plus an allowance per row.
+BROADCAST_BYTES = 32 * 1024 * 1024
+ROW_BYTES = 64
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that `spark.checkpoint.dir` names; a temporary one only where all runs on one machine."""
@@ -34,6 +39,15 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def stored_for_join(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """`rows` stored and counted; marked for broadcast if their measured size is small enough."""
+    table = stored(rows, name)
+    texts = [F.octet_length(field.name) for field in table.schema if isinstance(field.dataType, StringType)]
+    row_bytes = sum((F.coalesce(size, F.lit(0)) for size in texts), F.lit(ROW_BYTES))
+    number, size = table.agg(F.count("*"), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
+    return (F.broadcast(table) if size <= BROADCAST_BYTES else table), number
+
+
 def stored_chunks(spark: SparkSession, rows: Iterable[tuple], schema: StructType, name: str) -> DataFrame:
     """Rows that only the driver can produce, written chunk by chunk so that few are held at a time."""
     path = fresh_path(spark, name)
