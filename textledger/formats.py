@@ -40,7 +40,3 @@ OCR_PART = ", OCR: "
 # Text report.
 REPORT_TITLE = "PDF Text Extraction Results (Rust Edition)"
 RULE = "=" * 80
-
-# Timestamps are UTC without a zone; shown like this, and in JSON as RFC 3339.
-SHOWN_TIME = "yyyy-MM-dd HH:mm:ss"
-JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss'Z'"

@@ -58,7 +58,16 @@ def preview(text: Column) -> Column:
 
 
 def shown_time(timestamp: Column) -> Column:
-    return F.date_format(timestamp, formats.SHOWN_TIME)
+    """A zone-less timestamp as `YYYY-MM-DD HH:MM:SS`.
+
+    By cast: `date_format` would go through the session's zone, which lacks an hour in spring.
+    """
+    return F.left(timestamp.cast("string"), F.lit(19))
+
+
+def json_time(timestamp: Column) -> Column:
+    """A zone-less UTC timestamp as RFC 3339."""
+    return F.concat(F.translate(shown_time(timestamp), " ", "T"), F.lit("Z"))
 
 
 def like_regex(query: str) -> str:

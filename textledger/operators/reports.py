@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textledger import formats
-from textledger.functions.text import shown_time
+from textledger.functions.text import json_time, shown_time
 from textledger.operators.versions import current_versions
 from textledger.schema import LEDGER
 
@@ -65,7 +65,7 @@ def json_records(ledger: DataFrame, include_text: bool = False) -> DataFrame:
     names = [name for name in LEDGER.names if include_text or name != "extracted_text"]
     versioning = [name for name in ["batch_id"] if name in ledger.columns]
     rows = _current(ledger.select(*names, *versioning)).select(*names)
-    return rows.withColumn("timestamp", F.date_format("timestamp", formats.JSON_TIME))
+    return rows.withColumn("timestamp", json_time(F.col("timestamp")))
 
 
 def write_json(ledger: DataFrame, path: str, include_text: bool = False) -> None:
