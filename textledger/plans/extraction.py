@@ -92,22 +92,26 @@ def pending_files(
 
     The test itself runs on paths and hashes; its outcome is stored, and content is then fetched by the
     cheapest route its measured size allows: all files if nothing is done yet, the pending ones by name
-    if they are few, else a second scan against their paths. Content is shuffled only in that last
-    case, and only if the paths are too many to broadcast.
+    if they are few, else a second scan against their paths. That scan opens only files from the time
+    span of the pending ones, so new files cost no second look at old ones; content is shuffled
+    only if the paths are too many to broadcast.
     """
-    hashed = with_fingerprint(files, full_hash).select(F.col("path").alias("file_path"), "file_hash")
-    todo = pending(hashed, versions).select(F.col("file_path").alias("path"))
+    hashed = with_fingerprint(files, full_hash).select(
+        F.col("path").alias("file_path"), "file_hash", "modificationTime", "length"
+    )
+    todo = pending(hashed, versions).select(F.col("file_path").alias("path"), "modificationTime", "length")
     paths, number = stored_for_join(todo, "pending")
     if number == files.select("path").count():
         return files
-    if number == 0:
-        return files.where(F.lit(False))
     if number <= LISTED_PATHS:
-        sized = files.select("path", "modificationTime", "length").join(paths, "path", "left_semi")
-        empty = sized.where("length = 0").withColumn("content", F.lit(b""))
-        listed = [row.path for row in sized.where("length > 0").select("path").collect()]
+        listed = [row.path for row in paths.where("length > 0").select("path").collect()]
+        empty = paths.where("length = 0").withColumn("content", F.lit(b""))
         return read_files(spark, listed, skip_unreadable).unionByName(empty) if listed else empty
-    return files.join(paths, "path", "left_semi")
+    # As numbers: local times collected to Python are ambiguous when clocks go back.
+    micros = F.unix_micros("modificationTime")
+    first, last = paths.agg(F.min(micros), F.max(micros)).first()
+    in_span = F.col("modificationTime").between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last)))
+    return files.where(in_span).join(paths.select("path"), "path", "left_semi")
 
 
 def run_extraction(

@@ -39,9 +39,10 @@ def read_files(spark: SparkSession, paths: list[str], skip_unreadable: bool = Fa
 
 
 def _with_content(listed: DataFrame) -> DataFrame:
-    # The length filters reach the scan, so neither branch opens a file of the other.
+    # The first filter reaches the scan, which then opens no larger file; the second one picks files from
+    # the listing before there are any tasks.
     readable = listed.where(F.col("length") <= MAX_CONTENT_BYTES)
-    oversized = listed.where(F.col("length") > MAX_CONTENT_BYTES).select(
+    oversized = listed.where(F.col("_metadata.file_size") > MAX_CONTENT_BYTES).select(
         "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content")
     )
     return readable.select(*FILES.names).unionByName(oversized)

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructType
 CHUNK_ROWS = 50_000
 
 # What may be broadcast: measured bytes of text plus an allowance per row.
-BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_BYTES = 128 * 1024 * 1024
 ROW_BYTES = 64
 
 
