@@ -4,7 +4,6 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from textledger.sources import files as source
 from textledger.sources.files import read_files, scan_files
 
 SIZES = {"b.pdf": 10, "c.pdf": 1024, "sub/deep/g.pdf": 3, "k=v/h.pdf": 4, "sp ace%20+.pdf": 5, "q[1]{a}*.pdf": 6}
@@ -66,9 +65,8 @@ def test_listing_reads_no_content(spark, folder):
     assert set(re.findall(r"ReadSchema: (\S+)", plan)) == {"struct<path:string,length:bigint>"}
 
 
-def test_oversized_files_have_no_content(spark, folder, monkeypatch):
-    monkeypatch.setattr(source, "MAX_CONTENT_BYTES", 1000)
-    rows = scan_files(spark, str(folder)).where(F.col("content").isNull()).collect()
+def test_oversized_files_have_no_content(spark, folder):
+    rows = scan_files(spark, str(folder), max_file_bytes=1000).where(F.col("content").isNull()).collect()
     assert [(os.path.basename(row.path), row.length) for row in rows] == [("c.pdf", 1024)]
 
 

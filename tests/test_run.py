@@ -87,6 +87,16 @@ def test_modes_and_failures(spark, folder, tmp_path):
     assert outcome(spark, ledger)["a.pdf"].error_message == "Direct: Failed to load PDF document, OCR: OCR disabled (text-only mode)"
 
 
+def test_files_too_large_wait_for_a_run_that_may_hold_them(spark, folder, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    (folder / "a.pdf").unlink()
+    assert run(spark, folder, ledger, max_file_bytes=30) == {"processed": 3, "successful": 2, "failed": 1}
+    assert "larger" in outcome(spark, ledger)["b.pdf"].error_message
+    assert run(spark, folder, ledger, max_file_bytes=30) == {"processed": 1, "successful": 0, "failed": 1}
+    assert run(spark, folder, ledger) == {"processed": 1, "successful": 1, "failed": 0}
+    assert run(spark, folder, ledger)["processed"] == 0
+
+
 def test_no_documents_no_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     assert run(spark, tmp_path / "in", str(tmp_path / "ledger"))["processed"] == 0

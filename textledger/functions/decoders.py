@@ -50,13 +50,17 @@ def python_decoder(decode: Callable[[bytes], list[str | None]], failure: str | N
     return udf.asNondeterministic()
 
 
+# Spark's UTF-8 check counts up to three bytes for a faulty one, in a 32-bit number.
+_CHECKED_BYTES = 700_000_000
+
+
 def form_feed_text(content: Column) -> Column:
     """Native decoder for UTF-8 text whose pages are separated by form feeds; runs without Python."""
-    text = F.try_validate_utf8(content.cast("string"))
-    loaded = text.isNotNull() & (F.octet_length(content) > 0)
+    checked = F.when(F.octet_length(content).between(1, _CHECKED_BYTES), content)
+    text = F.try_validate_utf8(checked.cast("string"))
     decoded = F.struct(
-        F.when(loaded, F.split(text, "\f")).alias("pages"),
-        F.when(~loaded, F.lit(formats.LOAD_FAILED)).alias("error"),
+        F.split(text, "\f").alias("pages"),
+        F.when(text.isNull(), F.lit(formats.LOAD_FAILED)).alias("error"),
         F.lit(0.0).alias("seconds"),
     )
     return F.when(content.isNotNull(), decoded)

@@ -67,7 +67,8 @@ def list_files(
     if not include_failed:
         rows = rows.where("success")
     rows = _current(rows, ledger).withColumn("timestamp", shown_time(F.col("timestamp"))).drop("batch_id")
-    return rows.orderBy("file_path", "file_hash") if ordered else rows
+    # Time lets rows of one path with a NULL hash be cut into several ranges.
+    return rows.orderBy("file_path", "file_hash", "timestamp") if ordered else rows
 
 
 def run_summary(versions: DataFrame, batch_id: int) -> DataFrame:

@@ -11,48 +11,50 @@ from pyspark.sql import functions as F
 from textledger.schema import KEY
 
 
-def replaced_keys(versions: DataFrame, order: str = "batch_id") -> DataFrame:
-    """Keys written more than once, with the `order` of their newest version as `newest`.
+def replaced_rows(versions: DataFrame) -> DataFrame:
+    """`KEY` and `batch_id` of every row that a later batch replaces.
 
-    Reads keys only and aggregates them before the shuffle; small unless files are reprocessed en masse.
+    Reads keys only and gathers the batches of a key before the shuffle, so a key that very many rows share
+    arrives as a few short lists; a list is never longer than the number of batches. The result is
+    small unless files are reprocessed en masse.
     """
-    return (
-        versions.where(F.col("file_hash").isNotNull())
-        .groupBy(*KEY)
-        .agg(F.min(order).alias("oldest"), F.max(order).alias("newest"))
-        .where("oldest < newest")
-        .select(*[F.col(name).alias(f"replaced_{name}") for name in KEY], "newest")
-    )
+    written = versions.where(F.col("file_hash").isNotNull()).groupBy(*KEY).agg(F.collect_set("batch_id").alias("batches"))
+    all_but_last = F.slice(F.sort_array("batches"), F.lit(1), F.size("batches") - 1)
+    return written.where(F.size("batches") > 1).select(*KEY, F.explode(all_but_last).alias("batch_id"))
 
 
-def without_replaced(rows: DataFrame, replaced: DataFrame, order: str = "batch_id") -> DataFrame:
-    """`rows` without those that a newer version, told by `replaced_keys`, replaces."""
-    newer = (
-        (F.col("file_path") == F.col("replaced_file_path"))
-        & (F.col("file_hash") == F.col("replaced_file_hash"))
-        & (F.col(order) < F.col("newest"))
-    )
-    return rows.join(replaced, newer, "left_anti")
+def without_replaced(rows: DataFrame, replaced: DataFrame) -> DataFrame:
+    """`rows` without those in `replaced_rows`. The batch is part of the join key: a hot key's rows spread out."""
+    return rows.join(replaced, [*KEY, "batch_id"], "left_anti")
 
 
-def current_versions(rows: DataFrame, versions: DataFrame | None = None, order: str = "batch_id") -> DataFrame:
-    """Rows that no later version of the same key replaces.
+def current_versions(rows: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """Rows that no later batch replaces.
 
     `versions` is the full history when `rows` is only a part of it (filtered, or fewer columns): give
-    `rows` cut down to what is needed, keeping `KEY` and `order`, and texts stay where they are. At run time
-    the adaptive planner broadcasts the replaced keys if they are few, and splits a hot key if not.
+    `rows` cut down to what is needed, keeping `KEY` and `batch_id`, and texts stay where they are. At run
+    time the adaptive planner broadcasts the replaced rows' keys if they are few.
     """
-    return without_replaced(rows, replaced_keys(rows if versions is None else versions, order), order)
+    return without_replaced(rows, replaced_rows(rows if versions is None else versions))
+
+
+def last_in_sequence(rows: DataFrame, sequence: str) -> DataFrame:
+    """Of the rows of each key the one with the greatest `sequence`; all rows with a NULL hash.
+
+    The sequence is part of the join key for the same reason, and the greatest one is found from keys alone.
+    """
+    last = rows.where(F.col("file_hash").isNotNull()).groupBy(*KEY).agg(F.max(sequence).alias(sequence))
+    return rows.where(F.col("file_hash").isNull()).unionByName(rows.join(last, [*KEY, sequence], "left_semi").select(rows.columns))
 
 
 def upsert(versions: DataFrame, rows: DataFrame, batch_id: int, sequence: str | None = None) -> DataFrame:
     """The history after `rows` are written as batch `batch_id`; `current_versions` reads the outcome.
 
-    `sequence` names a column that orders writes inside the batch (the greatest wins); without it each
+    `sequence` names a column that numbers writes inside the batch (the last one wins); without it each
     key must occur once in `rows`.
     """
     if sequence is not None:
-        rows = current_versions(rows, order=sequence).drop(sequence)
+        rows = last_in_sequence(rows, sequence).drop(sequence)
     return versions.unionByName(rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")))
 
 

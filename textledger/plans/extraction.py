@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textledger import formats
-from textledger.functions.decoders import Decoder, poppler_text, tesseract_ocr
+from textledger.functions.decoders import DECODED, Decoder, poppler_text, tesseract_ocr
 from textledger.functions.fingerprint import fingerprint
-from textledger.functions.text import is_short
+from textledger.functions.text import is_short, is_substantial
 from textledger.operators.cascade import cascade, stands_alone
 from textledger.operators.pages import assemble_array
 from textledger.operators.versions import pending
@@ -16,6 +16,8 @@ from textledger.sources.files import read_files, scan_files
 from textledger.sources.ledger import batch_ids, read_versions, write_batch
 from textledger.sources.shared import stored_for_join
 
+TOO_LARGE = "File is larger than this run may hold in memory"
+
 # Paths that may go through the driver to be opened one by one.
 LISTED_PATHS = 10_000
 
@@ -37,31 +39,35 @@ def decode_candidates(
     """Candidate rows of the cascade, in one pass over the content and without a shuffle.
 
     Each decoder sees the content only of files that need it: the alternative one those whose direct text
-    is short, OCR those whose text then is not substantial. For all others its input is NULL.
+    is short, OCR those whose text then is not substantial. For all others its input is NULL, and content
+    leaves the row as soon as no later decoder can want it.
     """
     rows = with_fingerprint(files, full_hash).withColumnRenamed("path", "file_path")
-    too_large = F.when(F.col("content").isNull(), F.lit("File is larger than one row can hold"))
-    content = F.col("content")
+    rows = rows.withColumn("too_large", F.when(F.col("content").isNull(), F.lit(TOO_LARGE)))
+    content, direct_text, alt_text = F.col("content"), F.col("direct_text"), F.col("alt_text")
+
+    def run(rows: DataFrame, name: str, decoder: Decoder | None, source: Column) -> DataFrame:
+        return rows.withColumn(name, decoder(source) if decoder else F.lit(None).cast(DECODED))
 
-    def run(rows: DataFrame, name: str, decoder: Decoder | None, needed: Column) -> DataFrame:
-        if decoder is None:
-            nothing = F.lit(None).cast("struct<pages: array<string>, error: string, seconds: double>")
-            return rows.withColumn(name, nothing)
-        return rows.withColumn(name, decoder(F.when(needed, content)))
+    def keep_content(rows: DataFrame, needed: Column) -> DataFrame:
+        return rows.withColumn("content", F.when(needed, content))
 
-    rows = run(rows, "direct", None if ocr_only else direct, F.lit(True)).withColumns(
+    rows = run(rows, "direct", None if ocr_only else direct, content).withColumns(
         {
             "direct_text": assemble_array(F.col("direct.pages")),
             "direct_pages": F.size("direct.pages"),
-            "direct_error": F.coalesce("direct.error", too_large),
+            "direct_error": F.coalesce("direct.error", "too_large"),
         }
     )
-    wanted = is_short(F.col("direct_text"))
-    rows = run(rows, "alternative", None if ocr_only else alternative, wanted).withColumn(
-        "alt_text", F.array_join("alternative.pages", "")
-    )
-    to_ocr = F.lit(True) if ocr_only else ~stands_alone(F.col("direct_text"), F.col("alt_text"))
-    rows = run(rows, "ocr", None if text_only else ocr, to_ocr)
+    if ocr_only:
+        rows = run(rows, "alternative", None, content).withColumn("alt_text", F.lit(None).cast("string"))
+    else:
+        rows = keep_content(rows, ~F.coalesce(is_substantial(direct_text), F.lit(False)))
+        rows = run(rows, "alternative", alternative, F.when(is_short(direct_text), content)).withColumn(
+            "alt_text", F.array_join("alternative.pages", "")
+        )
+        rows = keep_content(rows, ~stands_alone(direct_text, alt_text))
+    rows = run(rows, "ocr", None if text_only else ocr, content)
     no_images = F.size("ocr.pages") == 0
     seconds = [F.coalesce(f"{route}.seconds", F.lit(0.0)) for route in ["direct", "alternative", "ocr"]]
     return rows.select(
@@ -74,7 +80,7 @@ def decode_candidates(
         "alt_text",
         F.when(~no_images, assemble_array(F.col("ocr.pages"), ocr=True)).alias("ocr_text"),
         F.size("ocr.pages").alias("ocr_pages"),
-        F.coalesce("ocr.error", F.when(no_images, F.lit(formats.NO_IMAGES)), too_large).alias("ocr_error"),
+        F.coalesce("ocr.error", F.when(no_images, F.lit(formats.NO_IMAGES)), "too_large").alias("ocr_error"),
         sum(seconds, F.lit(0.0)).alias("processing_time_seconds"),
     )
 
@@ -86,9 +92,9 @@ def extract(files: DataFrame, direct: Decoder, text_only: bool = False, ocr_only
 
 
 def pending_files(
-    spark: SparkSession, files: DataFrame, versions: DataFrame, full_hash: bool = False, skip_unreadable: bool = False
+    spark: SparkSession, files: DataFrame, versions: DataFrame, full_hash: bool = False, **reading
 ) -> DataFrame:
-    """`files`, with content, cut down to those the ledger does not hold.
+    """`files`, with content, cut down to those the ledger does not hold; `reading` as for `read_files`.
 
     The test itself runs on paths and hashes; its outcome is stored, and content is then fetched by the
     cheapest route its measured size allows: all files if nothing is done yet, the pending ones by name
@@ -106,7 +112,7 @@ def pending_files(
     if number <= LISTED_PATHS:
         listed = [row.path for row in paths.where("length > 0").select("path").collect()]
         empty = paths.where("length = 0").withColumn("content", F.lit(b""))
-        return read_files(spark, listed, skip_unreadable).unionByName(empty) if listed else empty
+        return read_files(spark, listed, **reading).unionByName(empty) if listed else empty
     # As numbers: local times collected to Python are ambiguous when clocks go back.
     micros = F.unix_micros("modificationTime")
     first, last = paths.agg(F.min(micros), F.max(micros)).first()
@@ -128,16 +134,17 @@ def run_extraction(
     ocr: Decoder | None = None,
     batch_id: int | None = None,
     loaded_at: datetime | None = None,
-    skip_unreadable: bool = False,
+    **reading,
 ) -> dict[str, int]:
     """Extract every PDF under `folder` that `ledger_path` does not hold yet (`force`: every one of them).
 
     Returns processed, successful and failed counts. Without decoders of your own, the workers need the
-    `pdftotext`, `pdftoppm` and `tesseract` commands.
+    `pdftotext`, `pdftoppm` and `tesseract` commands. `reading` may set `max_file_bytes` and
+    `skip_unreadable` as for `scan_files`; files left out for their size stay pending for a run with more memory.
     """
-    files = scan_files(spark, folder, skip_unreadable=skip_unreadable)
+    files = scan_files(spark, folder, **reading)
     if not force and batch_ids(spark, ledger_path):
-        files = pending_files(spark, files, read_versions(spark, ledger_path), full_hash, skip_unreadable)
+        files = pending_files(spark, files, read_versions(spark, ledger_path), full_hash, **reading)
     if files.select("path").isEmpty():
         return {"processed": 0, "successful": 0, "failed": 0}
     rows = extract(

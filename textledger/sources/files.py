@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 from textledger.schema import FILES
 from textledger.sources.shared import stored_chunks
 
-# What one Spark row can hold of a file, with room for the rest of the row.
-MAX_CONTENT_BYTES = 2_000_000_000
+# A file is one value of one row, which is copied between Spark and the decoders: allow for executor memory of
+# some twenty times the largest file. An Arrow buffer cannot grow beyond 2^30 bytes in any case.
+MAX_FILE_BYTES = 256 * 1024 * 1024
 
 
 def scan_files(
@@ -19,30 +20,33 @@ def scan_files(
     folder: str | list[str],
     suffix: str = "pdf",
     empty_files: bool = True,
+    max_file_bytes: int = MAX_FILE_BYTES,
     skip_unreadable: bool = False,
 ) -> DataFrame:
     """All files under `folder` whose name ends in `.suffix` (case counts), at any depth.
 
-    Content is read only by queries that use it. Files beyond `MAX_CONTENT_BYTES` come with NULL content.
-    Files gone by the time they are read are left out; `skip_unreadable` extends that to read errors,
-    which otherwise fail the task and are retried. Names that start with `_` or `.` are not seen.
+    Content is read only by queries that use it. Files beyond `max_file_bytes` come with NULL content. Files
+    gone by the time they are read are left out; `skip_unreadable` extends that to read errors, which
+    otherwise fail the task and are retried. Names that start with `_` or `.` are not seen.
     """
     listed = _reader(spark, skip_unreadable).option("pathGlobFilter", f"*.{suffix}").load(folder)
-    files = _with_content(listed)
+    files = _with_content(listed, max_file_bytes)
     return files.unionByName(_empty_files(listed)) if empty_files else files
 
 
-def read_files(spark: SparkSession, paths: list[str], skip_unreadable: bool = False) -> DataFrame:
+def read_files(
+    spark: SparkSession, paths: list[str], max_file_bytes: int = MAX_FILE_BYTES, skip_unreadable: bool = False
+) -> DataFrame:
     """The files at the given paths only; for short lists, as every path passes through the driver."""
     escaped = [re.sub(r"([\\\[\]{}*?])", r"\\\1", path) for path in paths]
-    return _with_content(_reader(spark, skip_unreadable).load(escaped))
+    return _with_content(_reader(spark, skip_unreadable).load(escaped), max_file_bytes)
 
 
-def _with_content(listed: DataFrame) -> DataFrame:
+def _with_content(listed: DataFrame, max_file_bytes: int) -> DataFrame:
     # The first filter reaches the scan, which then opens no larger file; the second one picks files from
     # the listing before there are any tasks.
-    readable = listed.where(F.col("length") <= MAX_CONTENT_BYTES)
-    oversized = listed.where(F.col("_metadata.file_size") > MAX_CONTENT_BYTES).select(
+    readable = listed.where(F.col("length") <= max_file_bytes)
+    oversized = listed.where(F.col("_metadata.file_size") > max_file_bytes).select(
         "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content")
     )
     return readable.select(*FILES.names).unionByName(oversized)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textledger import formats
 from textledger.operators.queries import summary_counts
-from textledger.operators.versions import current_versions, replaced_keys, without_replaced
+from textledger.operators.versions import last_in_sequence, replaced_rows, without_replaced
 from textledger.schema import KEY, LEDGER, VERSIONS
 from textledger.sources.shared import stored_for_join
 
@@ -32,13 +32,13 @@ def read_versions(spark: SparkSession, path: str) -> DataFrame:
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The current row of every (file_path, file_hash), texts included.
 
-    Which keys were rewritten is found and measured first: as long as they can be broadcast, the rows
-    themselves are only filtered.
+    Which rows were replaced is found from keys and measured first: as long as that can be broadcast, the
+    rows themselves are only filtered.
     """
     versions = read_versions(spark, path)
     if len(batch_ids(spark, path)) < 2:  # nothing can have been replaced
         return versions.drop("batch_id")
-    replaced, number = stored_for_join(replaced_keys(versions), "replaced")
+    replaced, number = stored_for_join(replaced_rows(versions), "replaced")
     return (without_replaced(versions, replaced) if number else versions).drop("batch_id")
 
 
@@ -85,7 +85,7 @@ def write_batch(
     if batch_id is None:
         batch_id = max(batch_ids(spark, path), default=0) + 1
     if sequence is not None:
-        rows = current_versions(rows, order=sequence)
+        rows = last_in_sequence(rows, sequence)
     elif not unique and not _repeated_keys(rows).isEmpty():
         raise ValueError("a batch holds several rows of one key; name the column that orders them as sequence")
     counts = Observation()
