@@ -280,6 +280,16 @@ WITH {_VERSIONS}
 SELECT count(*) AS processed, count(*) FILTER (WHERE success) AS successful,
        count(*) FILTER (WHERE NOT success) AS failed
 FROM versions WHERE batch_id = 2""",
+    "stored_ledger": f"""
+WITH {_VERSIONS}
+SELECT file_path, file_hash, file_size, extraction_method, extracted_text, page_count, processing_time_seconds,
+       '2024-01-0' || batch_id || ' 00:00:00' AS timestamp, success, error_message
+FROM current_rows""",
+    "stored_report": f"""
+SELECT unnest(string_split(left(block, length(block) - 1), chr(10))) AS line FROM ({_BLOCKS})
+UNION ALL
+SELECT unnest(['PDF Text Extraction Results (Rust Edition)', repeat('=', 80), '']) AS line""",
+    "stored_json": _json("extracted_text,"),
     "extract_run": _extract(_ANY_ROUTE, _BOTH_FAILED),
     "extract_text_only": _extract(
         "WHEN dt IS NOT NULL AND n > 50 THEN 'direct' WHEN dt IS NOT NULL THEN 'direct_partial'",

@@ -1,5 +1,7 @@
 """Registered queries: each maps (spark, sf_dir) to a DataFrame over the given tables."""
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,13 @@ from textledger.functions.text import is_blank, is_substantial, preview, shown_t
 from textledger.operators.cascade import OUTCOME, cascade, direct_choice
 from textledger.operators.pages import assemble_pages, page_counts
 from textledger.operators.queries import list_files, run_summary, search, statistics
-from textledger.operators.reports import json_records, text_blocks
+from textledger.operators.reports import json_records, text_blocks, write_json, write_text_report
 from textledger.operators.versions import already_processed, current_versions, pending, upsert
 from textledger.plans.extraction import extract, with_fingerprint
 from textledger.schema import LEDGER, VERSIONS
 from textledger.sources.files import scan_files
+from textledger.sources.ledger import read_ledger, write_batch
+from textledger.sources.shared import fresh_path
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +193,29 @@ def discovered_files(spark, sf_dir):
     return files.select("path", "length", F.unix_seconds("modificationTime").alias("modified"), "file_hash")
 
 
+def stored_ledger(spark, sf_dir):
+    """Two batches written to storage, the current rows read back."""
+    path = fresh_path(spark, "ledger")
+    for day, rows in enumerate(fixtures.batches(spark, sf_dir), start=1):
+        write_batch(rows, path, loaded_at=datetime(2024, 1, day), unique=True)
+    return read_ledger(spark, path).withColumn("timestamp", shown_time(F.col("timestamp")))
+
+
+def stored_report(spark, sf_dir):
+    """The text report as written, by lines."""
+    path = fresh_path(spark, "report")
+    write_text_report(_ledger(spark, sf_dir), path)
+    return spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "line")
+
+
+def stored_json(spark, sf_dir):
+    """The JSON export as written."""
+    path = fresh_path(spark, "json")
+    rows = _ledger(spark, sf_dir)
+    write_json(rows, path, include_text=True)
+    return spark.read.schema(json_records(rows, include_text=True).schema).json(path)
+
+
 QUERIES = {
     "search_text": search_text,
     "search_wildcard": search_wildcard,
@@ -226,5 +253,8 @@ QUERIES = {
     "extract_text_only": _extract(text_only=True),
     "extract_ocr_only": _extract(ocr_only=True),
     "extract_pending": extract_pending,
+    "stored_ledger": stored_ledger,
+    "stored_report": stored_report,
+    "stored_json": stored_json,
     "discovered_files": discovered_files,
 }

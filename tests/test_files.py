@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from textledger.sources import files as source
 from textledger.sources.files import read_files, scan_files
 
 SIZES = {"b.pdf": 10, "c.pdf": 1024, "sub/deep/g.pdf": 3, "k=v/h.pdf": 4, "sp ace%20+.pdf": 5, "q[1]{a}*.pdf": 6}
@@ -80,3 +81,11 @@ def test_file_gone_after_listing_is_left_out(spark, folder):
     frame = scan_files(spark, str(folder))
     (folder / "b.pdf").unlink()
     assert "b.pdf" not in listed(frame, folder)
+
+
+def test_file_gone_while_empty_ones_are_looked_up(spark, folder):
+    (folder / "a.pdf").write_bytes(b"")
+    listed_before = source._reader(spark, False).option("pathGlobFilter", "*.pdf").load(str(folder))
+    (folder / "b.pdf").unlink()
+    empty = source._empty_files(listed_before).collect()
+    assert [os.path.basename(row.path) for row in empty] == ["a.pdf"]

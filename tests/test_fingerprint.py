@@ -4,7 +4,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from textledger.functions.fingerprint import fast_fingerprint, full_fingerprint
+from textledger.functions.fingerprint import fast_fingerprint, full_fingerprint, read_edges
+from textledger.sources.files import scan_files
 
 
 def expected(content, seconds):
@@ -38,3 +39,17 @@ def test_fingerprints_at_all_borders(spark):
 def test_missing_content_has_no_fingerprint(spark):
     row = spark.createDataFrame([(None, None, 5)], "content binary, modificationTime timestamp, length long")
     assert tuple(row.select(fast_fingerprint(), full_fingerprint()).first()) == (None, None)
+
+
+def test_ranged_reads_find_the_same_bytes(spark, tmp_path):
+    for size in [0, 1, 1023, 1024, 1025, 2047, 2048, 2049, 100_000]:
+        (tmp_path / f"a b%20[{size}].pdf").write_bytes(bytes(n * 7 % 251 for n in range(size)))
+    files = scan_files(spark, str(tmp_path))
+    ranged = fast_fingerprint(read_edges(F.col("path"), F.col("length")))
+    rows = files.select("length", fast_fingerprint().alias("whole"), ranged.alias("ranged")).collect()
+    assert len(rows) == 9 and all(row.whole == row.ranged for row in rows)
+    plan = files.select("path", ranged)._jdf.queryExecution().executedPlan().toString()
+    assert "content:binary" not in plan
+    (tmp_path / "a b%20[1].pdf").unlink()
+    gone = spark.createDataFrame([(f"file:{tmp_path}/a b%20[1].pdf", 1)], "path string, length long")
+    assert gone.select(read_edges(F.col("path"), F.col("length"))).first()[0] is None

@@ -77,6 +77,14 @@ def test_every_route_to_pending_content(spark, folder, tmp_path, monkeypatch, li
     assert run(spark, folder, ledger, full_hash=True)["processed"] == 0
 
 
+def test_ranged_reads_skip_the_same_files(spark, folder, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    run(spark, folder, ledger)
+    (folder / "e.pdf").write_bytes(LONG * 100)
+    assert run(spark, folder, ledger, ranged_reads=True)["processed"] == 1
+    assert run(spark, folder, ledger)["processed"] == 0
+
+
 def test_modes_and_failures(spark, folder, tmp_path):
     ledger = str(tmp_path / "ledger")
     assert run(spark, folder, ledger, ocr_only=True) == {"processed": 4, "successful": 3, "failed": 1}

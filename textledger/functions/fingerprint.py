@@ -1,5 +1,8 @@
 """SHA-256 fingerprints of a file, from the columns of the `binaryFile` source."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,38 +13,77 @@ def _big_endian(number: Column) -> Column:
     return F.unhex(F.lpad(F.hex(number), 16, "0"))
 
 
-def fast_fingerprint(
-    length: Column | None = None, modified: Column | None = None, content: Column | None = None
-) -> Column:
-    """Hash of size, modification second, first KB and last KB.
+def content_edges(content: Column) -> Column:
+    """First and last KB of the content. They never overlap: up to 2 KB, the second part is what follows the first."""
+    edge = formats.FINGERPRINT_BYTES
+    size = F.octet_length(content)
+    tail = F.substring(content, F.greatest(F.lit(edge + 1), size - (edge - 1)), F.lit(edge))
+    return F.concat(F.substring(content, 1, edge), F.when(size > edge, tail).otherwise(F.lit(b"")))
+
+
+def read_edges(path: Column, length: Column) -> Column:
+    """The same bytes, read from the file by two ranged reads on the workers instead of as a whole.
 
-    Size and time are 8-byte big-endian; a time that is missing or before 1970 is left out. The two
-    ends never overlap: for files of up to 2 KB the second part is what follows the first KB.
+    Files are opened through pyarrow's file systems (local paths, s3, gs, abfs, hdfs), which need
+    credentials of their own on the workers. NULL for a file that is gone.
     """
-    length = F.col("length") if length is None else length
-    modified = F.col("modificationTime") if modified is None else modified
-    content = F.col("content") if content is None else content
     edge = formats.FINGERPRINT_BYTES
-    nothing = F.lit(b"")
-    seconds = F.unix_seconds(modified)
-    size = F.octet_length(content)
-    tail_start = F.greatest(F.lit(edge + 1), size - (edge - 1))
+
+    def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        import re
+
+        from pyarrow import fs
+
+        systems = {}
+
+        def locate(uri):
+            scheme, authority, rest = re.fullmatch(r"(?s)([\w+.-]+):(?://([^/]*))?(/.*)", uri).groups()
+            root = (re.sub("^s3[an]$", "s3", scheme), authority or "")
+            if root not in systems:
+                is_local = root[0] == "file"
+                systems[root] = fs.LocalFileSystem() if is_local else fs.FileSystem.from_uri("%s://%s/" % root)[0]
+            return systems[root], rest if root[0] in ("file", "hdfs") else root[1] + rest
+
+        def edges(uri, size):
+            if size == 0:
+                return b""
+            system, name = locate(uri)
+            try:
+                with system.open_input_file(name) as source:
+                    head = source.read_at(min(edge, size), 0)
+                    start = max(edge, size - edge)
+                    return head + (source.read_at(size - start, start) if size > edge else b"")
+            except FileNotFoundError:
+                return None
+
+        for paths, lengths in batches:
+            pairs = zip(paths.to_pylist(), lengths.to_pylist())
+            yield pa.array([edges(uri, size) for uri, size in pairs], pa.binary())
+
+    return F.arrow_udf(read, "binary")(path, length)
+
+
+def fast_fingerprint(edges: Column | None = None) -> Column:
+    """Hash of size, modification second, first KB and last KB, over `length`, `modificationTime`, `content`.
+
+    Size and time are 8-byte big-endian; a time that is missing or before 1970 is left out.
+    """
+    seconds = F.unix_seconds("modificationTime")
     return F.sha2(
         F.concat(
-            _big_endian(length),
-            F.when(seconds >= 0, _big_endian(seconds)).otherwise(nothing),
-            F.substring(content, 1, edge),
-            F.when(size > edge, F.substring(content, tail_start, F.lit(edge))).otherwise(nothing),
+            _big_endian(F.col("length")),
+            F.when(seconds >= 0, _big_endian(seconds)).otherwise(F.lit(b"")),
+            content_edges(F.col("content")) if edges is None else edges,
         ),
         256,
     )
 
 
-def full_fingerprint(content: Column | None = None) -> Column:
-    """Hash of all bytes."""
-    return F.sha2(F.col("content") if content is None else content, 256)
+def full_fingerprint() -> Column:
+    """Hash of all bytes of `content`."""
+    return F.sha2("content", 256)
 
 
 def fingerprint(full: bool = False) -> Column:
-    """The fingerprint a run stores, over the columns `length`, `modificationTime` and `content`."""
+    """The fingerprint a run stores."""
     return full_fingerprint() if full else fast_fingerprint()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textledger import formats
 from textledger.functions.decoders import DECODED, Decoder, poppler_text, tesseract_ocr
-from textledger.functions.fingerprint import fingerprint
+from textledger.functions.fingerprint import fast_fingerprint, fingerprint, read_edges
 from textledger.functions.text import is_short, is_substantial
 from textledger.operators.cascade import cascade, stands_alone
 from textledger.operators.pages import assemble_array
@@ -92,19 +92,27 @@ def extract(files: DataFrame, direct: Decoder, text_only: bool = False, ocr_only
 
 
 def pending_files(
-    spark: SparkSession, files: DataFrame, versions: DataFrame, full_hash: bool = False, **reading
+    spark: SparkSession,
+    files: DataFrame,
+    versions: DataFrame,
+    full_hash: bool = False,
+    ranged_reads: bool = False,
+    **reading,
 ) -> DataFrame:
     """`files`, with content, cut down to those the ledger does not hold; `reading` as for `read_files`.
 
-    The test itself runs on paths and hashes; its outcome is stored, and content is then fetched by the
+    The test itself runs on paths and hashes. `ranged_reads` has the fast fingerprint read only the ends of
+    each file (see `read_edges`). The outcome is stored, and content is then fetched by the
     cheapest route its measured size allows: all files if nothing is done yet, the pending ones by name
     if they are few, else a second scan against their paths. That scan opens only files from the time
     span of the pending ones, so new files cost no second look at old ones; content is shuffled
     only if the paths are too many to broadcast.
     """
-    hashed = with_fingerprint(files, full_hash).select(
-        F.col("path").alias("file_path"), "file_hash", "modificationTime", "length"
-    )
+    if ranged_reads and not full_hash:
+        hashed = files.withColumn("file_hash", fast_fingerprint(read_edges(F.col("path"), F.col("length"))))
+    else:
+        hashed = with_fingerprint(files, full_hash)
+    hashed = hashed.select(F.col("path").alias("file_path"), "file_hash", "modificationTime", "length")
     todo = pending(hashed, versions).select(F.col("file_path").alias("path"), "modificationTime", "length")
     paths, number = stored_for_join(todo, "pending")
     if number == files.select("path").count():
@@ -122,7 +130,7 @@ def pending_files(
 
 def run_extraction(
     spark: SparkSession,
-    folder: str | list[str],
+    folder: str,
     ledger_path: str,
     text_only: bool = False,
     ocr_only: bool = False,
@@ -134,17 +142,21 @@ def run_extraction(
     ocr: Decoder | None = None,
     batch_id: int | None = None,
     loaded_at: datetime | None = None,
+    ranged_reads: bool = False,
+    empty_files: bool = True,
     **reading,
 ) -> dict[str, int]:
     """Extract every PDF under `folder` that `ledger_path` does not hold yet (`force`: every one of them).
 
     Returns processed, successful and failed counts. Without decoders of your own, the workers need the
-    `pdftotext`, `pdftoppm` and `tesseract` commands. `reading` may set `max_file_bytes` and
-    `skip_unreadable` as for `scan_files`; files left out for their size stay pending for a run with more memory.
+    `pdftotext`, `pdftoppm` and `tesseract` commands. `ranged_reads` spares a repeated run from reading all
+    files in full only to skip them; it needs paths that pyarrow can open on the workers. `empty_files` and
+    `reading` (`max_file_bytes`, `skip_unreadable`) are as for `scan_files`; files left out for their size
+    stay pending for a run with more memory.
     """
-    files = scan_files(spark, folder, **reading)
+    files = scan_files(spark, folder, empty_files=empty_files, **reading)
     if not force and batch_ids(spark, ledger_path):
-        files = pending_files(spark, files, read_versions(spark, ledger_path), full_hash, **reading)
+        files = pending_files(spark, files, read_versions(spark, ledger_path), full_hash, ranged_reads, **reading)
     if files.select("path").isEmpty():
         return {"processed": 0, "successful": 0, "failed": 0}
     rows = extract(

@@ -64,15 +64,15 @@ def _reader(spark: SparkSession, skip_unreadable: bool):
 def _empty_files(listed: DataFrame) -> DataFrame:
     """Zero-byte files, which Spark's file scan leaves out although its listing knows them.
 
-    The listing is compared with the scan by number first; names are looked at only if some are missing.
-    Their times come from the file system one by one, so this costs the driver one call per empty file.
+    The listing is compared with the scan by number first; names are looked at only if some are missing,
+    one after the other. Times come from the file system, with one call by the driver per empty file.
     """
     spark = listed.sparkSession
-    nothing = listed.where(F.lit(False)).select(*FILES.names)
-    if len(listed._jdf.inputFiles()) == listed.select("path").count():
-        return nothing
+    uris = listed._jdf.inputFiles()  # stays in the JVM, where the file index holds the same names
+    if len(uris) == listed.select("path").count():
+        return listed.where(F.lit(False)).select(*FILES.names)
     names = T.StructType([T.StructField("path", T.StringType(), False)])
-    known = stored_chunks(spark, ((_as_scanned(uri),) for uri in listed.inputFiles()), names, "listing")
+    known = stored_chunks(spark, ((_as_scanned(uris[at]),) for at in range(len(uris))), names, "listing")
     missing = known.join(listed.select("path"), "path", "left_anti")
 
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -81,8 +81,10 @@ def _empty_files(listed: DataFrame) -> DataFrame:
     def statuses():
         for row in missing.toLocalIterator():
             path = hadoop(row.path)
-            status = path.getFileSystem(conf).getFileStatus(path)
-            if status.getLen() == 0:
+            store = path.getFileSystem(conf)
+            # A file may also be missing because it is gone by now.
+            status = store.getFileStatus(path) if store.exists(path) else None
+            if status and status.getLen() == 0:
                 yield row.path, status.getModificationTime()
 
     schema = T.StructType([*names.fields, T.StructField("millis", T.LongType(), True)])
