@@ -15,6 +15,7 @@ from textledger.operators.queries import list_files, run_summary, search, statis
 from textledger.operators.reports import json_records, text_blocks, write_json, write_text_report
 from textledger.operators.versions import already_processed, current_versions, pending, upsert
 from textledger.plans.extraction import extract, with_fingerprint
+from textledger.plans.extraction import pending_files as pending_content
 from textledger.schema import LEDGER, VERSIONS
 from textledger.sources.files import scan_files
 from textledger.sources.ledger import read_ledger, write_batch
@@ -180,9 +181,10 @@ def _extract(**mode):
 
 def extract_pending(spark, sf_dir):
     """A second run over files of which every other one (by hash) is already in the ledger."""
-    files = with_fingerprint(fixtures.files(spark, sf_dir), full_hash=True).withColumnRenamed("path", "file_path")
-    held = files.where("file_hash < '8'").select("file_path", "file_hash")
-    todo = pending(files, held).withColumnRenamed("file_path", "path").drop("file_hash")
+    files = fixtures.files(spark, sf_dir)
+    hashed = with_fingerprint(files, full_hash=True).withColumnRenamed("path", "file_path")
+    held = hashed.where("file_hash < '8'").select("file_path", "file_hash")
+    todo = pending_content(spark, files, held, full_hash=True, by_name=False)
     rows = extract(todo, form_feed_text, ocr=fixtures.marked_pages(), full_hash=True)
     return rows.drop("processing_time_seconds")
 

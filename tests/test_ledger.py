@@ -169,3 +169,42 @@ def test_hot_key_written_by_many_batches(spark):
     current = current_versions(hot.unionByName(rest))
     assert current.count() == 4001
     assert current.where("file_path = 'hot'").first().v == "1999"
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Make the adaptive planner treat test data as it would treat big data."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "30KB",
+        "spark.sql.shuffle.partitions": "20",
+    }
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name in settings:
+        spark.conf.unset(name)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def final_plan(frame):
+    total = frame.agg(F.sum("r"), F.count("*"))
+    return total.collect()[0][1], total._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_are_split(spark, tmp_path, small_partitions):
+    hot = "IF(id % 3 = 0, 'hot', string(id)) AS file_path", "IF(id % 3 = 0, 'h', sha2(string(id), 256)) AS file_hash"
+    spark.range(0, 600_000, 1, 8).selectExpr(*hot, "rand(1) AS r", "IF(id % 3 = 0, id, 1) AS batch_id").write.parquet(str(tmp_path / "rows"))
+    spark.range(0, 300_000, 1, 8).selectExpr(*hot).write.parquet(str(tmp_path / "known"))
+    rows, known = spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "known"))
+    count, plan = final_plan(already_processed(rows, known))
+    assert count == 400_000 and "skew=true" in plan
+    count, plan = final_plan(pending(rows, known))
+    assert count == 200_000
+    # The hot key was written by 200,000 batches here, of which one is current.
+    count, plan = final_plan(current_versions(rows))
+    assert count == 400_001 and "hashpartitioning(file_path" in plan and "batch_id" in plan.split("SortMergeJoin")[1].split("\n")[0]

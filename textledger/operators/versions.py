@@ -58,16 +58,21 @@ def upsert(versions: DataFrame, rows: DataFrame, batch_id: int, sequence: str |
     return versions.unionByName(rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")))
 
 
-def _known_keys(versions: DataFrame) -> DataFrame:
-    # Distinct before the join: a key rewritten many times counts once, and is shuffled once.
-    return versions.where(F.col("file_hash").isNotNull()).select(*KEY).distinct()
+def _tested(files: DataFrame, versions: DataFrame, how: str) -> DataFrame:
+    # Distinct before the join: a key rewritten many times counts once, and is shuffled once. The extra join
+    # key gives the join a shuffle of its own after that; only then can the adaptive planner split the
+    # rows of `files` if one key holds many of them.
+    key_hash = F.xxhash64(*KEY)
+    known = versions.where(F.col("file_hash").isNotNull()).select(*KEY).distinct().withColumn("key_hash", key_hash)
+    tested = files.withColumn("key_hash", key_hash).join(known, [*KEY, "key_hash"], how)
+    return tested.select(*files.columns)
 
 
 def already_processed(files: DataFrame, versions: DataFrame) -> DataFrame:
     """Files whose path and hash the ledger holds, failed rows included."""
-    return files.join(_known_keys(versions), KEY, "left_semi")
+    return _tested(files, versions, "left_semi")
 
 
 def pending(files: DataFrame, versions: DataFrame) -> DataFrame:
     """Files the ledger does not hold; a NULL hash is always pending."""
-    return files.join(_known_keys(versions), KEY, "left_anti")
+    return _tested(files, versions, "left_anti")

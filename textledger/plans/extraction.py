@@ -97,6 +97,7 @@ def pending_files(
     versions: DataFrame,
     full_hash: bool = False,
     ranged_reads: bool = False,
+    by_name: bool = True,
     **reading,
 ) -> DataFrame:
     """`files`, with content, cut down to those the ledger does not hold; `reading` as for `read_files`.
@@ -106,7 +107,7 @@ def pending_files(
     cheapest route its measured size allows: all files if nothing is done yet, the pending ones by name
     if they are few, else a second scan against their paths. That scan opens only files from the time
     span of the pending ones, so new files cost no second look at old ones; content is shuffled
-    only if the paths are too many to broadcast.
+    only if the paths are too many to broadcast. `by_name=False` is for files that are not in a file system.
     """
     if ranged_reads and not full_hash:
         hashed = files.withColumn("file_hash", fast_fingerprint(read_edges(F.col("path"), F.col("length"))))
@@ -117,7 +118,7 @@ def pending_files(
     paths, number = stored_for_join(todo, "pending")
     if number == files.select("path").count():
         return files
-    if number <= LISTED_PATHS:
+    if by_name and number <= LISTED_PATHS:
         listed = [row.path for row in paths.where("length > 0").select("path").collect()]
         empty = paths.where("length = 0").withColumn("content", F.lit(b""))
         return read_files(spark, listed, **reading).unionByName(empty) if listed else empty
