@@ -5,6 +5,7 @@ import pytest
 
 from textledger import form_feed_text, python_decoder, read_ledger, read_versions, run_extraction, search
 from textledger.plans import extraction
+from textledger.schema import FILES
 from textledger.sources import shared
 
 LONG = b"a text that is long enough to stand on its own, in one page"
@@ -77,6 +78,21 @@ def test_every_route_to_pending_content(spark, folder, tmp_path, monkeypatch, li
     assert run(spark, folder, ledger, full_hash=True)["processed"] == 0
 
 
+def test_pending_files_from_a_table_may_lack_times(spark):
+    rows = [("a", None, 1, bytearray(b"a")), ("b", datetime(2024, 1, 1), 1, bytearray(b"b")), ("c", None, 1, bytearray(b"c"))]
+    files = spark.createDataFrame(rows, FILES)
+    hashed = extraction.with_fingerprint(files, full_hash=True).withColumnRenamed("path", "file_path")
+
+    def left(held):
+        todo = extraction.pending_files(spark, files, hashed.where(held), full_hash=True, by_name=False)
+        return sorted(row.path for row in todo.collect())
+
+    assert left("file_path = 'a'") == ["b", "c"]
+    assert left("file_path <> 'b'") == ["b"]
+    assert left("true") == []
+    assert left("false") == ["a", "b", "c"]
+
+
 def test_ranged_reads_skip_the_same_files(spark, folder, tmp_path):
     ledger = str(tmp_path / "ledger")
     run(spark, folder, ledger)

@@ -124,9 +124,11 @@ def pending_files(
         return read_files(spark, listed, **reading).unionByName(empty) if listed else empty
     # As numbers: local times collected to Python are ambiguous when clocks go back.
     micros = F.unix_micros("modificationTime")
-    first, last = paths.agg(F.min(micros), F.max(micros)).first()
-    in_span = F.col("modificationTime").between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last)))
-    return files.where(in_span).join(paths.select("path"), "path", "left_semi")
+    first, last, undated = paths.agg(F.min(micros), F.max(micros), F.count_if(micros.isNull())).first()
+    if first is not None and not undated:
+        span = F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))
+        files = files.where(F.col("modificationTime").between(*span))
+    return files.join(paths.select("path"), "path", "left_semi")
 
 
 def run_extraction(
