@@ -44,7 +44,8 @@ def last_in_sequence(rows: DataFrame, sequence: str) -> DataFrame:
     The sequence is part of the join key for the same reason, and the greatest one is found from keys alone.
     """
     last = rows.where(F.col("file_hash").isNotNull()).groupBy(*KEY).agg(F.max(sequence).alias(sequence))
-    return rows.where(F.col("file_hash").isNull()).unionByName(rows.join(last, [*KEY, sequence], "left_semi").select(rows.columns))
+    unhashed = rows.where(F.col("file_hash").isNull())
+    return unhashed.unionByName(rows.join(last, [*KEY, sequence], "left_semi"))
 
 
 def upsert(versions: DataFrame, rows: DataFrame, batch_id: int, sequence: str | None = None) -> DataFrame:
