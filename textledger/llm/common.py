@@ -34,6 +34,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few texts are held as words at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8, NULL as empty."""
     return [text or b"" for text in column.cast(pa.binary()).to_pylist()]
@@ -52,7 +59,7 @@ def counted(docs: DataFrame, tokens: Callable[[bytes], list]) -> DataFrame:
             return pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in utf8(batch.column(0)):
                 seen.update(tokens(text))
                 if len(seen) > COUNTED_WORDS:

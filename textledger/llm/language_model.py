@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textledger.llm.common import HEAD_WORDS, counted, fold, head_count, utf8
+from textledger.llm.common import HEAD_WORDS, counted, fold, head_count, slices, utf8
 from textledger.sources.shared import stored
 
 CLASSES, WIDTH = 32, 32  # classes of frequent words, and words of each
@@ -56,7 +57,7 @@ class Vocabulary:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         total = int(sizes.sum())
         get = self.rank.get
-        rank = np.fromiter((get(word, -1) for words in lists for word in words), np.int64, total)
+        rank = np.fromiter(map(get, chain.from_iterable(lists), repeat(-1)), np.int64, total)
         starts = np.cumsum(sizes) - sizes
         rare_at = np.flatnonzero(rank < 0)
         of = np.searchsorted(starts, rare_at, side="right") - 1
@@ -216,10 +217,9 @@ def train(docs: DataFrame, shared, model: Model, rounds: int = ROUNDS) -> Model:
         def gradients(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
             model, vocabulary = current.value, _vocabulary(shared)
             sums = None
-            for batch in batches:
-                for begin in range(0, batch.num_rows, 256):
-                    sums = model.zeros() if sums is None else sums
-                    model.gather(vocabulary.encode(utf8(batch.column("text").slice(begin, 256))), sums)
+            for batch in slices(batches, 256):
+                sums = model.zeros() if sums is None else sums
+                model.gather(vocabulary.encode(utf8(batch.column("text"))), sums)
             if sums is not None:
                 pieces = [piece.astype(np.float32).tobytes() for piece in np.array_split(sums, PIECES, axis=1)]
                 yield pa.record_batch([pa.array(range(PIECES), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "sums"])
@@ -258,32 +258,30 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         model, words = ready.value, _vocabulary(shared)
         within = np.log10(words.totals.sum(axis=1) + 1)
         row = TaskContext.get().partitionId() << 33
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                batch = whole.slice(begin, 256)
-                data = words.encode(utf8(batch.column("text")))
-                seen = np.log10(np.maximum(data["count"], 0) + 1.0)
-                tail = data["group"] >= CLASSES
-                token = model.log10(data)
-                token[tail] += seen[tail] - within[data["group"][tail] - CLASSES]
-                if not words.tokens:
-                    token[:] = 0
-                rare = [[] for _ in range(batch.num_rows)]
-                for at, word in zip(data["rare_of"].tolist(), data["rare"]):
-                    rare[at].append(word)
-                sums = [np.add.reduceat(values, data["starts"]) for values in (data["count"] > 0, seen, token)]
-                base = sums[1] - data["sizes"] * np.log10(words.tokens + words.distinct + 1)
-                yield pa.record_batch(
-                    [
-                        pa.array(np.arange(row, row + batch.num_rows)),
-                        batch.column("doc_id").cast(pa.int64()),
-                        batch.column("held_out"),
-                        *map(pa.array, (data["sizes"], sums[0].astype(np.int64), base, sums[2])),
-                        pa.array(rare, pa.list_(pa.binary())),
-                    ],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
-                row += batch.num_rows
+        for batch in slices(batches, 256):
+            data = words.encode(utf8(batch.column("text")))
+            seen = np.log10(np.maximum(data["count"], 0) + 1.0)
+            tail = data["group"] >= CLASSES
+            token = model.log10(data)
+            token[tail] += seen[tail] - within[data["group"][tail] - CLASSES]
+            if not words.tokens:
+                token[:] = 0
+            rare = [[] for _ in range(batch.num_rows)]
+            for at, word in zip(data["rare_of"].tolist(), data["rare"]):
+                rare[at].append(word)
+            sums = [np.add.reduceat(values, data["starts"]) for values in (data["count"] > 0, seen, token)]
+            base = sums[1] - data["sizes"] * np.log10(words.tokens + words.distinct + 1)
+            yield pa.record_batch(
+                [
+                    pa.array(np.arange(row, row + batch.num_rows)),
+                    batch.column("doc_id").cast(pa.int64()),
+                    batch.column("held_out"),
+                    *map(pa.array, (data["sizes"], sums[0].astype(np.int64), base, sums[2])),
+                    pa.array(rare, pa.list_(pa.binary())),
+                ],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+            )
+            row += batch.num_rows
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
     rows = stored(docs.withColumn("held_out", is_held).mapInArrow(scores, schema), "scores")

@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textledger.llm.common import COUNTED_WORDS, head_count, let, ragged, utf8
+from textledger.llm.common import COUNTED_WORDS, head_count, let, ragged, slices, utf8
 from textledger.sources.shared import stored
 
 #: Segments whose ids every task may hold (28 bytes each); the ids of others are joined.
@@ -117,7 +118,7 @@ def _segment_counts(docs: DataFrame, path: str) -> DataFrame:
             kept = [segment for segment in totals if len(segment) <= SEGMENT_CHARS]
             return pa.record_batch([pa.array(kept, pa.string()), pa.array([totals[each] for each in kept], pa.int64())], ["segment", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(chunks(text or ""))
                 if len(seen) > COUNTED_WORDS:
@@ -240,9 +241,8 @@ class Held:
             self.flat = np.concatenate([self.flat, *fresh])
             self.lengths = np.append(self.lengths, np.array(lengths, np.int64))
             self.starts = np.cumsum(self.lengths) - self.lengths
-        code = self.known.get
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        codes = np.fromiter((code(chunk, -1) for found in lists for chunk in found), np.int64, int(sizes.sum()))
+        codes = np.fromiter(map(self.known.get, chain.from_iterable(lists), repeat(-1)), np.int64, int(sizes.sum()))
         codes = np.where(codes >= 0, codes, 0) if len(self.lengths) else np.zeros(0, np.int64)
         if len(codes) != sizes.sum():  # nothing is known yet, so all that there is is missing
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), missing
@@ -303,25 +303,23 @@ def encode(docs: DataFrame, path: str, held: int = HELD_SEGMENTS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch], more: bool) -> Iterator[pa.RecordBatch]:
         store = _unpack(shared, path)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 500):
-                batch = whole.slice(begin, 500)
-                texts = [text or "" for text in batch.column("text").to_pylist()]
-                own = [dict(zip(a or (), b or ())) for a, b in zip(batch.column("segments").to_pylist(), batch.column("found").to_pylist())] if more else [{}] * len(texts)
-                flat, counts, missing = store.encode(texts, own)
-                if any(missing):
-                    raise ValueError("a segment without ids")
-                offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
-                yield pa.record_batch(
-                    [batch.column("doc_id").cast(pa.int64()), batch.column("text"), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "text", "ids"]
-                )
+        for batch in slices(batches):
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            own = [dict(zip(a or (), b or ())) for a, b in zip(batch.column("segments").to_pylist(), batch.column("found").to_pylist())] if more else [{}] * len(texts)
+            flat, counts, missing = store.encode(texts, own)
+            if any(missing):
+                raise ValueError("a segment without ids")
+            offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+            yield pa.record_batch(
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text"), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "text", "ids"]
+            )
 
     if rare.isEmpty():
         return rows.mapInArrow(lambda batches: run(batches, False), schema)
 
     def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _unpack(shared, path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [text or "" for text in batch.column("text").to_pylist()]
             missing = [sorted(each) for each in store.encode(texts, [{}] * len(texts))[2]]
             yield pa.record_batch([batch.column("key"), pa.array(missing, pa.list_(pa.string()))], ["key", "missing"])

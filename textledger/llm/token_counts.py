@@ -103,7 +103,9 @@ def token_count(text: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series(merger(path, pattern).count(texts.fillna("").tolist()), dtype="int64")
+        whole = texts.fillna("").tolist()
+        counts = [merger(path, pattern).count(whole[at : at + 512]) for at in range(0, len(whole), 512)]
+        return pd.Series(np.concatenate([np.zeros(0, np.int64), *counts]))
 
     return count(text)
 

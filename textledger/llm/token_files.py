@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textledger.llm.common import ragged, utf8
+from textledger.llm.common import ragged, slices, utf8
 from textledger.sources.shared import fresh_path
 
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 SCHEMA = "file int, position long, doc_id long, n_tokens long, ids array<int>"
 
@@ -39,8 +41,9 @@ FORMAT = {
 class Encoder:
     """Ids of texts by the tokenizers library.
 
-    Where the tokenizer turns white space into nothing but a border, words are encoded one by one and remembered;
-    else whole texts are."""
+    Where the tokenizer turns white space into nothing but a border, words are encoded one by one and remembered; else
+    whole texts are. A new word is cut between ASCII letters or digits and ASCII marks, where such a tokenizer cuts too,
+    and its parts are remembered as well, so that the library sees each part once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,39 +51,58 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            self.by_word = borders_at_space(json.load(file))
+            stated = json.load(file)
+        self.by_word = borders_at_space(stated)
+        special = [re.escape(token["content"].encode()) for token in stated["added_tokens"]]
+        self.special = re.compile(b"|".join(special)) if special else None
         self.forget()
 
     def forget(self) -> None:
+        self.parts: dict[bytes, list[int]] = {}
         self.known: dict[bytes, int] = {}
         self.starts, self.lengths, self.ids = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
-    def encode_each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [item.ids for item in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return lengths, np.fromiter((one for ids in found for one in ids), np.int32, int(lengths.sum()))
+    def encode_each(self, texts: list[str]) -> list[list[int]]:
+        return [item.ids for item in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> None:
+        cut = [[word] if self.special and self.special.search(word) else _BORDERS.split(word.lower()) for word in words]
+        fresh = set(chain.from_iterable(cut)).difference(self.parts)
+        # such a tokenizer changes nothing about lower-case ASCII letters, so they go straight to its merges
+        plain = [part for part in fresh if part.isalpha() and part.isascii()]
+        merges = self.tokenizer.model.tokenize
+        self.parts.update((part, [token.id for token in merges(part.decode())]) for part in plain)
+        others = list(fresh.difference(plain))
+        self.parts.update(zip(others, self.encode_each([part.decode() for part in others])))
+        part_ids = self.parts
+        ids = [part_ids[parts[0]] if len(parts) == 1 else [*chain.from_iterable(map(part_ids.__getitem__, parts))] for parts in cut]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.lengths = np.append(self.lengths, lengths)
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each text, and all their ids."""
         if not self.by_word:
-            return self.encode_each([text.decode() for text in texts])
+            ids = self.encode_each([text.decode() for text in texts])
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            return lengths, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
         if len(self.known) > REMEMBERED:
             self.forget()
         lists = [text.split() for text in texts]
-        fresh = list(set().union(*lists).difference(self.known))
-        if fresh:
-            lengths, ids = self.encode_each([word.decode() for word in fresh])
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
-            self.lengths, self.ids = np.append(self.lengths, lengths), np.append(self.ids, ids)
+        self.learn(list(set().union(*lists).difference(self.known)))
         per_text = np.fromiter(map(len, lists), np.int64, len(lists))
-        code = self.known.__getitem__
-        codes = np.fromiter((code(word) for words in lists for word in words), np.int64, int(per_text.sum()))
+        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(per_text.sum()))
         lengths = self.lengths[codes]
         ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(per_text))]
         return np.diff(ends), self.ids[ragged(self.starts[codes], lengths)]
 
 
+# between an ASCII letter or digit and an ASCII mark other than an apostrophe, either way
+_BORDERS = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z0-9])")
+
+
 def borders_at_space(stated: dict) -> bool:
     """Whether the file's tokenizer drops white space and lets nothing reach across it."""
     normal, before = stated["normalizer"] or {}, stated["pre_tokenizer"] or {}
@@ -115,7 +137,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, position = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             lengths, ids = encoder(tokenizer).encode(utf8(batch.column("text")))
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
