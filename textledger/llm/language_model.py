@@ -23,7 +23,7 @@ PAIR_ROWS = 4096  # of features: both words together
 SLOT_ROWS = 4096  # of features within a class: class and word before; the same again for the word before that one
 PLAIN = 768  # words with a feature row of their own
 ROUNDS, RATE, PRIOR = 3, 0.5, 10.0
-CHUNK = 16_384  # tokens scored at a time
+CHUNK = 4096  # tokens scored at a time
 PIECES = 64  # into which a task's gradient is cut
 
 END = b"\n"  # no word can hold it
@@ -113,13 +113,18 @@ class Model:
         return [hashed(before).astype(np.uint16), (SLOT_ROWS + hashed(skipped)).astype(np.uint16)]
 
     def shares(self, group: np.ndarray, before: np.ndarray, skipped: np.ndarray) -> tuple:
-        """Of a chunk: features and probabilities of classes, and for tokens of frequent classes those of slots."""
+        """Of a chunk: features and odds of classes, and for tokens of frequent classes those of slots."""
         features = self.class_features(before, skipped)
-        classes = _softmax(self.class_bias + sum(self.class_rows[f] for f in features))
+        classes = np.take(self.class_rows, features[0], axis=0)
+        for f in features[1:]:
+            classes += np.take(self.class_rows, f, axis=0)
+        classes += self.class_bias
         inner = np.flatnonzero(group < CLASSES)
         slot_features = self.slot_features(group[inner], before[inner], skipped[inner])
-        slots = _softmax(self.slot_bias[group[inner]] + sum(self.slot_rows[f] for f in slot_features))
-        return features, classes, inner, slot_features, slots
+        slots = np.take(self.slot_bias, group[inner], axis=0)
+        for f in slot_features:
+            slots += np.take(self.slot_rows, f, axis=0)
+        return features, _odds(classes), inner, slot_features, _odds(slots)
 
     def log10(self, data: dict) -> np.ndarray:
         """Of each token, without the share of a tail word within its class."""
@@ -127,8 +132,8 @@ class Model:
         for at in range(0, len(out), CHUNK):
             group, slot = data["group"][at : at + CHUNK], data["slot"][at : at + CHUNK]
             _, classes, inner, _, slots = self.shares(group, data["before"][at : at + CHUNK], data["skipped"][at : at + CHUNK])
-            part = np.log10(np.maximum(classes[np.arange(len(group)), group], 1e-30), dtype=np.float64)
-            part[inner] += np.log10(np.maximum(slots[np.arange(len(inner)), slot[inner]], 1e-30), dtype=np.float64)
+            part = _log10_share(classes, group)
+            part[inner] += _log10_share(slots, slot[inner])
             out[at : at + CHUNK] = part
         return out
 
@@ -145,6 +150,8 @@ class Model:
             features, classes, inner, slot_features, slots = self.shares(
                 group, data["before"][at : at + CHUNK], data["skipped"][at : at + CHUNK]
             )
+            classes /= classes.sum(axis=1, keepdims=True)
+            slots /= slots.sum(axis=1, keepdims=True)
             for f in features:
                 _scatter(class_sums, f, group, classes)
             for f in slot_features:
@@ -158,9 +165,15 @@ class Model:
         self.slot_rows += change[cut:].reshape(self.slot_rows.shape).astype(np.float32)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return logits / logits.sum(axis=1, keepdims=True)
+def _odds(logits: np.ndarray) -> np.ndarray:
+    """exp of the logits, in place, at most 1; shares of their row's sum are the probabilities."""
+    logits -= logits.max(axis=1, keepdims=True)
+    return np.exp(logits, out=logits)
+
+
+def _log10_share(odds: np.ndarray, at: np.ndarray) -> np.ndarray:
+    own = odds[np.arange(len(odds)), at].astype(np.float64)
+    return np.log10(np.maximum(own, 1e-30)) - np.log10(odds.sum(axis=1, dtype=np.float64))
 
 
 def _scatter(sums: np.ndarray, rows: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:

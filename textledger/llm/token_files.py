@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textledger.llm.common import ragged, slices, utf8
-from textledger.sources.shared import fresh_path
+from textledger.llm.token_counts import byte_letters
+from textledger.sources.shared import fresh_path, stored
 
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 500_000
@@ -55,10 +56,13 @@ class Encoder:
         self.by_word = borders_at_space(stated)
         special = [re.escape(token["content"].encode()) for token in stated["added_tokens"]]
         self.special = re.compile(b"|".join(special)) if special else None
+        self.letters = {byte: letter for byte, letter in byte_letters().items() if byte > 0x7F}
+        self.parts: dict[bytes, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.parts: dict[bytes, list[int]] = {}
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
         self.known: dict[bytes, int] = {}
         self.starts, self.lengths, self.ids = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
@@ -68,10 +72,10 @@ class Encoder:
     def learn(self, words: list[bytes]) -> None:
         cut = [[word] if self.special and self.special.search(word) else _BORDERS.split(word.lower()) for word in words]
         fresh = set(chain.from_iterable(cut)).difference(self.parts)
-        # such a tokenizer changes nothing about lower-case ASCII letters, so they go straight to its merges
-        plain = [part for part in fresh if part.isalpha() and part.isascii()]
-        merges = self.tokenizer.model.tokenize
-        self.parts.update((part, [token.id for token in merges(part.decode())]) for part in plain)
+        # such a tokenizer changes nothing about these, so their byte letters go straight to its merges
+        plain = [part for part in fresh if _PLAIN.fullmatch(part)]
+        merges, letters = self.tokenizer.model.tokenize, self.letters
+        self.parts.update((part, [token.id for token in merges(part.decode("latin-1").translate(letters))]) for part in plain)
         others = list(fresh.difference(plain))
         self.parts.update(zip(others, self.encode_each([part.decode() for part in others])))
         part_ids = self.parts
@@ -99,6 +103,9 @@ class Encoder:
         return np.diff(ends), self.ids[ragged(self.starts[codes], lengths)]
 
 
+# lower-case letters of ASCII and, as UTF-8, from U+00DF to U+00FF but the division sign
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
 # between an ASCII letter or digit and an ASCII mark other than an apostrophe, either way
 _BORDERS = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z0-9])")
 
@@ -202,4 +209,6 @@ def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataF
     spark = docs.sparkSession
     folder = fresh_path(spark, "tokens")
     write_tokens(docs, tokenizer, folder, end_id)
-    return with_starts(ids_crc32(read_tokens(spark, folder))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    # the digests are needed twice, the token pages once
+    digests = stored(ids_crc32(read_tokens(spark, folder)), "digests")
+    return with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
