@@ -34,11 +34,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that few texts are held as words at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: few rows, and of few bytes where a row is not larger by itself, so that few texts are held as
+    words at a time."""
     for batch in batches:
-        for begin in range(0, batch.num_rows, rows):
-            yield batch.slice(begin, rows)
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for begin in range(0, batch.num_rows, step):
+            yield batch.slice(begin, step)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

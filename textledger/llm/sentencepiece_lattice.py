@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain, repeat
@@ -13,7 +13,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textledger.llm.common import COUNTED_WORDS, head_count, let, ragged, slices, utf8
@@ -25,7 +25,7 @@ HELD_SEGMENTS = 4_000_000
 #: Longer segments, where no border cuts them, are folded where they stand.
 SEGMENT_CHARS = 64
 
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 SPACE = "▁"
 
 
@@ -41,7 +41,9 @@ class Pieces:
     joints: frozenset[str]  # pairs of letters that stand side by side in a piece
 
     def segments(self, chunk: str) -> list[str]:
-        """Cut where no piece reaches across: merges on either side do not meet."""
+        """A chunk, cut where no piece reaches across: merges on either side do not meet."""
+        if chunk[0] != SPACE:
+            chunk = SPACE + chunk
         cuts = [at for at in range(1, len(chunk)) if chunk[at - 1 : at + 1] not in self.joints]
         return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])] if cuts else [chunk]
 
@@ -100,8 +102,14 @@ _CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def chunks(text: str) -> list[str]:
-    """Words with the spaces before them (and spaces at the end), after one space put before the text."""
-    return _CHUNKS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    """Words with the spaces before them (and spaces at the end), after one space put before the text. A word after just
+    one space stands for itself, any other chunk is written with its spaces."""
+    if not text:
+        return []
+    if "  " not in text and SPACE not in text and text[0] != " " != text[-1]:
+        return text.split(" ")
+    found = _CHUNKS.findall(SPACE + text.replace(" ", SPACE))
+    return [chunk[1:] if len(chunk) > 1 and chunk[1] != SPACE else chunk for chunk in found]
 
 
 def _segment_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -210,15 +218,15 @@ class Held:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts, self.lengths, self.flat = [], np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.lengths, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def segment(self, segment: str, more: dict[str, list[int]]) -> list[int] | np.ndarray | None:
+    def segment(self, segment: str, more: dict[str, list[int]]) -> list[int] | None:
         if len(segment) > SEGMENT_CHARS:
             return self.pieces.fold(segment)
         key = xxhash.xxh3_64_intdigest(segment.encode())
         at = int(np.searchsorted(self.keys, np.uint64(key)))
         if at < len(self.keys) and self.keys[at] == key:
-            return self.ids[self.ends[at] : self.ends[at + 1]]
+            return self.ids[self.ends[at] : self.ends[at + 1]].tolist()
         return more.get(segment)
 
     def encode(self, texts: list[str], more: list[dict[str, list[int]]]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
@@ -229,16 +237,17 @@ class Held:
         lengths = []
         for text, (found, own) in enumerate(zip(lists, more)):
             for chunk in set(found).difference(self.known):
-                parts = {segment: self.segment(segment, own) for segment in self.pieces.segments(chunk)}
-                lost = [segment for segment, ids in parts.items() if ids is None]
-                missing[text].update(lost)
-                if not lost:
-                    ids = np.concatenate([np.asarray(parts[segment], np.int32) for segment in self.pieces.segments(chunk)])
+                segments = self.pieces.segments(chunk)
+                parts = [self.segment(segment, own) for segment in segments]
+                if None in parts:
+                    missing[text].update(segment for segment, ids in zip(segments, parts) if ids is None)
+                else:
                     self.known[chunk] = at + len(lengths)
-                    lengths.append(len(ids))
-                    fresh.append(ids)
-        if fresh:
-            self.flat = np.concatenate([self.flat, *fresh])
+                    before = len(fresh)
+                    fresh.extend(chain.from_iterable(parts))
+                    lengths.append(len(fresh) - before)
+        if lengths:
+            self.flat = np.append(self.flat, np.array(fresh, np.int32))
             self.lengths = np.append(self.lengths, np.array(lengths, np.int64))
             self.starts = np.cumsum(self.lengths) - self.lengths
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -288,31 +297,37 @@ def decode(ids: np.ndarray, texts: list[bytes]) -> str:
 
 
 def encode(docs: DataFrame, path: str, held: int = HELD_SEGMENTS) -> DataFrame:
-    """doc_id, text, ids for each row of `docs`: the ids that the model's own library gives for the whole text.
+    """doc_id, ids for each row of `docs`: the ids that the model's own library gives for the whole text.
 
     Every different segment of the corpus is encoded once, in the lattice. The ids of the `held` most frequent (by a
     threshold on their count) go to every task; a text with other segments is joined with theirs. A NULL text is empty
     and has no ids; U+2581 in a text reads as a space; NULL ids, repeated rows and empty tables stay as they are."""
-    spark: SparkSession = docs.sparkSession
+
+    def ids(doc_id: pa.Array, texts: list[str], flat: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([doc_id, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
+
+    return _encoded(docs, path, held, ids, "doc_id long, ids array<int>")
+
+
+def _encoded(docs: DataFrame, path: str, held: int, shape: Callable, schema: str) -> DataFrame:
+    """What `shape(doc_ids, texts, ids, ends)` makes of each batch."""
     rows = docs.select("doc_id", "text")
     segments = stored(encoded_segments(rows, path), "segments")
     least = head_count(segments, held)
-    shared = spark.sparkContext.broadcast(_pack(segments.where(F.col("n") >= least)))
+    shared = docs.sparkSession.sparkContext.broadcast(_pack(segments.where(F.col("n") >= least)))
     rare = segments.where(F.col("n") < least)
-    schema = "doc_id long, text string, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch], more: bool) -> Iterator[pa.RecordBatch]:
         store = _unpack(shared, path)
         for batch in slices(batches):
             texts = [text or "" for text in batch.column("text").to_pylist()]
-            own = [dict(zip(a or (), b or ())) for a, b in zip(batch.column("segments").to_pylist(), batch.column("found").to_pylist())] if more else [{}] * len(texts)
+            own = [{}] * len(texts)
+            if more:
+                own = [dict(zip(a or (), b or ())) for a, b in zip(*(batch.column(name).to_pylist() for name in ("segments", "found")))]
             flat, counts, missing = store.encode(texts, own)
             if any(missing):
                 raise ValueError("a segment without ids")
-            offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
-            yield pa.record_batch(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("text"), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "text", "ids"]
-            )
+            yield shape(batch.column("doc_id").cast(pa.int64()), texts, flat, np.append(0, np.cumsum(counts)))
 
     if rare.isEmpty():
         return rows.mapInArrow(lambda batches: run(batches, False), schema)
@@ -337,14 +352,12 @@ def encode_digest(docs: DataFrame, path: str, held: int = HELD_SEGMENTS) -> Data
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit numbers), round_trip (whether decoding the ids
     gives the text, with U+2581 read as a space) for each row of `docs`."""
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = pieces(path).texts
-        for batch in batches:
-            lists = batch.column("ids")
-            values, ends = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), np.dtype("<u4")), lists.offsets.to_numpy()
-            each = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
-            same = [decode(ids, texts) == (text or "").replace(SPACE, " ") for ids, text in zip(each, batch.column("text").to_pylist())]
-            columns = [batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array([zlib.crc32(ids) for ids in each], pa.int64()), pa.array(same, pa.bool_())]
-            yield pa.record_batch(columns, ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
-
-    return encode(docs, path, held).mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+    def digest(doc_id: pa.Array, texts: list[str], flat: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        pieces_of = pieces(path).texts
+        each = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        same = [decode(ids, pieces_of) == text.replace(SPACE, " ") for ids, text in zip(each, texts)]
+        crc = [zlib.crc32(ids.astype("<u4")) for ids in each]
+        columns = [doc_id, pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+        return pa.record_batch(columns, ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
+
+    return _encoded(docs, path, held, digest, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
