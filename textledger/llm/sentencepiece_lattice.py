@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textledger.llm.common import COUNTED_WORDS, head_count, let, ragged, slices, utf8
+from textledger.llm.common import head_count, let, ragged, slices, utf8
 from textledger.sources.shared import stored
 
 #: Segments whose ids every task may hold (28 bytes each); the ids of others are joined.
@@ -25,7 +25,10 @@ HELD_SEGMENTS = 4_000_000
 #: Longer segments, where no border cuts them, are folded where they stand.
 SEGMENT_CHARS = 64
 
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+
+#: Chunks that a task counts before it passes its counts on.
+COUNTED = 150_000
 SPACE = "▁"
 
 
@@ -129,7 +132,7 @@ def _segment_counts(docs: DataFrame, path: str) -> DataFrame:
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(chunks(text or ""))
-                if len(seen) > COUNTED_WORDS:
+                if len(seen) > COUNTED:
                     yield out()
                     seen.clear()
         if seen:
