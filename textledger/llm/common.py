@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
@@ -19,6 +19,12 @@ HEAD_WORDS = 1_000_000
 COUNTED_WORDS = 400_000
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """For sessions over long documents: Arrow batches of 1,000 rows, not 10,000, in the JVM and in Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def words(text: Column) -> Column:
     """The runs of characters other than U+0020 and U+0009 to U+000D; none where the text is NULL."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAKS), lambda word: word != "")

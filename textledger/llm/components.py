@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textledger.sources.shared import stored
 
 
+def at_roots(parents: DataFrame) -> DataFrame:
+    """node, parent with each parent replaced by the root above it. A step doubles the way that is gone; nodes whose parent
+    is a root leave, and the others look their parents up among all."""
+    known, done = parents, []
+    active = parents
+    while not active.isEmpty():
+        upper = known.select(F.col("node").alias("parent"), F.col("parent").alias("upper"))
+        step = stored(active.join(upper, "parent", "left"), "steps")
+        done.append(step.where("upper IS NULL").select("node", "parent"))
+        active = step.where("upper IS NOT NULL").select("node", F.col("upper").alias("parent"))
+        known = reduce(DataFrame.union, done, active)
+    return known
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that is reachable) for each node of `edges` (a, b: long, not NULL).
 
@@ -20,13 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = nodes.withColumn("component", F.col("node"))
     while not left.isEmpty():
         parents = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
-        parents = stored(parents, "parents")
-        while True:
-            upper = parents.select(F.col("node").alias("parent"), F.col("parent").alias("upper"))
-            parents = stored(parents.join(upper, "parent", "left").select("node", F.coalesce("upper", "parent").alias("parent"), "upper"), "parents")
-            if parents.where("upper IS NOT NULL").isEmpty():
-                break
-            parents = parents.drop("upper")
+        parents = at_roots(stored(parents, "parents"))
         of = lambda side: parents.select(F.col("node").alias(side), F.col("parent").alias(f"{side}_parent"))
         labels = labels.join(of("component"), "component", "left")
         labels = stored(labels.select("node", F.coalesce("component_parent", "component").alias("component")), "labels")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -188,16 +189,16 @@ def _scatter(sums: np.ndarray, rows: np.ndarray, observed: np.ndarray, expected:
     sums[1][ordered[first]] += np.add.reduceat(expected[order], first, axis=0)
 
 
-_LAST: dict[int, Vocabulary] = {}
+_LAST: dict[str, Vocabulary] = {}
 
 
 def _vocabulary(shared) -> Vocabulary:
     """The broadcast vocabulary, unpacked once for each worker."""
-    packed = shared.value
-    if id(packed) not in _LAST:
+    name, words, *sums = shared.value
+    if name not in _LAST:
         _LAST.clear()
-        _LAST[id(packed)] = Vocabulary(packed[0].to_pylist(), *packed[1:])
-    return _LAST[id(packed)]
+        _LAST[name] = Vocabulary(words.to_pylist(), *sums)
+    return _LAST[name]
 
 
 def packed_vocabulary(counts: DataFrame) -> tuple:
@@ -263,7 +264,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     counts = stored(counted(training, tokens), "words")
     packed = packed_vocabulary(counts)
     least = int(packed[1].min()) if len(packed[1]) else 1 << 62
-    shared = spark.sparkContext.broadcast(packed)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, *packed))
     vocabulary = Vocabulary(packed[0][: CLASSES * WIDTH].to_pylist(), packed[1][: CLASSES * WIDTH], *packed[2:])
     ready = spark.sparkContext.broadcast(train(training, shared, Model(vocabulary)))
 

@@ -93,15 +93,20 @@ def judged(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, na
 
     def verdict(found: Column) -> Column:
         total = F.aggregate(buckets(found), F.lit(0.0), lambda total, bucket: total + F.get(F.col("_ratios"), bucket))
-        grams = F.size(found) * 2 - 1
-        ratio = F.when(F.size(found) > 0, total / grams)
-        return F.struct(*(value.alias(key) for key, value in base_counts(text, found).items()), ratio.alias("ratio"))
-
-    rows = docs.withColumn("_ratios", ratios).withColumn(name, let(words(F.col("text")), verdict)).drop("_ratios")
-    failed = (F.col(name)["n_words"] < 50) | (100 * F.col(name)["n_repeat_words"] > 50 * F.col(name)["n_words"])
-    rows = rows.withColumn(name, F.col(name).withField("base_failed", failed))
-    kept = ~F.col(name)["base_failed"] & (F.coalesce(F.col(name)["ratio"], F.lit(0.0)) >= threshold)
-    return rows.withColumn(name, F.col(name).withField("kept", kept))
+        ratio = F.when(F.size(found) > 0, total / (F.size(found) * 2 - 1))
+        counts = F.struct(*(value.alias(key) for key, value in base_counts(text, found).items()), ratio.alias("ratio"))
+        return let(counts, lambda row: let(base_failed(row), lambda failed: decided(row, failed)))
+
+    def base_failed(row: Column) -> Column:
+        return (row["n_words"] < 50) | (100 * row["n_repeat_words"] > 50 * row["n_words"])
+
+    def decided(row: Column, failed: Column) -> Column:
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        kept = ~failed & (F.coalesce(row["ratio"], F.lit(0.0)) >= threshold)
+        return F.struct(*(row[name].alias(name) for name in names), failed.alias("base_failed"), row["ratio"].alias("ratio"), kept.alias("kept"))
+
+    # one expression, so that a filter on the verdict does not work it out once for each field that it takes in
+    return docs.withColumn("_ratios", ratios).withColumn(name, let(words(F.col("text")), verdict)).drop("_ratios")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -18,10 +18,11 @@ from textledger.llm import (
     token_files,
     topk_search,
 )
+from textledger.llm.common import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -264,15 +265,16 @@ class Held:
         return flat, np.diff(ends), missing
 
 
-_LAST: dict[int, Held] = {}
+_LAST: dict[str, Held] = {}
 
 
 def _unpack(shared, path: str) -> Held:
-    packed = shared.value
-    if id(packed) not in _LAST:
+    """The broadcast ids, with what is remembered of them, once for each worker."""
+    name, *packed = shared.value
+    if name not in _LAST:
         _LAST.clear()
-        _LAST[id(packed)] = Held(packed, path)
-    return _LAST[id(packed)]
+        _LAST[name] = Held(tuple(packed), path)
+    return _LAST[name]
 
 
 def _pack(segments: DataFrame) -> tuple:
@@ -317,7 +319,7 @@ def _encoded(docs: DataFrame, path: str, held: int, shape: Callable, schema: str
     rows = docs.select("doc_id", "text")
     segments = stored(encoded_segments(rows, path), "segments")
     least = head_count(segments, held)
-    shared = docs.sparkSession.sparkContext.broadcast(_pack(segments.where(F.col("n") >= least)))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *_pack(segments.where(F.col("n") >= least))))
     rare = segments.where(F.col("n") < least)
 
     def run(batches: Iterator[pa.RecordBatch], more: bool) -> Iterator[pa.RecordBatch]:
