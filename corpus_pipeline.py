@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textledger.llm import jaccard_join, mixing, quality_classifier, quality_rules, sentencepiece_lattice
+from textledger.llm.common import small_batches
 from textledger.sources.shared import stored
 
 
@@ -14,14 +15,17 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality_rules.keep_good(docs, quality_rules.trusted_ids(_labels(spark, sf_dir)))
 
 
 def good_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality_classifier.keep_good(docs, _labels(spark, sf_dir))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
@@ -31,6 +35,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, round_trip of each row of the mix."""
+    small_batches(spark)
     return sentencepiece_lattice.encode_digest(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
