@@ -18,10 +18,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('/corpus/', source, '/', lang, '/', doc_id, '.pdf') AS file_path",
         "sha2(text, 256) AS file_hash",
         "n_chars AS file_size",
-        "CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 5 = 0 THEN substr(text, 1, 20) ELSE text END AS direct_text",
+        "CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 5 = 0 THEN concat('Document ', source, ' ', lang) ELSE text END AS direct_text",
         "CASE WHEN doc_id % 7 = 3 THEN 'Failed to load PDF document' END AS direct_error",
         "CAST(1 + doc_id % 5 AS INT) AS direct_pages",
-        "CASE WHEN doc_id % 10 = 0 THEN substr(text, 1, 40) END AS alt_text",
+        "CASE WHEN doc_id % 10 = 0 THEN CASE WHEN doc_id % 20 = 0 THEN text ELSE source END END AS alt_text",
         "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('OCR ', text) END AS ocr_text",
         "CASE WHEN doc_id % 3 = 0 THEN 'No images generated from PDF' END AS ocr_error",
         "CAST(1 + doc_id % 4 AS INT) AS ocr_pages",
@@ -62,12 +62,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: a page per line, every fifth cut short, every seventh not valid UTF-8."""
+    """Documents as files: a page per line, every fifth a short title, every seventh not valid UTF-8."""
     return table(spark, sf_dir, "documents").selectExpr(
         "concat('/corpus/', source, '/', lang, '/', doc_id, '.pdf') AS path",
         "timestamp_seconds(1700000000 + doc_id) AS modificationTime",
         """CASE WHEN doc_id % 7 = 3 THEN concat(unhex('FF'), encode(replace(text, '\n', '\f'), 'UTF-8'))
-                WHEN doc_id % 5 = 0 THEN encode(substr(replace(text, '\n', '\f'), 1, 20), 'UTF-8')
+                WHEN doc_id % 5 = 0 THEN encode(concat('Document ', source, ' ', lang), 'UTF-8')
                 ELSE encode(replace(text, '\n', '\f'), 'UTF-8') END AS content""",
     ).selectExpr("path", "modificationTime", "CAST(octet_length(content) AS BIGINT) AS length", "content")
 

@@ -19,11 +19,11 @@ candidates AS (
          n_chars,
          text AS full_text,
          CASE WHEN doc_id % 7 = 3 THEN NULL
-              WHEN doc_id % 5 = 0 THEN substr(text, 1, 20)
+              WHEN doc_id % 5 = 0 THEN concat('Document ', source, ' ', lang)
               ELSE text END AS direct_text,
          CASE WHEN doc_id % 7 = 3 THEN 'Failed to load PDF document' END AS direct_error,
          CAST(1 + doc_id % 5 AS INT) AS direct_pages,
-         CASE WHEN doc_id % 10 = 0 THEN substr(text, 1, 40) END AS alt_text,
+         CASE WHEN doc_id % 10 = 0 THEN CASE WHEN doc_id % 20 = 0 THEN text ELSE source END END AS alt_text,
          CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('OCR ', text) END AS ocr_text,
          CASE WHEN doc_id % 3 = 0 THEN 'No images generated from PDF' END AS ocr_error,
          CAST(1 + doc_id % 4 AS INT) AS ocr_pages
@@ -170,9 +170,9 @@ files AS (
   SELECT concat('/corpus/', source, '/', lang, '/', doc_id, '.pdf') AS path,
          1700000000 + doc_id AS modified,
          doc_id % 7 = 3 AS is_broken,
-         CASE WHEN doc_id % 7 <> 3 AND doc_id % 5 = 0 THEN substr(paged, 1, 20) ELSE paged END AS body,
+         CASE WHEN doc_id % 7 <> 3 AND doc_id % 5 = 0 THEN concat('Document ', source, ' ', lang) ELSE paged END AS body,
          CASE WHEN doc_id % 7 = 3 THEN '\\xFF'::BLOB || encode(paged)
-              WHEN doc_id % 5 = 0 THEN encode(substr(paged, 1, 20))
+              WHEN doc_id % 5 = 0 THEN encode(concat('Document ', source, ' ', lang))
               ELSE encode(paged) END AS content
   FROM lines)
 """
