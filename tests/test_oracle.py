@@ -2,6 +2,7 @@ import pytest
 from oracle_check import compare, duck
 
 import __spark_entry__ as contract
+from registered.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -19,7 +20,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"discovered_files"}
+    assert set(QUERIES) - set(contract.oracle_sql()) == {"discovered_files"}
 
 
 def test_discovered_files_are_the_tables(spark):
