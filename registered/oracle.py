@@ -118,12 +118,12 @@ SELECT count(*) AS total,
 FROM {source}"""
 
 
-def _listing(condition: str) -> str:
+def _listing(condition: str, rows: str = _DEFAULT, source: str = "outcome") -> str:
     return f"""
-WITH {_DEFAULT}
+WITH {rows}
 SELECT file_path, file_hash, file_size, extraction_method, page_count, processing_time_seconds,
        {_STAMP} AS timestamp, success, error_message
-FROM outcome WHERE {condition}"""
+FROM {source} WHERE {condition}"""
 
 
 def _json(text: str) -> str:
@@ -229,6 +229,15 @@ WHEN dt IS NOT NULL THEN 'direct_partial'
 """
 _BOTH_FAILED = "'Direct: Failed to load PDF document, OCR: No images generated from PDF'"
 
+_STORED = f"""
+{_VERSIONS},
+stored AS (SELECT * REPLACE (make_timestamp(2024, 1, batch_id, 0, 0, 0.0) AS timestamp) FROM current_rows)
+"""
+
+_ROW = f"""
+file_path, file_hash, file_size, extraction_method, extracted_text, page_count, processing_time_seconds,
+{_STAMP} AS timestamp, success, error_message, CAST(batch_id AS BIGINT) AS batch_id"""
+
 _HELD = """
 held AS (SELECT file_path, file_hash FROM versions WHERE batch_id = 1),
 listing AS (SELECT file_path, file_hash FROM versions WHERE batch_id = 2)
@@ -273,6 +282,16 @@ WITH {_VERSIONS}
 SELECT file_path, file_hash, file_size, extraction_method, extracted_text, page_count, processing_time_seconds,
        {_STAMP} AS timestamp, success, error_message, CAST(batch_id AS BIGINT) AS batch_id
 FROM current_rows""",
+    "upsert_sequence": f"""
+WITH {_VERSIONS},
+writes AS (
+  SELECT v.* REPLACE ('write ' || n || ' ' || extracted_text AS extracted_text), CASE WHEN doc_id % 3 <> n THEN n END AS seq
+  FROM versions v, (VALUES (0), (1), (2)) w(n) WHERE batch_id = 2),
+written AS (SELECT *, NULL AS seq FROM versions WHERE batch_id = 1 UNION ALL SELECT * FROM writes),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY file_path, file_hash ORDER BY batch_id DESC, seq DESC NULLS LAST) AS last
+  FROM written)
+SELECT {_ROW} FROM placed WHERE file_hash IS NULL OR last = 1""",
     "already_processed": f"WITH {_VERSIONS}, {_HELD} SELECT * FROM listing l WHERE {_IS_HELD}",
     "pending_files": f"WITH {_VERSIONS}, {_HELD} SELECT * FROM listing l WHERE NOT {_IS_HELD}",
     "run_summary": f"""
@@ -285,6 +304,19 @@ WITH {_VERSIONS}
 SELECT file_path, file_hash, file_size, extraction_method, extracted_text, page_count, processing_time_seconds,
        '2024-01-0' || batch_id || ' 00:00:00' AS timestamp, success, error_message
 FROM current_rows""",
+    "stored_search": _search(_STORED, "stored", "the on", 100),
+    "stored_stats": _stats(_STORED, "stored"),
+    "stored_list": _listing("true", _STORED, "stored"),
+    "run_files": f"""
+WITH bodies AS (
+  SELECT conv_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS body FROM conversations GROUP BY conv_id),
+paged AS (
+  SELECT *, CASE WHEN {_is_blank("body")} THEN '' ELSE '--- Page 1 ---' || chr(10) || body || chr(10) || chr(10) END AS shown
+  FROM bodies)
+SELECT conv_id, sha256(body) AS file_hash, CAST(strlen(body) AS BIGINT) AS file_size,
+       CASE WHEN {_nbytes("shown")} > 50 THEN 'direct' ELSE 'direct_partial' END AS extraction_method,
+       shown AS extracted_text, CAST(1 AS INT) AS page_count, '2024-01-0' || (1 + conv_id % 2) || ' 00:00:00' AS timestamp
+FROM paged""",
     "stored_report": f"""
 SELECT unnest(string_split(left(block, length(block) - 1), chr(10))) AS line FROM ({_BLOCKS})
 UNION ALL

@@ -14,11 +14,11 @@ from textledger.operators.pages import assemble_pages, page_counts
 from textledger.operators.queries import list_files, run_summary, search, statistics
 from textledger.operators.reports import json_records, text_blocks, write_json, write_text_report
 from textledger.operators.versions import already_processed, current_versions, pending, upsert
-from textledger.plans.extraction import extract, with_fingerprint
+from textledger.plans.extraction import extract, run_extraction, with_fingerprint
 from textledger.plans.extraction import pending_files as pending_content
 from textledger.schema import LEDGER, VERSIONS
 from textledger.sources.files import scan_files
-from textledger.sources.ledger import read_ledger, write_batch
+from textledger.sources.ledger import read_ledger, read_versions, write_batch
 from textledger.sources.shared import fresh_path
 
 
@@ -29,7 +29,7 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = (rows.select(*LEDGER.names) for rows in fixtures.batches(spark, sf_dir))
     history = first.withColumn("batch_id", F.lit(1).cast("bigint"))
-    return upsert(history, second, 2).select(*VERSIONS.names)
+    return upsert(history, second, 2, unique=True).select(*VERSIONS.names)
 
 
 def search_text(spark, sf_dir):
@@ -146,6 +146,21 @@ def upsert_current(spark, sf_dir):
     return rows.withColumn("timestamp", shown_time(F.col("timestamp")))
 
 
+def upsert_sequence(spark, sf_dir):
+    """The second batch writes each key three times, one of them without a number."""
+    first, second = fixtures.batches(spark, sf_dir)
+    number = F.explode(F.array(*map(F.lit, range(3))))
+    writes = second.withColumn("n", number).withColumns(
+        {
+            "seq": F.expr("IF(doc_id % 3 = n, NULL, n)"),
+            "extracted_text": F.concat(F.lit("write "), F.col("n").cast("string"), F.lit(" "), "extracted_text"),
+        }
+    )
+    history = first.select(*LEDGER.names).withColumn("batch_id", F.lit(1).cast("bigint"))
+    rows = current_versions(upsert(history, writes.select(*LEDGER.names, "seq"), 2, sequence="seq"))
+    return rows.withColumn("timestamp", shown_time(F.col("timestamp")))
+
+
 def _first_ledger_and_second_listing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     first, second = fixtures.batches(spark, sf_dir)
     return first, second.select("file_path", "file_hash")
@@ -195,12 +210,45 @@ def discovered_files(spark, sf_dir):
     return files.select("path", "length", F.unix_seconds("modificationTime").alias("modified"), "file_hash")
 
 
-def stored_ledger(spark, sf_dir):
-    """Two batches written to storage, the current rows read back."""
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """Path of a ledger with two batches."""
     path = fresh_path(spark, "ledger")
     for day, rows in enumerate(fixtures.batches(spark, sf_dir), start=1):
-        write_batch(rows, path, loaded_at=datetime(2024, 1, day), unique=True)
-    return read_ledger(spark, path).withColumn("timestamp", shown_time(F.col("timestamp")))
+        write_batch(rows, path, loaded_at=datetime(2024, 1, day))
+    return path
+
+
+def stored_ledger(spark, sf_dir):
+    """Two batches written to storage, the current rows read back."""
+    return read_ledger(spark, _stored(spark, sf_dir)).withColumn("timestamp", shown_time(F.col("timestamp")))
+
+
+def stored_search(spark, sf_dir):
+    return search(read_versions(spark, _stored(spark, sf_dir)), "the on", 100)
+
+
+def stored_stats(spark, sf_dir):
+    return statistics(read_versions(spark, _stored(spark, sf_dir)))
+
+
+def stored_list(spark, sf_dir):
+    return list_files(read_versions(spark, _stored(spark, sf_dir)), include_failed=True)
+
+
+def run_files(spark, sf_dir):
+    """Conversations as text files: one run over half of them, a second one after the others were added."""
+    folder, ledger = fresh_path(spark, "in"), fresh_path(spark, "ledger")
+    turns = fixtures.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    for day, half in enumerate(["conv_id % 2 = 0", "conv_id % 2 = 1"], start=1):
+        lines = turns.where(half).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+        lines.select("conv_id", "text").write.mode("append").partitionBy("conv_id").text(folder)
+        run_extraction(
+            spark, folder, ledger, suffix="txt", full_hash=True, text_only=True, loaded_at=datetime(2024, 1, day),
+            direct=form_feed_text, alternative=form_feed_text,
+        )
+    rows = read_ledger(spark, ledger).withColumn("timestamp", shown_time(F.col("timestamp")))
+    conv_id = F.regexp_extract("file_path", r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id")
+    return rows.select(conv_id, "file_hash", "file_size", "extraction_method", "extracted_text", "page_count", "timestamp")
 
 
 def stored_report(spark, sf_dir):
@@ -248,6 +296,7 @@ QUERIES = {
     "full_fingerprint": full_fingerprints,
     "fast_fingerprint": fast_fingerprints,
     "upsert_current": upsert_current,
+    "upsert_sequence": upsert_sequence,
     "already_processed": already_processed_files,
     "pending_files": pending_files,
     "run_summary": summary_of_run,
@@ -256,6 +305,10 @@ QUERIES = {
     "extract_ocr_only": _extract(ocr_only=True),
     "extract_pending": extract_pending,
     "stored_ledger": stored_ledger,
+    "stored_search": stored_search,
+    "stored_stats": stored_stats,
+    "stored_list": stored_list,
+    "run_files": run_files,
     "stored_report": stored_report,
     "stored_json": stored_json,
     "discovered_files": discovered_files,

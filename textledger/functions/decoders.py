@@ -39,7 +39,7 @@ def python_decoder(decode: Callable[[bytes], list[str | None]], failure: str | N
             try:
                 pages = [page if page is None else page.encode("utf-8", "replace") for page in decode(content)]
             except Exception as caught:
-                error = failure or str(caught) or type(caught).__name__
+                error = (failure or str(caught) or type(caught).__name__).encode("utf-8", "replace")
             return {"pages": pages, "error": error, "seconds": perf_counter() - started}
 
         for batch in batches:

@@ -68,6 +68,9 @@ def json_records(ledger: DataFrame, include_text: bool = False) -> DataFrame:
     return rows.withColumn("timestamp", json_time(F.col("timestamp")))
 
 
-def write_json(ledger: DataFrame, path: str, include_text: bool = False) -> None:
-    """Write JSON lines under `path`, one object per row, NULLs spelled out."""
-    json_records(ledger, include_text).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_json(ledger: DataFrame, path: str, include_text: bool = False, single_file: bool = False) -> None:
+    """Write JSON lines under `path`, one object per row, NULLs spelled out; `single_file` as for the text report."""
+    rows = json_records(ledger, include_text)
+    if single_file:
+        rows = rows.coalesce(1)
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

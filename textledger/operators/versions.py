@@ -11,21 +11,24 @@ from pyspark.sql import functions as F
 from textledger.schema import KEY
 
 
-def replaced_rows(versions: DataFrame) -> DataFrame:
-    """`KEY` and `batch_id` of every row that a later batch replaces.
+def replaced_keys(versions: DataFrame) -> DataFrame:
+    """`KEY` and `last_batch` of every key that more than one batch wrote.
 
-    Reads keys only and gathers the batches of a key before the shuffle, so a key that very many rows share
-    arrives as a few short lists; a list is never longer than the number of batches. The result is
-    small unless files are reprocessed en masse.
+    Reads keys only and keeps two numbers per key before the shuffle, so a key that very many rows share arrives as
+    a few short rows. One row per key results, however often it was rewritten.
     """
-    written = versions.where(F.col("file_hash").isNotNull()).groupBy(*KEY).agg(F.collect_set("batch_id").alias("batches"))
-    all_but_last = F.slice(F.sort_array("batches"), F.lit(1), F.size("batches") - 1)
-    return written.where(F.size("batches") > 1).select(*KEY, F.explode(all_but_last).alias("batch_id"))
+    written = versions.where(F.col("file_hash").isNotNull()).groupBy(*KEY)
+    spans = written.agg(F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch"))
+    return spans.where("first_batch < last_batch").select(*KEY, "last_batch")
 
 
 def without_replaced(rows: DataFrame, replaced: DataFrame) -> DataFrame:
-    """`rows` without those in `replaced_rows`. The batch is part of the join key: a hot key's rows spread out."""
-    return rows.join(replaced, [*KEY, "batch_id"], "left_anti")
+    """`rows` without those of earlier batches than `replaced_keys` names; the extra join key is as in `_tested`."""
+    key_hash = F.xxhash64(*KEY)
+    left, right = rows.withColumn("key_hash", key_hash).alias("rows"), replaced.withColumn("key_hash", key_hash).alias("last")
+    same_key = [F.col(f"rows.{name}") == F.col(f"last.{name}") for name in [*KEY, "key_hash"]]
+    earlier = F.col("rows.batch_id") < F.col("last.last_batch")
+    return left.join(right, [*same_key, earlier], "left_anti").select(*rows.columns)
 
 
 def current_versions(rows: DataFrame, versions: DataFrame | None = None) -> DataFrame:
@@ -35,27 +38,38 @@ def current_versions(rows: DataFrame, versions: DataFrame | None = None) -> Data
     `rows` cut down to what is needed, keeping `KEY` and `batch_id`, and texts stay where they are. At run
     time the adaptive planner broadcasts the replaced rows' keys if they are few.
     """
-    return without_replaced(rows, replaced_rows(rows if versions is None else versions))
+    return without_replaced(rows, replaced_keys(rows if versions is None else versions))
 
 
-def last_in_sequence(rows: DataFrame, sequence: str) -> DataFrame:
-    """Of the rows of each key the one with the greatest `sequence`; all rows with a NULL hash.
+def one_per_key(rows: DataFrame, sequence: str | None = None) -> DataFrame:
+    """One row of each key, and all rows with a NULL hash.
 
-    The sequence is part of the join key for the same reason, and the greatest one is found from keys alone.
+    Of several rows of a key the one with the greatest `sequence` stays; a NULL sequence is the lowest, and equal ones
+    are told apart by the other columns in their order. Without `sequence`, several rows of a key fail the job.
+    Each task keeps one row per key before the shuffle, so a hot key stays small.
     """
-    last = rows.where(F.col("file_hash").isNotNull()).groupBy(*KEY).agg(F.max(sequence).alias(sequence))
-    unhashed = rows.where(F.col("file_hash").isNull())
-    return unhashed.unionByName(rows.join(last, [*KEY, sequence], "left_semi"))
-
-
-def upsert(versions: DataFrame, rows: DataFrame, batch_id: int, sequence: str | None = None) -> DataFrame:
+    rest = [name for name in rows.columns if name not in [*KEY, sequence]]
+    ordered = F.struct(*([sequence] if sequence else []), *rest)
+    lone = F.when(F.col("file_hash").isNull(), F.monotonically_increasing_id())
+    best = rows.groupBy(*KEY, lone.alias("lone")).agg(F.max(ordered).alias("best"), F.count("*").alias("n"))
+    if sequence is None:
+        refused = F.raise_error(F.lit("several rows of one key; name the column that orders them as sequence"))
+        best = best.where(F.when(F.col("n") > 1, refused.cast("boolean")).otherwise(True))
+    return best.select(*KEY, "best.*").select(*rows.columns)
+
+
+def upsert(
+    versions: DataFrame, rows: DataFrame, batch_id: int, sequence: str | None = None, unique: bool = False
+) -> DataFrame:
     """The history after `rows` are written as batch `batch_id`; `current_versions` reads the outcome.
 
-    `sequence` names a column that numbers writes inside the batch (the last one wins); without it each
-    key must occur once in `rows`.
+    `sequence` names a column that numbers writes inside the batch (the last one wins, see `one_per_key`); without
+    it a key that occurs twice in `rows` fails the job. `unique` vouches for that and spares the shuffle.
     """
+    if sequence is not None or not unique:
+        rows = one_per_key(rows, sequence)
     if sequence is not None:
-        rows = last_in_sequence(rows, sequence).drop(sequence)
+        rows = rows.drop(sequence)
     return versions.unionByName(rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")))
 
 

@@ -133,7 +133,7 @@ def pending_files(
 
 def run_extraction(
     spark: SparkSession,
-    folder: str,
+    folder: str | list[str],
     ledger_path: str,
     text_only: bool = False,
     ocr_only: bool = False,
@@ -147,9 +147,12 @@ def run_extraction(
     loaded_at: datetime | None = None,
     ranged_reads: bool = False,
     empty_files: bool = True,
+    suffix: str = "pdf",
     **reading,
 ) -> dict[str, int]:
-    """Extract every PDF under `folder` that `ledger_path` does not hold yet (`force`: every one of them).
+    """Extract every `.suffix` file under `folder` that `ledger_path` does not hold yet (`force`: every one of them).
+
+    A `batch_id` that the ledger holds is rebuilt as a whole: only rows of other batches count as held.
 
     Returns processed, successful and failed counts. Without decoders of your own, the workers need the
     `pdftotext`, `pdftoppm` and `tesseract` commands. `ranged_reads` spares a repeated run from reading all
@@ -157,9 +160,12 @@ def run_extraction(
     `reading` (`max_file_bytes`, `skip_unreadable`) are as for `scan_files`; files left out for their size
     stay pending for a run with more memory.
     """
-    files = scan_files(spark, folder, empty_files=empty_files, **reading)
+    files = scan_files(spark, _separate(folder), suffix, empty_files=empty_files, **reading)
     if not force and batch_ids(spark, ledger_path):
-        files = pending_files(spark, files, read_versions(spark, ledger_path), full_hash, ranged_reads, **reading)
+        held = read_versions(spark, ledger_path)
+        if batch_id is not None:
+            held = held.where(F.col("batch_id") != batch_id)
+        files = pending_files(spark, files, held, full_hash, ranged_reads, **reading)
     if files.select("path").isEmpty():
         return {"processed": 0, "successful": 0, "failed": 0}
     rows = extract(
@@ -171,5 +177,12 @@ def run_extraction(
         ocr_only=ocr_only,
         full_hash=full_hash,
     )
-    # A listing holds each path once.
-    return write_batch(rows, ledger_path, batch_id, loaded_at, unique=True)
+    return write_batch(rows, ledger_path, batch_id, loaded_at)
+
+
+def _separate(folder: str | list[str]) -> str | list[str]:
+    """Folders without those inside another one, so that each file is listed once."""
+    if isinstance(folder, str):
+        return folder
+    bare = sorted({each.rstrip("/") for each in folder})
+    return [each for each in bare if not any(each.startswith(f"{other}/") for other in bare)]

@@ -1,32 +1,80 @@
-"""The stored ledger: Parquet under one folder, one `batch_id=N` subfolder per run, never changed in place."""
+"""The stored ledger: Parquet under one folder, one `batch_id=N` subfolder per run, never changed in place.
 
+A batch counts once its folder holds the file `_committed`, which is created last. A new batch reserves its number by
+creating `_reserved` first, so writers that run at once get numbers of their own.
+"""
+
+import threading
+import uuid
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textledger import formats
 from textledger.operators.queries import summary_counts
-from textledger.operators.versions import last_in_sequence, replaced_rows, without_replaced
+from textledger.operators.versions import one_per_key, replaced_keys, without_replaced
 from textledger.schema import KEY, LEDGER, VERSIONS
 from textledger.sources.shared import stored_for_join
 
 
-def batch_ids(spark: SparkSession, path: str) -> list[int]:
-    """Batches the ledger holds, ascending; empty if there is no ledger yet. Lists folders, reads no data."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+COMMITTED, RESERVED = "_committed", "_reserved"
+
+_reserving = threading.Lock()
+
+
+def _path(spark: SparkSession, *parts: str):
+    """A path for the file system's calls, and that file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of all batch folders, unfinished ones too."""
+    folder, files = _path(spark, path)
     if not files.exists(folder):
         return []
     names = [status.getPath().getName() for status in files.listStatus(folder)]
     return sorted(int(name.removeprefix("batch_id=")) for name in names if name.startswith("batch_id="))
 
 
+def _create(spark: SparkSession, *parts: str) -> bool:
+    """Create an empty file; False if there is one already."""
+    file, files = _path(spark, *parts)
+    try:
+        return files.createNewFile(file)
+    except Py4JJavaError:
+        if files.exists(file):  # another writer was first
+            return False
+        raise
+
+
+def _reserve(spark: SparkSession, path: str) -> int:
+    """The next free batch number. File systems with an exclusive create keep drivers apart, the lock threads of one."""
+    with _reserving:
+        while True:
+            number = max(_numbers(spark, path), default=0) + 1
+            if _create(spark, path, f"batch_id={number}", RESERVED):
+                return number
+
+
+def batch_ids(spark: SparkSession, path: str) -> list[int]:
+    """Finished batches of the ledger, ascending; empty if there is no ledger yet. Lists folders, reads no data."""
+
+    def finished(number: int) -> bool:
+        marker, files = _path(spark, path, f"batch_id={number}", COMMITTED)
+        return files.exists(marker)
+
+    return [number for number in _numbers(spark, path) if finished(number)]
+
+
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
-    """All rows ever written, with `batch_id`; no rows if there is no ledger yet."""
-    if not batch_ids(spark, path):
+    """All rows of finished batches, with `batch_id`; no rows if there is no ledger yet."""
+    folders = [f"{path}/batch_id={number}" for number in batch_ids(spark, path)]
+    if not folders:
         return spark.createDataFrame([], VERSIONS)
-    return spark.read.schema(VERSIONS).option("basePath", path).parquet(path)
+    return spark.read.schema(VERSIONS).option("basePath", path).parquet(*folders)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +86,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     versions = read_versions(spark, path)
     if len(batch_ids(spark, path)) < 2:  # nothing can have been replaced
         return versions.drop("batch_id")
-    replaced, number = stored_for_join(replaced_rows(versions), "replaced")
+    replaced, number = stored_for_join(replaced_keys(versions), "replaced")
     return (without_replaced(versions, replaced) if number else versions).drop("batch_id")
 
 
@@ -77,26 +125,50 @@ def write_batch(
 ) -> dict[str, int]:
     """Upsert `rows` as one batch; returns processed, successful and failed counts of what was written.
 
-    Rows get the load time as `timestamp`. The batch is the next one, or `batch_id`, whose folder is then
-    replaced as a whole, so a run can be repeated. `sequence` orders several rows of one key; without
-    it keys must be unique, which is verified unless the caller vouches for it with `unique`.
+    Rows get the load time as `timestamp`. The batch is the next one, or `batch_id`, whose old rows are then
+    replaced as a whole once the new ones are complete. `sequence` orders several rows of one key (see
+    `one_per_key`); without it keys must be unique, which is verified on the written keys, before the batch
+    counts, unless the caller vouches for it with `unique`. A batch that fails leaves nothing behind that is read.
     """
     spark = rows.sparkSession
-    if batch_id is None:
-        batch_id = max(batch_ids(spark, path), default=0) + 1
     if sequence is not None:
-        rows = last_in_sequence(rows, sequence)
-    elif not unique and not _repeated_keys(rows).isEmpty():
-        raise ValueError("a batch holds several rows of one key; name the column that orders them as sequence")
+        rows = one_per_key(rows, sequence)
+    if batch_id is None:
+        folder = f"{path}/batch_id={_reserve(spark, path)}"
+    else:
+        folder = f"{path}/_staged-{uuid.uuid4().hex}"
     counts = Observation()
     batch = conform(rows.withColumn("timestamp", load_time(loaded_at)))
     # Texts of all sizes come from very many small inputs: even them out into files of sensible size.
     # Counting comes after that shuffle, in the tasks that write, so that a repeated map task adds nothing.
     counted = batch.hint("rebalance", "file_path").observe(counts, *summary_counts())
-    counted.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    try:
+        counted.write.mode("append").parquet(folder)
+        # On what was written: rows may be costly, and are made once.
+        if not unique and sequence is None and not _repeated_keys(spark.read.schema(LEDGER).parquet(folder)).isEmpty():
+            raise ValueError("a batch holds several rows of one key; name the column that orders them as sequence")
+    except BaseException:
+        half, files = _path(spark, folder)
+        files.delete(half, True)
+        raise
+    _create(spark, folder, COMMITTED)
+    if batch_id is not None:
+        _put_in_place(spark, folder, path, batch_id)
     return counts.get
 
 
+def _put_in_place(spark: SparkSession, staged: str, path: str, batch_id: int) -> None:
+    """Rename a complete batch to its place; the rows it replaces are deleted after that."""
+    target, files = _path(spark, path, f"batch_id={batch_id}")
+    replaced = _path(spark, path, f"_replaced-{uuid.uuid4().hex}")[0]
+    with _reserving:
+        held = files.exists(target) and files.rename(target, replaced)
+        if not files.rename(_path(spark, staged)[0], target):
+            raise OSError(f"cannot rename {staged} to batch {batch_id}")
+    if held:
+        files.delete(replaced, True)
+
+
 def _repeated_keys(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("file_hash").isNotNull()).groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -105,3 +177,4 @@ def compact(spark: SparkSession, path: str, new_path: str) -> None:
     """Write the current versions of a ledger as the first batch of a new one, load times kept."""
     rows = conform(read_ledger(spark, path))
     rows.hint("rebalance", "file_path").write.mode("error").parquet(f"{new_path}/batch_id=1")
+    _create(spark, new_path, "batch_id=1", COMMITTED)
