@@ -42,14 +42,23 @@ class Pieces:
     texts: list[bytes]  # of each id
     byte_id: int  # of byte 0; the others follow
     longest: int
-    joints: frozenset[str]  # pairs of letters that stand side by side in a piece
-
-    def segments(self, chunk: str) -> list[str]:
-        """A chunk, cut where no piece reaches across: merges on either side do not meet."""
-        if chunk[0] != SPACE:
-            chunk = SPACE + chunk
-        cuts = [at for at in range(1, len(chunk)) if chunk[at - 1 : at + 1] not in self.joints]
-        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])] if cuts else [chunk]
+    joints: np.ndarray  # pairs of letters that stand side by side in a piece, as numbers, ascending
+
+    def split(self, found: list[str]) -> tuple[list[str], np.ndarray]:
+        """Segments of chunks, one chunk after the other, and the number of each chunk's: they are cut where no piece
+        reaches across, as merges on either side do not meet."""
+        whole = [chunk if chunk[0] == SPACE else SPACE + chunk for chunk in found]
+        line = "".join(whole)
+        letters = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        pairs = (letters[:-1] << np.uint64(32)) | letters[1:]
+        at = np.minimum(np.searchsorted(self.joints, pairs), len(self.joints) - 1)
+        cuts = np.append(self.joints[at] != pairs, True)
+        ends = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
+        cuts[ends - 1] = True
+        stops = np.flatnonzero(cuts) + 1
+        places = stops.tolist()
+        segments = [line[a:b] for a, b in zip([0, *places], places)]
+        return segments, np.diff(np.searchsorted(stops, ends, "right"), prepend=0)
 
     def fold(self, segment: str) -> list[int]:
         """The fold below in numpy, for long segments: every step merges the best pair wherever it stands."""
@@ -98,7 +107,8 @@ def pieces(path: str) -> Pieces:
     for at in plain:
         texts[at] = names[at].replace(SPACE, " ").encode()
     ids = {names[at]: at for at in plain}
-    joints = frozenset(name[at : at + 2] for name in ids for at in range(len(name) - 1))
+    joints = {ord(a) << 32 | ord(b) for name in ids for a, b in zip(name, name[1:])}
+    joints = np.array(sorted(joints), np.uint64)
     return Pieces(ids, {names[at]: model.get_score(at) for at in plain}, texts, byte_id, max(map(len, ids)), joints)
 
 
@@ -124,9 +134,9 @@ def _segment_counts(docs: DataFrame, path: str) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             totals: Counter = Counter()
-            for chunk, n in seen.items():
-                for segment in table.segments(chunk):
-                    totals[segment] += n
+            segments, sizes = table.split(list(seen))
+            for segment, n in zip(segments, np.repeat(np.array(list(seen.values())), sizes).tolist()):
+                totals[segment] += n
             kept = [segment for segment in totals if len(segment) <= SEGMENT_CHARS]
             return pa.record_batch([pa.array(kept, pa.string()), pa.array([totals[each] for each in kept], pa.int64())], ["segment", "n"])
 
@@ -224,42 +234,49 @@ class Held:
         self.known: dict[str, int] = {}
         self.lengths, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def segment(self, segment: str, more: dict[str, list[int]]) -> list[int] | None:
-        if len(segment) > SEGMENT_CHARS:
-            return self.pieces.fold(segment)
-        key = xxhash.xxh3_64_intdigest(segment.encode())
-        at = int(np.searchsorted(self.keys, np.uint64(key)))
-        if at < len(self.keys) and self.keys[at] == key:
-            return self.ids[self.ends[at] : self.ends[at + 1]].tolist()
-        return more.get(segment)
+    def learn(self, fresh: list[str], more: dict[str, list[int]]) -> dict[str, set[str]]:
+        """Look the segments of all `fresh` chunks up at once; chunks that lack some stay unknown, with what they lack."""
+        segments, sizes = self.pieces.split(fresh)
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, map(str.encode, segments)), np.uint64, len(segments))
+        at = np.searchsorted(self.keys, keys)
+        held = at < len(self.keys)
+        held[held] = self.keys[at[held]] == keys[held]
+        lengths = np.zeros(len(segments), np.int64)
+        lengths[held] = self.ends[at[held] + 1] - self.ends[at[held]]
+        others, lacking = {}, {}
+        owner = np.repeat(np.arange(len(fresh)), sizes)
+        for place in np.flatnonzero(~held).tolist():
+            segment = segments[place]
+            ids = self.pieces.fold(segment) if len(segment) > SEGMENT_CHARS else more.get(segment)
+            if ids is None:
+                lacking.setdefault(fresh[owner[place]], set()).add(segment)
+            else:
+                others[place], lengths[place] = ids, len(ids)
+        begins = np.cumsum(lengths) - lengths
+        out = np.zeros(int(lengths.sum()), np.int32)
+        out[ragged(begins[held], lengths[held])] = self.ids[ragged(self.ends[at[held]], lengths[held])]
+        for place, ids in others.items():
+            out[begins[place] : begins[place] + len(ids)] = ids
+        base = len(self.lengths)
+        self.known.update((chunk, base + number) for number, chunk in enumerate(fresh) if chunk not in lacking)
+        self.flat = np.append(self.flat, out)
+        self.lengths = np.append(self.lengths, np.bincount(owner, lengths, len(fresh)).astype(np.int64))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        return lacking
 
     def encode(self, texts: list[str], more: list[dict[str, list[int]]]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-        """Ids of each text in a row, their numbers, and segments whose ids are neither held nor in the text's `more`."""
+        """Ids of each text in a row, their numbers, and segments whose ids are neither held nor in `more`."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        lists, missing, fresh, at = [chunks(text) for text in texts], [set() for _ in texts], [], len(self.lengths)
-        lengths = []
-        for text, (found, own) in enumerate(zip(lists, more)):
-            for chunk in set(found).difference(self.known):
-                segments = self.pieces.segments(chunk)
-                parts = [self.segment(segment, own) for segment in segments]
-                if None in parts:
-                    missing[text].update(segment for segment, ids in zip(segments, parts) if ids is None)
-                else:
-                    self.known[chunk] = at + len(lengths)
-                    before = len(fresh)
-                    fresh.extend(chain.from_iterable(parts))
-                    lengths.append(len(fresh) - before)
-        if lengths:
-            self.flat = np.append(self.flat, np.array(fresh, np.int32))
-            self.lengths = np.append(self.lengths, np.array(lengths, np.int64))
-            self.starts = np.cumsum(self.lengths) - self.lengths
+        lists, missing = [chunks(text) for text in texts], [set() for _ in texts]
+        fresh = list(set(chain.from_iterable(lists)).difference(self.known))
+        lacking = self.learn(fresh, {segment: ids for own in more for segment, ids in own.items()}) if fresh else {}
+        if lacking:
+            for found, own in zip(lists, missing):
+                own.update(chain.from_iterable(map(lacking.__getitem__, lacking.keys() & set(found))))
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         codes = np.fromiter(map(self.known.get, chain.from_iterable(lists), repeat(-1)), np.int64, int(sizes.sum()))
-        codes = np.where(codes >= 0, codes, 0) if len(self.lengths) else np.zeros(0, np.int64)
-        if len(codes) != sizes.sum():  # nothing is known yet, so all that there is is missing
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), missing
-        counts = self.lengths[codes]
+        counts = np.where(codes >= 0, self.lengths[codes], 0) if len(codes) else codes
         ends = np.append(0, np.cumsum(counts))[np.append(0, np.cumsum(sizes))]
         flat = self.flat[ragged(self.starts[codes], counts)] if len(codes) else np.zeros(0, np.int32)
         return flat, np.diff(ends), missing
