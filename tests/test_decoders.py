@@ -102,3 +102,11 @@ def test_ocr_failures(spark, command):
 
 def test_ocr_command_missing(spark):
     assert decode(spark, tesseract_ocr(), b"%PDF").error == "Failed to run pdftoppm"
+
+
+def test_error_messages_may_hold_lone_surrogates(spark):
+    def decode(content):
+        raise ValueError("cannot open \udcff.pdf")
+
+    rows = spark.createDataFrame([(bytearray(b"x"),)], "content binary")
+    assert rows.select(python_decoder(decode)(rows.content).alias("out")).first().out.error == "cannot open ?.pdf"

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textledger.operators.queries import list_files, run_summary, search, statistics
-from textledger.operators.versions import already_processed, current_versions, pending, upsert
+from textledger.operators.versions import already_processed, current_versions, pending, replaced_keys, upsert
 from textledger.schema import LEDGER
 from textledger.sources.ledger import batch_ids, compact, read_ledger, read_versions, write_batch
 
@@ -208,3 +208,51 @@ def test_hot_keys_are_split(spark, tmp_path, small_partitions):
     # The hot key was written by 200,000 batches here, of which one is current.
     count, plan = final_plan(current_versions(rows))
     assert count == 400_001 and "hashpartitioning(file_path" in plan and "batch_id" in plan.split("SortMergeJoin")[1].split("\n")[0]
+
+
+def test_writers_at_once_get_batches_of_their_own(spark, path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    frames = [frame(spark, *[row(f"{n}-{at}", "1") for at in range(5)]) for n in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        written = list(pool.map(lambda rows: write_batch(rows, path), frames))
+    assert written == [{"processed": 5, "successful": 5, "failed": 0}] * 2
+    assert batch_ids(spark, path) == [1, 2]
+    assert read_ledger(spark, path).count() == 10
+
+
+def test_null_and_equal_sequences_keep_one_row_of_each_key(spark, path):
+    rows = frame(spark, row("a", "1", "x"), row("b", "1", "x"), row("b", "1", "y"), row("c", "1", "x"), row("c", "1", "y"), row("d", None), row("d", None))
+    numbered = rows.withColumn("seq", F.expr("CASE WHEN file_path = 'a' THEN NULL WHEN file_path = 'b' THEN 1 WHEN extracted_text = 'x' THEN 0 END"))
+    write_batch(numbered, path, sequence="seq")
+    assert texts(read_ledger(spark, path).where("file_hash IS NOT NULL")) == [("a", "1", "x"), ("b", "1", "y"), ("c", "1", "x")]
+    assert read_ledger(spark, path).where("file_path = 'd'").count() == 2
+
+
+def test_upsert_refuses_repeated_keys(spark):
+    history = frame(spark).withColumn("batch_id", F.lit(0).cast("bigint"))
+    rows = frame(spark, row("a", "1", "x"), row("a", "1", "y"), row("n", None), row("n", None))
+    with pytest.raises(Exception, match="several rows of one key"):
+        upsert(history, rows, 1).count()
+    assert upsert(history, rows.where("file_hash IS NULL"), 1).count() == 2
+
+
+def test_unfinished_batches_are_not_read(spark, path):
+    write_batch(frame(spark, FIRST[0]), path)
+    with pytest.raises(ValueError, match="sequence"):
+        write_batch(frame(spark, FIRST[1], FIRST[1]), path)
+    with pytest.raises(ValueError, match="sequence"):
+        write_batch(frame(spark, FIRST[1], FIRST[1]), path, batch_id=1)
+    frame(spark, FIRST[3]).write.parquet(f"{path}/batch_id=5")  # a writer that was lost before it was done
+    assert batch_ids(spark, path) == [1]
+    assert texts(read_ledger(spark, path)) == [("a", "1", "old a")]
+    write_batch(frame(spark, FIRST[1]), path)
+    assert batch_ids(spark, path) == [1, 6]
+
+
+def test_replaced_keys_are_one_row_each_by_plain_aggregation(spark):
+    versions = frame(spark, row("a", "1"), row("b", "1")).crossJoin(spark.range(5).withColumnRenamed("id", "batch_id"))
+    versions = versions.where("file_path = 'a' OR batch_id = 0")
+    replaced = replaced_keys(versions)
+    assert [tuple(r) for r in replaced.collect()] == [("a", "1", 4)]
+    assert "ObjectHashAggregate" not in replaced._jdf.queryExecution().executedPlan().toString()

@@ -138,3 +138,19 @@ def test_large_files_pass_through_python(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     run_extraction(spark, str(tmp_path / "in"), ledger, direct=form_feed_text, ocr=python_decoder(measure))
     assert {r.extracted_text for r in read_ledger(spark, ledger).collect()} == {"--- Page 1 (OCR) ---\n40000000 bytes\n\n"}
+
+
+def test_a_repeated_batch_is_rebuilt_as_a_whole(spark, folder, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    assert run(spark, folder, ledger, batch_id=7)["processed"] == 4
+    (folder / "e.pdf").write_bytes(LONG)
+    assert run(spark, folder, ledger, batch_id=7)["processed"] == 5
+    assert set(outcome(spark, ledger)) == {"a.pdf", "b.pdf", "c.pdf", "d [1].pdf", "e.pdf"}
+    assert read_versions(spark, ledger).count() == 5
+
+
+def test_folders_inside_one_another_list_a_file_once(spark, folder, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    both = [str(folder), f"{folder}/sub/"]
+    options = dict(direct=form_feed_text, alternative=scan(), ocr=scan())
+    assert run_extraction(spark, both, ledger, **options) == {"processed": 4, "successful": 4, "failed": 0}
