@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -76,8 +77,8 @@ def test_token_file_format(spark, given, tmp_path):
 def test_words_one_by_one():
     encoder, library = token_files.Encoder(WORD), Tokenizer.from_file(WORD)
     texts = ["It's <|endoftext|> A<|ENDOFTEXT|>x 'tis DON'T É É a≠b x\x1cy \xa0z ΣΑΣ, 12a.3b ''a' a'.b' «x». ÷a", "", " ", "--"]
-    lengths, ids = encoder.encode([text.encode() for text in texts])
-    assert [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])] == [library.encode(text, add_special_tokens=False).ids for text in texts]
+    lengths, ids = encoder.encode(pa.array([*texts, None]))
+    assert [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])] == [library.encode(text, add_special_tokens=False).ids for text in [*texts, ""]]
 
 
 def test_language_model(docs, given):

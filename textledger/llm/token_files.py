@@ -12,15 +12,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textledger.llm.common import ragged, slices, utf8
+from textledger.llm.common import ragged, slices
 from textledger.llm.token_counts import byte_letters
 from textledger.sources.shared import fresh_path, stored
 
-#: Words whose ids a Python worker remembers.
+#: Parts of words whose ids a Python worker remembers.
 REMEMBERED = 500_000
 
 SCHEMA = "file int, position long, doc_id long, n_tokens long, ids array<int>"
@@ -42,9 +43,10 @@ FORMAT = {
 class Encoder:
     """Ids of texts by the tokenizers library.
 
-    Where the tokenizer turns white space into nothing but a border, words are encoded one by one and remembered; else
-    whole texts are. A new word is cut between ASCII letters or digits and ASCII marks, where such a tokenizer cuts too,
-    and its parts are remembered as well, so that the library sees each part once."""
+    Where the tokenizer turns white space into nothing but a border, a batch of texts becomes its different words, and
+    these, cut between Latin-1 letters or digits and ASCII marks, where such a tokenizer cuts too, their different parts;
+    Arrow finds both. The library sees a part once while it is remembered, and gathering puts the ids of parts into words
+    and those of words into texts. Else whole texts are encoded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,60 +56,82 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             stated = json.load(file)
         self.by_word = borders_at_space(stated)
-        special = [re.escape(token["content"].encode()) for token in stated["added_tokens"]]
-        self.special = re.compile(b"|".join(special)) if special else None
+        self.special = [token["content"] for token in stated["added_tokens"]]
         self.letters = {byte: letter for byte, letter in byte_letters().items() if byte > 0x7F}
-        self.parts: dict[bytes, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
         self.starts, self.lengths, self.ids = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
     def encode_each(self, texts: list[str]) -> list[list[int]]:
         return [item.ids for item in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> None:
-        cut = [[word] if self.special and self.special.search(word) else _BORDERS.split(word.lower()) for word in words]
-        fresh = set(chain.from_iterable(cut)).difference(self.parts)
+    def learn(self, fresh: list[str]) -> None:
         # such a tokenizer changes nothing about these, so their byte letters go straight to its merges
-        plain = [part for part in fresh if _PLAIN.fullmatch(part)]
-        merges, letters = self.tokenizer.model.tokenize, self.letters
-        self.parts.update((part, [token.id for token in merges(part.decode("latin-1").translate(letters))]) for part in plain)
-        others = list(fresh.difference(plain))
-        self.parts.update(zip(others, self.encode_each([part.decode() for part in others])))
-        part_ids = self.parts
-        ids = [part_ids[parts[0]] if len(parts) == 1 else [*chain.from_iterable(map(part_ids.__getitem__, parts))] for parts in cut]
+        plain, others = [], []
+        for part in fresh:
+            (plain if _PLAIN.fullmatch(part) else others).append(part)
+        merges = self.tokenizer.model.tokenize
+        spelt = (part if part.isascii() else part.encode().decode("latin-1").translate(self.letters) for part in plain)
+        ids = [[token.id for token in merges(each)] for each in spelt] + self.encode_each(others)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.known.update(zip(chain(plain, others), range(len(self.known), len(self.known) + len(ids))))
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
         self.lengths = np.append(self.lengths, lengths)
         self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())))
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each text, and all their ids."""
+    def cut(self, words: pa.Array) -> pa.Array:
+        """The words with spaces at such borders, in lower case; those that hold a special token as they are."""
+        spaced = pc.ascii_lower(words)
+        for pair in (f"({_WORDLY})({_MARK})", f"({_MARK})({_WORDLY})"):
+            spaced = pc.replace_substring_regex(spaced, pair, r"\1 \2")
+        for special in self.special:
+            held = pc.match_substring(words, special)
+            if pc.any(held).as_py():
+                spaced = pc.if_else(held, words, spaced)
+        return spaced
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text (NULL: none), and all their ids."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         if not self.by_word:
-            ids = self.encode_each([text.decode() for text in texts])
+            ids = self.encode_each(texts.to_pylist())
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             return lengths, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
+        words, per_text, codes = _different(texts)
+        parts, per_word, part_codes = _different(self.cut(words))
         if len(self.known) > REMEMBERED:
             self.forget()
-        lists = [text.split() for text in texts]
-        self.learn(list(set().union(*lists).difference(self.known)))
-        per_text = np.fromiter(map(len, lists), np.int64, len(lists))
-        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(per_text.sum()))
-        lengths = self.lengths[codes]
-        ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(per_text))]
-        return np.diff(ends), self.ids[ragged(self.starts[codes], lengths)]
+        names = parts.to_numpy(zero_copy_only=False).tolist()
+        self.learn([part for part in names if part not in self.known])
+        places = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[part_codes]
+        part_ids = self.ids[ragged(self.starts[places], self.lengths[places])]
+        word_lengths = _sums(self.lengths[places], per_word)
+        lengths = word_lengths[codes]
+        return _sums(lengths, per_text), part_ids[ragged((np.cumsum(word_lengths) - word_lengths)[codes], lengths)]
 
 
-# lower-case letters of ASCII and, as UTF-8, from U+00DF to U+00FF but the division sign
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+def _different(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Different words of texts, how many words each text has, and the numbers of all words."""
+    lists = pc.ascii_split_whitespace(texts)
+    found, sizes = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+    filled = pc.not_equal(found, "")
+    words = found.filter(filled).dictionary_encode()
+    codes = words.indices.to_numpy().astype(np.int64)
+    return words.dictionary, _sums(filled.to_numpy(zero_copy_only=False).astype(np.int64), sizes), codes
 
-# between an ASCII letter or digit and an ASCII mark other than an apostrophe, either way
-_BORDERS = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z0-9])")
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of the given sizes."""
+    return np.diff(np.append(0, np.cumsum(values))[np.append(0, np.cumsum(sizes))])
+
+
+# lower-case letters of ASCII and from U+00DF to U+00FF but the division sign
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+# either side of a border: an ASCII digit or Latin-1 letter, and an ASCII mark other than an apostrophe
+_WORDLY, _MARK = "[A-Za-z0-9À-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
 
 
 def borders_at_space(stated: dict) -> bool:
@@ -145,7 +169,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, position = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            lengths, ids = encoder(tokenizer).encode(utf8(batch.column("text")))
+            lengths, ids = encoder(tokenizer).encode(batch.column("text"))
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 lengths = lengths + 1
