@@ -98,6 +98,30 @@ def test_language_model(docs, given):
     assert sum(row[6] for row in found) >= sum(row[5] for row in found)
 
 
+def test_language_model_learns_from_pairs_of_rare_words(spark, given):
+    """Held-out rows of a non-empty table beat single words; words outside the frequent classes score by what stands before."""
+    scored = language_model.score_texts(given).where("held_out").agg(F.count("*"), F.sum("score"), F.sum("base_score")).first()
+    assert scored[0] > 0 and scored[1] > scored[2]
+    often = " ".join(f"w{at}" for at in range(1100))
+    name = lambda at: f"x{zlib.crc32(str(at % 3000).encode())}"
+    lines = [" ".join(name(at * 37 + i) for i in range(60)) for at in range(700)]
+    wrong = [" ".join(name(at * 37 + i * 1009) for i in range(60)) for at in range(700)]
+    held = [at for at in range(700) if zlib.crc32(str(at).encode()) % 7 == 2]
+    table = [(at, wrong[at] if at in held[::2] else line) for at, line in enumerate(lines)]
+    table += [(1000 + at, often) for at in range(60)]
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    gain = {row.doc_id: row.score - row.base_score for row in language_model.score_texts(frame).collect()}
+    assert min(gain[at] for at in held[1::2]) > max(gain[at] for at in held[::2]) + 30
+
+
+def test_language_model_pair_weights_keep_the_sum(spark):
+    texts = [b"a b c a b d a b c", b"a b", b""]
+    starts = np.array([0, 10, 13])
+    history, key, word = language_model.pair_keys(texts, starts)
+    assert len(history) == 14 and len(set(word.tolist())) == 5 and history[2] == history[5] == history[8] == history[12]
+    assert key[2] == key[8] != key[5] and history[0] == history[10] == history[13] and key[0] == key[10] != key[13]
+
+
 def test_language_model_shares_sum_to_one():
     vocabulary = language_model.Vocabulary([b"a", b"b", language_model.END], np.array([5, 3, 2]), np.zeros((language_model.TAIL, 2)), 10, 3)
     model = language_model.Model(vocabulary)

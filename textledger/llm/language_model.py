@@ -1,4 +1,5 @@
-"""Hashed maximum-entropy language model with class-factored softmax, trained by distributed gradient updates."""
+"""Hashed maximum-entropy language model with class-factored softmax, trained by distributed gradient updates, and a
+weight for every word after every pair of words, kept as a table."""
 
 from __future__ import annotations
 
@@ -11,11 +12,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textledger.llm.common import HEAD_WORDS, counted, fold, head_count, slices, utf8
-from textledger.sources.shared import stored
+from textledger.llm.jaccard_join import mixed_bits, word_hashes
+from textledger.sources.shared import stored, stored_for_join
 
 CLASSES, WIDTH = 32, 32  # classes of frequent words, and words of each
 TAIL = 8  # classes of all other words, by the hash of their last two bytes
@@ -27,7 +29,11 @@ ROUNDS, RATE, PRIOR = 3, 0.5, 10.0
 CHUNK = 4096  # tokens scored at a time
 PIECES = 64  # into which a task's gradient is cut
 
+PAIR_PRIOR = 0.25  # as PRIOR, for the weights of words after pairs
+GATHERED = 1_000_000  # tokens that a task counts at a time
+
 END = b"\n"  # no word can hold it
+_END, _START = np.uint64(1), np.uint64(2)  # hashes of the end and of what stands before a text
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -41,6 +47,18 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAIL
 
 
+def pair_keys(texts: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens of the texts: 64-bit hashes of the two tokens before, of these with the token, and of the token."""
+    hashes, sizes = word_hashes(texts)
+    word = np.insert(hashes, np.cumsum(sizes), _END)
+    before = np.append(_START, word[:-1])
+    before[starts] = _START
+    skipped = np.append(_START, before[:-1])
+    skipped[starts] = _START
+    history = mixed_bits(mixed_bits(skipped) + before)
+    return history.view(np.int64), mixed_bits(mixed_bits(history) + word).view(np.int64), word.view(np.int64)
+
+
 class Vocabulary:
     """Frequent words by rank, with the counts of all training tokens. `totals`: (tokens, words) of each tail class."""
 
@@ -89,7 +107,8 @@ class Vocabulary:
 
 
 class Model:
-    """Logits: a bias from counts, and for each active feature a row of weights. 2 MB of weights, whatever the corpus."""
+    """Logits: a bias from counts, and for each active feature a row of weights. 2 MB of weights, whatever the corpus: what
+    grows with it is in `pair_weights`, which start from this model's shares."""
 
     def __init__(self, vocabulary: Vocabulary):
         counts = np.zeros(CLASSES * WIDTH)
@@ -250,12 +269,87 @@ def train(docs: DataFrame, shared, model: Model, rounds: int = ROUNDS) -> Model:
     return model
 
 
+def token_scores(model: Model, words: Vocabulary, data: dict) -> np.ndarray:
+    """log10 of the model's share of each token; for words of no known count, of that share over their count plus 1."""
+    within = np.log10(words.totals.sum(axis=1) + 1)
+    tail = data["group"] >= CLASSES
+    token = model.log10(data)
+    token[tail] += np.log10(np.maximum(data["count"][tail], 0) + 1.0) - within[data["group"][tail] - CLASSES]
+    if not words.tokens:
+        token[:] = 0
+    return token
+
+
+def pair_weights(training: DataFrame, counts: DataFrame, least: int, shared, ready) -> DataFrame:
+    """history, key, gain, loss: what the weight of each token seen after each pair of tokens adds to its log10 share, and
+    what a token never seen after that pair has added.
+
+    The weight of a token after a pair is the logarithm of observed over expected counts, as in `Model.step`; expected is
+    what the model gives it there. Shares after a pair sum to that of the model again: only tokens seen there have weights,
+    so the sum over all others is one less theirs. The table has a row for each different run of three tokens, without a
+    threshold; tasks count their tokens before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, words = ready.value, _vocabulary(shared)
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            history, key, word, share = map(np.concatenate, zip(*held))
+            key, first, n = np.unique(key, return_index=True, return_counts=True)
+            columns = history[first], key, word[first], n, share[first]
+            return pa.record_batch([*map(pa.array, columns)], ["history", "key", "word", "n", "share"])
+
+        for batch in slices(batches, 256):
+            texts = utf8(batch.column("text"))
+            data = words.encode(texts)
+            history, key, word = pair_keys(texts, data["starts"])
+            held.append((history, key, np.where(data["count"] < 0, word, 0), 10 ** token_scores(model, words, data)))
+            size += len(key)
+            if size > GATHERED:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, sizes = word_hashes(batch.column("word").to_pylist())
+            word = np.full(batch.num_rows, _END)
+            word[np.array(sizes, np.int64) > 0] = hashes
+            yield pa.record_batch([pa.array(word.view(np.int64)), batch.column("n")], ["word", "times"])
+
+    seen = training.select("text").mapInArrow(count, "history long, key long, word long, n long, share double").repartition("history")
+    seen = seen.groupBy("history", "key").agg(F.max("word").alias("word"), F.sum("n").alias("n"), F.max("share").alias("share"))
+    rare, _ = stored_for_join(counts.where(F.col("n") < least).mapInArrow(hashed, "word long, times long"), "rare")
+    seen = seen.join(rare, "word", "left").withColumn("share", F.col("share") * (F.coalesce("times", F.lit(0)) + 1))
+    after = Window.partitionBy("history")
+    expected = F.sum("n").over(after) * F.col("share")
+    seen = seen.withColumn("factor", (F.col("n") + PAIR_PRIOR) / (expected + PAIR_PRIOR))
+    others = F.greatest(F.lit(0.0), 1 - F.sum("share").over(after))
+    seen = seen.withColumn("loss", -F.log10(others + F.sum(F.col("share") * F.col("factor")).over(after)))
+    return stored(seen.select("history", "key", (F.log10("factor") + F.col("loss")).alias("gain"), "loss"), "pair-weights")
+
+
+def pair_gains(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """row, by_pairs: the sum over the tokens of each of `rows` (row, keys, histories) of what `weights` add. Histories are
+    needed where a key may be unknown only."""
+    gains, losses = weights.select("key", "gain"), weights.select("history", "loss").distinct()
+    known = rows.where("histories IS NULL").select("row", F.explode("keys").alias("key")).join(gains, "key").select("row", "gain")
+    fresh = rows.where("histories IS NOT NULL").select("row", F.explode(F.arrays_zip("keys", "histories")).alias("at"))
+    fresh = fresh.select("row", F.col("at.keys").alias("key"), F.col("at.histories").alias("history"))
+    fresh = stored(fresh.join(gains, "key", "left").select("row", "history", "gain"), "fresh")
+    unseen = fresh.where("gain IS NULL").join(losses, "history").select("row", F.col("loss").alias("gain"))
+    every = known.union(fresh.where("gain IS NOT NULL").select("row", "gain")).union(unseen)
+    return every.groupBy("row").agg(F.sum("gain").alias("by_pairs"))
+
+
 def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`.
 
     Counts come from all training documents. Their most frequent words (a bounded number) go to every task; other words
     of a text are joined with their counts. `base_score` is that of single words; `score` the model's, in which a word
-    outside the frequent classes has its smoothed share of its tail class. A NULL text is empty: its end is scored. A NULL
+    outside the frequent classes has its smoothed share of its tail class, times its weight after the two tokens before it
+    (joined: there is one for every run of three tokens of the training documents). A NULL text is empty: its end is scored. A NULL
     doc_id counts as an empty one. Repeated rows are scored, and counted, each. Without training tokens both scores are 0."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -270,16 +364,15 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = ready.value, _vocabulary(shared)
-        within = np.log10(words.totals.sum(axis=1) + 1)
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 256):
-            data = words.encode(utf8(batch.column("text")))
+            texts = utf8(batch.column("text"))
+            data = words.encode(texts)
             seen = np.log10(np.maximum(data["count"], 0) + 1.0)
-            tail = data["group"] >= CLASSES
-            token = model.log10(data)
-            token[tail] += seen[tail] - within[data["group"][tail] - CLASSES]
-            if not words.tokens:
-                token[:] = 0
+            token = token_scores(model, words, data)
+            history, key, _ = pair_keys(texts, data["starts"])
+            later = data["starts"][1:]
+            histories = [part if held else None for part, held in zip(np.split(history, later), batch.column("held_out").to_pylist())]
             rare = [[] for _ in range(batch.num_rows)]
             for at, word in zip(data["rare_of"].tolist(), data["rare"]):
                 rare[at].append(word)
@@ -292,18 +385,22 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
                     batch.column("held_out"),
                     *map(pa.array, (data["sizes"], sums[0].astype(np.int64), base, sums[2])),
                     pa.array(rare, pa.list_(pa.binary())),
+                    pa.array(np.split(key, later), pa.list_(pa.int64())),
+                    pa.array(histories, pa.list_(pa.int64())),
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "keys", "histories"],
             )
             row += batch.num_rows
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
+    schema += ", keys array<long>, histories array<long>"
     rows = stored(docs.withColumn("held_out", is_held).mapInArrow(scores, schema), "scores")
     rare = rows.select("row", F.explode("rare").alias("word"))
     found = rare.join(counts.where(F.col("n") < least), "word")
     found = found.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("gain"))
-    rows = rows.drop("rare").join(found, "row", "left")
-    more, gain = F.coalesce("more", F.lit(0)), F.coalesce("gain", F.lit(0.0))
+    by_pairs = pair_gains(rows, pair_weights(training, counts, least, shared, ready))
+    rows = rows.drop("rare", "keys", "histories").join(found, "row", "left").join(by_pairs, "row", "left")
+    more, gain, by_pairs = F.coalesce("more", F.lit(0)), F.coalesce("gain", F.lit(0.0)), F.coalesce("by_pairs", F.lit(0.0))
     return rows.select(
         "doc_id",
         "held_out",
@@ -311,5 +408,5 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         (F.col("n_known") + more).alias("n_known"),
         F.lit(packed[3]).cast("long").alias("train_tokens"),
         (F.col("base_score") + gain).alias("base_score"),
-        (F.col("score") + gain).alias("score"),
+        (F.col("score") + gain + by_pairs).alias("score"),
     )
