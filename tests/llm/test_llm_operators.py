@@ -197,6 +197,15 @@ def test_near_duplicates(spark, docs, given, texts):
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_tells_rows_that_share_an_id_apart(spark):
+    a, b, c, d = (" ".join(f"{name}{at}" for at in range(40)) for name in "abcd")
+    table = [(1, a), (2, a + " end"), (2, b), (3, b + " end"), (4, c), (4, c), (4, c + " end"), (5, ""), (5, ""), (5, " "), (5, a)]
+    table += [(None, a), (None, d), (None, d + " end"), (None, None), (None, "")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    kept = Counter((row.doc_id, (row.text or "").removesuffix(" end")) for row in kept)
+    assert kept == {(1, a): 1, (2, b): 1, (4, c): 1, (5, ""): 1, (5, " "): 1, (None, d): 1, (None, ""): 2}
+
+
 def test_near_duplicates_with_a_large_group(spark):
     base = [f"w{at}" for at in range(60)]
     variants = [" ".join(word if (at * 7 + other) % 97 else "z" for other, word in enumerate(base)) for at in range(90)]
