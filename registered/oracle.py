@@ -11,23 +11,31 @@ def _is_blank(text: str) -> str:
     return f"regexp_full_match({text}, '{_BLANKS}*')"
 
 
-_CANDIDATES = """
+_ENTRIES = """
+entries AS (
+  SELECT *, concat(doc_id, CASE WHEN is_title THEN '-title' ELSE '' END) AS name
+  FROM (SELECT doc_id, source, lang, n_chars, false AS is_title, text AS body FROM documents
+        UNION ALL
+        SELECT doc_id, source, lang, n_chars, true, concat('Document ', source, ' ', lang) FROM documents))
+"""
+
+_CANDIDATES = f"""
+{_ENTRIES},
 candidates AS (
-  SELECT doc_id,
-         concat('/corpus/', source, '/', lang, '/', doc_id, '.pdf') AS file_path,
-         sha256(text) AS file_hash,
+  SELECT doc_id, name,
+         concat('/corpus/', source, '/', lang, '/', name, '.pdf') AS file_path,
+         sha256(body) AS file_hash,
          n_chars,
-         text AS full_text,
-         CASE WHEN doc_id % 7 = 3 THEN NULL
-              WHEN doc_id % 5 = 0 THEN concat('Document ', source, ' ', lang)
-              ELSE text END AS direct_text,
+         CASE WHEN doc_id % 7 <> 3 THEN body END AS direct_text,
          CASE WHEN doc_id % 7 = 3 THEN 'Failed to load PDF document' END AS direct_error,
          CAST(1 + doc_id % 5 AS INT) AS direct_pages,
-         CASE WHEN doc_id % 10 = 0 THEN CASE WHEN doc_id % 20 = 0 THEN text ELSE source END END AS alt_text,
-         CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('OCR ', text) END AS ocr_text,
-         CASE WHEN doc_id % 3 = 0 THEN 'No images generated from PDF' END AS ocr_error,
+         CASE WHEN is_title AND doc_id % 4 = 0
+              THEN concat('Document ', doc_id, ' of the corpus, from ', source, ', written in language ', lang)
+              WHEN is_title AND doc_id % 2 = 0 THEN source END AS alt_text,
+         CASE WHEN NOT (is_title AND doc_id % 3 = 0) THEN concat('OCR ', body) END AS ocr_text,
+         CASE WHEN is_title AND doc_id % 3 = 0 THEN 'No images generated from PDF' END AS ocr_error,
          CAST(1 + doc_id % 4 AS INT) AS ocr_pages
-  FROM documents)
+  FROM entries)
 """
 
 _CHOICE = f"""
@@ -46,7 +54,7 @@ def _outcome(method: str, message: str) -> str:
 {_CHOICE},
 decided AS (SELECT *, CASE {method} ELSE 'error' END AS extraction_method FROM chosen),
 outcome AS (
-  SELECT doc_id, file_path, file_hash, n_chars AS file_size, extraction_method,
+  SELECT doc_id, name, file_path, file_hash, n_chars AS file_size, extraction_method,
          CASE extraction_method WHEN 'ocr' THEN ocr_text WHEN 'error' THEN '' ELSE dt END AS extracted_text,
          CASE extraction_method WHEN 'ocr' THEN ocr_pages WHEN 'error' THEN 0 ELSE direct_pages END AS page_count,
          CAST(n_chars AS DOUBLE) / 1024 AS processing_time_seconds,
@@ -76,7 +84,7 @@ _STAMP = "strftime(timestamp, '%Y-%m-%d %H:%M:%S')"
 
 _VERSIONS = f"""
 {_DEFAULT},
-numbered AS (SELECT * REPLACE (concat('/corpus/', doc_id, '.pdf') AS file_path) FROM outcome),
+numbered AS (SELECT * REPLACE (concat('/corpus/', name, '.pdf') AS file_path) FROM outcome),
 versions AS (
   SELECT * REPLACE (CASE WHEN doc_id % 50 = 8 THEN NULL ELSE file_hash END AS file_hash), 1 AS batch_id FROM numbered
   UNION ALL
@@ -164,17 +172,13 @@ SELECT file_id,
 FROM pages_of GROUP BY file_id"""
 
 
-_FILES = """
-lines AS (SELECT *, replace(text, chr(10), chr(12)) AS paged FROM documents),
+_FILES = f"""
+{_ENTRIES},
 files AS (
-  SELECT concat('/corpus/', source, '/', lang, '/', doc_id, '.pdf') AS path,
-         1700000000 + doc_id AS modified,
-         doc_id % 7 = 3 AS is_broken,
-         CASE WHEN doc_id % 7 <> 3 AND doc_id % 5 = 0 THEN concat('Document ', source, ' ', lang) ELSE paged END AS body,
-         CASE WHEN doc_id % 7 = 3 THEN '\\xFF'::BLOB || encode(paged)
-              WHEN doc_id % 5 = 0 THEN encode(concat('Document ', source, ' ', lang))
-              ELSE encode(paged) END AS content
-  FROM lines)
+  SELECT *, CASE WHEN is_broken THEN '\\xFF'::BLOB ELSE ''::BLOB END || encode(body) AS content
+  FROM (SELECT concat('/corpus/', source, '/', lang, '/', name, '.pdf') AS path, 1700000000 + doc_id AS modified,
+               doc_id % 7 = 3 AS is_broken, replace(body, chr(10), chr(12)) AS body
+        FROM entries))
 """
 
 _FAST_HASH = """
@@ -222,6 +226,31 @@ SELECT file_path, file_hash, file_size, extraction_method,
 FROM decided"""
 
 
+_TREE = """
+sizes AS (SELECT conv_id, CAST(sum(strlen(text)) AS BIGINT) AS size FROM conversations GROUP BY conv_id),
+files AS (
+  SELECT CASE conv_id % 6 WHEN 0 THEN concat('a/b c/', conv_id, '.pdf') WHEN 1 THEN concat('_b/.c/', conv_id, '.pdf')
+                          WHEN 2 THEN concat('.', conv_id, '.pdf') WHEN 3 THEN concat('_', conv_id, '.pdf')
+                          WHEN 4 THEN concat('k=v/empty %20+', conv_id, '.pdf') ELSE concat('d/', conv_id, '/x.y.pdf') END AS path,
+         CASE WHEN conv_id % 6 = 4 THEN 0 ELSE size END AS length, 1600000000 + conv_id AS modified,
+         encode(repeat('x', CASE WHEN conv_id % 6 = 4 THEN 0 ELSE size END)) AS content
+  FROM sizes)
+"""
+
+_ROLES = """
+turns AS (SELECT role, coalesce(text, '') AS page, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, coalesce(text, '')) AS n FROM conversations)
+"""
+
+
+def _roles(label_end: str, page: str, error: str = "") -> str:
+    return f"""
+WITH {_ROLES}
+SELECT role, coalesce(string_agg('--- Page ' || n || '{label_end} ---' || chr(10) || {page} || chr(10) || chr(10), '' ORDER BY n)
+                      FILTER (WHERE {page} IS NOT NULL AND NOT {_is_blank(page)}), '') AS text,
+       CAST(count(*) AS INT) AS page_count{error}
+FROM turns GROUP BY role"""
+
+
 _ANY_ROUTE = """
 WHEN dt IS NOT NULL AND n > 50 THEN 'direct'
 WHEN ocr_text IS NOT NULL THEN 'ocr'
@@ -270,7 +299,7 @@ SELECT doc_id, CAST({_nbytes("text")} AS INT) AS trimmed_bytes, {_nbytes("text")
 FROM documents""",
     "text_preview": "SELECT doc_id, substr(text, 1, 200) AS preview FROM documents",
     "alt_text_choice": f"""
-WITH {_CHOICE} SELECT doc_id, dt AS chosen_text, CAST(n AS INT) AS chosen_bytes FROM chosen""",
+WITH {_CHOICE} SELECT name, dt AS chosen_text, CAST(n AS INT) AS chosen_bytes FROM chosen""",
     "cascade_default": f"WITH {_DEFAULT} SELECT {_OUTCOME} FROM outcome",
     "cascade_text_only": f"WITH {_TEXT_ONLY} SELECT {_OUTCOME} FROM outcome",
     "cascade_ocr_only": f"WITH {_OCR_ONLY} SELECT {_OUTCOME} FROM outcome",
@@ -322,6 +351,11 @@ SELECT unnest(string_split(left(block, length(block) - 1), chr(10))) AS line FRO
 UNION ALL
 SELECT unnest(['PDF Text Extraction Results (Rust Edition)', repeat('=', 80), '']) AS line""",
     "stored_json": _json("extracted_text,"),
+    "discovered_tree": f"""
+WITH {_TREE} SELECT path, length, modified, {_FAST_HASH} AS fast_hash, sha256(content) AS file_hash FROM files""",
+    "paged_ocr": _roles(" (OCR)", "CASE WHEN length(page) % 5 <> 0 THEN 'OCR ' || page END"),
+    "ranged_text": _roles("", "page", ", CAST(NULL AS VARCHAR) AS error"),
+    "page_count_files": f"WITH {_ROLES} SELECT role, CAST(count(*) AS INT) AS page_count FROM turns GROUP BY role",
     "extract_run": _extract(_ANY_ROUTE, _BOTH_FAILED),
     "extract_text_only": _extract(
         "WHEN dt IS NOT NULL AND n > 50 THEN 'direct' WHEN dt IS NOT NULL THEN 'direct_partial'",

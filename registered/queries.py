@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registered import fixtures
-from textledger.functions.decoders import form_feed_text
+from textledger.functions.decoders import FormFeedText, form_feed_text
 from textledger.functions.fingerprint import fast_fingerprint, full_fingerprint
 from textledger.functions.text import is_blank, is_substantial, preview, shown_time, trimmed_bytes
 from textledger.operators.cascade import OUTCOME, cascade, direct_choice
@@ -14,8 +14,7 @@ from textledger.operators.pages import assemble_pages, page_counts
 from textledger.operators.queries import list_files, run_summary, search, statistics
 from textledger.operators.reports import json_records, text_blocks, write_json, write_text_report
 from textledger.operators.versions import already_processed, current_versions, pending, upsert
-from textledger.plans.extraction import extract, run_extraction, with_fingerprint
-from textledger.plans.extraction import pending_files as pending_content
+from textledger.plans.extraction import extract, pending_rows, run_extraction, with_file_hash, with_fingerprint
 from textledger.schema import LEDGER, VERSIONS
 from textledger.sources.files import scan_files
 from textledger.sources.ledger import read_ledger, read_versions, write_batch
@@ -123,7 +122,7 @@ def alt_text_choice(spark, sf_dir):
     rows = fixtures.candidates(spark, sf_dir).withColumn(
         "chosen_text", direct_choice(F.col("direct_text"), F.col("alt_text"))
     )
-    return rows.select("doc_id", "chosen_text", trimmed_bytes(F.col("chosen_text")).alias("chosen_bytes"))
+    return rows.select("name", "chosen_text", trimmed_bytes(F.col("chosen_text")).alias("chosen_bytes"))
 
 
 def _cascade(**mode):
@@ -180,36 +179,66 @@ def summary_of_run(spark, sf_dir):
     return run_summary(_versions(spark, sf_dir), 2)
 
 
-def _extract(**mode):
+def _extract(alternative=fixtures.native_repeated_text, ocr=fixtures.native_marked_pages, **mode):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = extract(
-            fixtures.files(spark, sf_dir),
-            form_feed_text,
-            alternative=fixtures.repeated_text(),
-            ocr=fixtures.marked_pages(),
-            **mode,
-        )
+        rows = extract(fixtures.files(spark, sf_dir), form_feed_text, alternative=alternative, ocr=ocr, **mode)
         return rows.drop("processing_time_seconds")
 
     return query
 
 
+def extract_run(spark, sf_dir):
+    """With decoders in Python; the other extract queries have native ones."""
+    return _extract(fixtures.repeated_text(), fixtures.marked_pages())(spark, sf_dir)
+
+
 def extract_pending(spark, sf_dir):
     """A second run over files of which every other one (by hash) is already in the ledger."""
     files = fixtures.files(spark, sf_dir)
     hashed = with_fingerprint(files, full_hash=True).withColumnRenamed("path", "file_path")
     held = hashed.where("file_hash < '8'").select("file_path", "file_hash")
-    todo = pending_content(spark, files, held, full_hash=True, by_name=False)
-    rows = extract(todo, form_feed_text, ocr=fixtures.marked_pages(), full_hash=True)
+    todo = pending_rows(files, held, full_hash=True)
+    rows = extract(todo, form_feed_text, ocr=fixtures.native_marked_pages, full_hash=True)
     return rows.drop("processing_time_seconds")
 
 
 def discovered_files(spark, sf_dir):
     """The given tables' own files, found and fingerprinted as documents are."""
-    files = with_fingerprint(scan_files(spark, sf_dir, suffix="parquet"))
+    files = with_file_hash(scan_files(spark, sf_dir, suffix="parquet"))
     return files.select("path", "length", F.unix_seconds("modificationTime").alias("modified"), "file_hash")
 
 
+def discovered_tree(spark, sf_dir):
+    """Files under names of all kinds, in folders of all kinds, with sizes, times and both fingerprints."""
+    folder = fixtures.tree(spark, sf_dir)
+    files = with_file_hash(scan_files(spark, folder)).withColumnRenamed("file_hash", "fast_hash").drop("problem")
+    files = with_file_hash(files, full_hash=True)
+    at = F.locate(folder.rsplit("/", 1)[-1], F.col("path")) + len(folder.rsplit("/", 1)[-1]) + 1
+    modified = F.unix_seconds("modificationTime").alias("modified")
+    return files.select(F.substring("path", at, F.length("path")).alias("path"), "length", modified, "fast_hash", "file_hash")
+
+
+def _role():
+    return F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("role")
+
+
+def paged_ocr(spark, sf_dir):
+    """Long documents decoded by ranges of pages, in many tasks."""
+    found = fixtures.paged_marks(16).spread(fixtures.role_files(spark, sf_dir), ocr=True)
+    return found.select(_role(), "text", F.col("pages").alias("page_count"))
+
+
+def ranged_text(spark, sf_dir):
+    """Long documents decoded by ranges of bytes, which cut pages and letters."""
+    found = FormFeedText(range_bytes=4099).spread(fixtures.role_files(spark, sf_dir))
+    return found.select(_role(), "text", F.col("pages").alias("page_count"), "error")
+
+
+def page_count_files(spark, sf_dir):
+    """Pages of document files, counted by ranges of bytes."""
+    return FormFeedText(range_bytes=4099).count_pages(fixtures.role_files(spark, sf_dir)).select(_role(), F.col("pages").alias("page_count"))
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> str:
     """Path of a ledger with two batches."""
     path = fresh_path(spark, "ledger")
@@ -238,16 +267,14 @@ def stored_list(spark, sf_dir):
 def run_files(spark, sf_dir):
     """Conversations as text files: one run over half of them, a second one after the others were added."""
     folder, ledger = fresh_path(spark, "in"), fresh_path(spark, "ledger")
-    turns = fixtures.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     for day, half in enumerate(["conv_id % 2 = 0", "conv_id % 2 = 1"], start=1):
-        lines = turns.where(half).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-        lines.select("conv_id", "text").write.mode("append").partitionBy("conv_id").text(folder)
+        fixtures.written(fixtures.conversation_files(spark, sf_dir).where(half), folder)
         run_extraction(
             spark, folder, ledger, suffix="txt", full_hash=True, text_only=True, loaded_at=datetime(2024, 1, day),
             direct=form_feed_text, alternative=form_feed_text,
         )
     rows = read_ledger(spark, ledger).withColumn("timestamp", shown_time(F.col("timestamp")))
-    conv_id = F.regexp_extract("file_path", r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id")
+    conv_id = F.regexp_extract("file_path", r"(\d+)\.txt$", 1).cast("bigint").alias("conv_id")
     return rows.select(conv_id, "file_hash", "file_size", "extraction_method", "extracted_text", "page_count", "timestamp")
 
 
@@ -300,7 +327,7 @@ QUERIES = {
     "already_processed": already_processed_files,
     "pending_files": pending_files,
     "run_summary": summary_of_run,
-    "extract_run": _extract(),
+    "extract_run": extract_run,
     "extract_text_only": _extract(text_only=True),
     "extract_ocr_only": _extract(ocr_only=True),
     "extract_pending": extract_pending,
@@ -312,4 +339,8 @@ QUERIES = {
     "stored_report": stored_report,
     "stored_json": stored_json,
     "discovered_files": discovered_files,
+    "discovered_tree": discovered_tree,
+    "paged_ocr": paged_ocr,
+    "ranged_text": ranged_text,
+    "page_count_files": page_count_files,
 }

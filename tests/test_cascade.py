@@ -59,11 +59,11 @@ def test_decision_table(spark, content, outcome, mode, expected):
     assert run(spark, content, outcome, **mode) == expected
 
 
-def test_too_large_a_file_is_an_error_row(spark):
+def test_a_row_without_content_is_an_error_row(spark):
     files = spark.createDataFrame([("f.pdf", None, 3_000_000_000, None)], FILES)
     row = extract(files, form_feed_text, ocr=ocr("text")).first()
     assert (row.extraction_method, row.file_hash, row.file_size, row.success) == ("error", None, 3_000_000_000, False)
-    assert row.error_message.startswith("Direct: File is larger")
+    assert row.error_message.startswith("Direct: The row holds no content, OCR: The row")
 
 
 def test_alternative_text_has_no_labels_and_keeps_the_page_count(spark):

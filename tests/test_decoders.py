@@ -6,7 +6,9 @@ import stat
 import pytest
 from pyspark.sql import functions as F
 
-from textledger.functions.decoders import poppler_text, python_decoder, tesseract_ocr
+from textledger.functions.decoders import FormFeedText, form_feed_text, paged_decoder, poppler_text, python_decoder, tesseract_ocr
+from textledger.operators.pages import assemble_array
+from textledger.sources.files import scan_files
 
 
 def decode(spark, decoder, content):
@@ -110,3 +112,99 @@ def test_error_messages_may_hold_lone_surrogates(spark):
 
     rows = spark.createDataFrame([(bytearray(b"x"),)], "content binary")
     assert rows.select(python_decoder(decode)(rows.content).alias("out")).first().out.error == "cannot open ?.pdf"
+
+
+def outcomes(frame, *columns):
+    return {os.path.basename(row[0]): tuple(row[1:]) for row in frame.select("path", *columns).collect()}
+
+
+TEXTS = {
+    "one": "no separator", "edges": "\fa\f\fb\f", "letters": "é\f漢字😀\f \fß" * 3, "only": "\f\f\f", "blank": " \n ", "long": "x" * 50 + "\f" + "é" * 40,
+    "one letter": "😀", "lines": "a\nb\f--- Page 2 ---\nc",
+}
+BROKEN = {"start": b"\x80abc\fd", "lead": b"abc\xe9", "amid": b"ab\xff\fcd", "long run": b"a" + b"\x80" * 9, "cut": "漢".encode()[:2] + b"\f", "half": b"\xed\xa0\x80"}
+
+
+@pytest.fixture(scope="module")
+def ranges(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("ranges")
+    for name, text in TEXTS.items():
+        (folder / f"{name}.pdf").write_bytes(text.encode())
+    for name, content in BROKEN.items():
+        (folder / f"{name} broken.pdf").write_bytes(content)
+    return scan_files(spark, str(folder)).cache()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 7, 16, 1000])
+def test_every_cut_of_a_text_gives_the_text_in_one_piece(spark, ranges, size):
+    whole = ranges.select("path", form_feed_text.of_files(F.col("path")).alias("d"))
+    expected = outcomes(whole, assemble_array(F.col("d.pages")), F.when(F.col("d.error").isNull(), F.size("d.pages")), "d.error")
+    decoder = FormFeedText(range_bytes=size)
+    assert outcomes(decoder.spread(ranges), "text", "pages", "error") == expected
+    assert sum(error is not None for _, _, error in expected.values()) == len(BROKEN)
+    counted = decoder.count_pages(ranges)
+    assert outcomes(counted, "pages", "error") == {name: row[1:] for name, row in expected.items()}
+    plain = ranges.select("path", form_feed_text.of_files(F.col("path")).alias("d")).select("path", F.array_join("d.pages", "").alias("text"))
+    if size in (1, 4):
+        assert outcomes(decoder.spread(ranges, labelled=False), "text") == outcomes(plain, "text")
+
+
+def test_bytes_and_files_and_natives_agree(spark, ranges):
+    rows = [(name, bytearray(open(path.removeprefix("file:"), "rb").read())) for path in [row.path for row in ranges.collect()] for name in [path]]
+    table = spark.createDataFrame(rows, "path string, content binary")
+    native = outcomes(table.select("path", form_feed_text(F.col("content")).alias("d")), "d.pages", "d.error")
+    assert native == outcomes(ranges.select("path", form_feed_text.of_files(F.col("path")).alias("d")), "d.pages", "d.error")
+
+
+def test_empty_files_have_no_pages(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"")
+    files = scan_files(spark, str(tmp_path))
+    assert outcomes(FormFeedText(4).count_pages(files), "pages", "error") == {"a.pdf": (None, "Failed to load PDF document")}
+
+
+def pages_of(at_once):
+    def count(source):
+        pages = source.read().count(b"\f") + 1
+        if pages == 3:
+            raise ValueError("three pages")
+        return 0 if pages == 2 else pages
+
+    def decode(source, first, last):
+        if first == 5:
+            raise ValueError("this range only")
+        source.seek(0)
+        found = source.read().decode().split("\f")[first - 1 : last]
+        return [None if page == "x" else page for page in found]
+
+    return paged_decoder(count, decode, at_once)
+
+
+def test_ranges_of_pages_are_the_work_of_many_tasks(spark, tmp_path):
+    body = "\f".join(["x" if at == 2 else f"page {at}" for at in range(1, 101)])
+    for name, text in {"long": body, "none": "a\fb", "three": "a\fb\fc", "one": "é"}.items():
+        (tmp_path / f"{name}.pdf").write_bytes(text.encode())
+    files, decoder = scan_files(spark, str(tmp_path)), pages_of(4)
+    pages = decoder.page_rows(decoder.count_pages(files))
+    assert pages.where("path LIKE '%long%'").select("task").distinct().count() > 3
+    lost = {2, 5, 6, 7, 8}
+    text = "".join(f"--- Page {at} (OCR) ---\npage {at}\n\n" for at in range(1, 101) if at not in lost)
+    assert outcomes(decoder.spread(files, ocr=True), "text", "pages", "error") == {
+        "long.pdf": (text, 100, None), "none.pdf": (None, 0, None), "three.pdf": (None, None, "three pages"), "one.pdf": ("--- Page 1 (OCR) ---\né\n\n", 1, None),
+    }
+    whole = files.select("path", decoder.of_files(F.col("path")).alias("d"))
+    assert outcomes(whole, assemble_array(F.col("d.pages"), True))["long.pdf"] == (text,)
+
+
+def test_an_open_file_for_a_decoder(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"0123456789")
+
+    def ends(source):
+        source.seek(-3, 2)
+        return [source.read().decode()]
+
+    decoder = python_decoder(ends, opened=True)
+    files = scan_files(spark, str(tmp_path))
+    assert outcomes(files.select("path", decoder.of_files(F.col("path")).alias("d")), "d.pages") == {"a.pdf": (["789"],)}
+    assert decode(spark, decoder, b"abcdef").pages == ["def"]
+    missing = spark.createDataFrame([(f"file:{tmp_path}/none.pdf",)], "path string")
+    assert "No such file" in missing.select(decoder.of_files(F.col("path")).alias("d")).first().d.error

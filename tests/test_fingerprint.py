@@ -1,10 +1,11 @@
 import hashlib
+import os
 import struct
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from textledger.functions.fingerprint import fast_fingerprint, full_fingerprint, read_edges
+from textledger.functions.fingerprint import fast_fingerprint, file_fingerprint, full_fingerprint
 from textledger.sources.files import scan_files
 
 
@@ -41,15 +42,60 @@ def test_missing_content_has_no_fingerprint(spark):
     assert tuple(row.select(fast_fingerprint(), full_fingerprint()).first()) == (None, None)
 
 
-def test_ranged_reads_find_the_same_bytes(spark, tmp_path):
+def hashes(frame, full):
+    seconds = F.unix_seconds("modificationTime")
+    return frame.select("path", file_fingerprint(F.col("path"), F.col("length"), seconds, full).alias("h")).select("path", "h.*").collect()
+
+
+def test_files_have_the_fingerprints_of_their_content(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("textledger.functions.fingerprint.PIECE_BYTES", 1000)
     for size in [0, 1, 1023, 1024, 1025, 2047, 2048, 2049, 100_000]:
-        (tmp_path / f"a b%20[{size}].pdf").write_bytes(bytes(n * 7 % 251 for n in range(size)))
+        path = tmp_path / f"a b%20[{size}].pdf"
+        path.write_bytes(bytes(n * 7 % 251 for n in range(size)))
+        os.utime(path, (1_700_000_000 - size * 20_000, 1_700_000_000 - size * 20_000))  # some before 1970
     files = scan_files(spark, str(tmp_path))
-    ranged = fast_fingerprint(read_edges(F.col("path"), F.col("length")))
-    rows = files.select("length", fast_fingerprint().alias("whole"), ranged.alias("ranged")).collect()
-    assert len(rows) == 9 and all(row.whole == row.ranged for row in rows)
-    plan = files.select("path", ranged)._jdf.queryExecution().executedPlan().toString()
-    assert "content:binary" not in plan
-    (tmp_path / "a b%20[1].pdf").unlink()
-    gone = spark.createDataFrame([(f"file:{tmp_path}/a b%20[1].pdf", 1)], "path string, length long")
-    assert gone.select(read_edges(F.col("path"), F.col("length"))).first()[0] is None
+    assert files.count() == 9
+    for row in hashes(files, False):
+        name = row.path.removeprefix("file:")
+        assert row.file_hash == expected(open(name, "rb").read(), os.stat(name).st_mtime) and row.problem is None
+    for row in hashes(files, True):
+        assert row.file_hash == hashlib.sha256(open(row.path.removeprefix("file:"), "rb").read()).hexdigest()
+
+
+def test_a_file_of_any_size_has_a_hash(spark, tmp_path):
+    with open(tmp_path / "sparse.pdf", "wb") as file:
+        file.truncate(1 << 30)
+    files = scan_files(spark, str(tmp_path))
+    state = hashlib.sha256()
+    for _ in range(1 << 10):
+        state.update(bytes(1 << 20))
+    assert hashes(files, True)[0].file_hash == state.hexdigest()
+    edges = hashlib.sha256(struct.pack(">qq", 1 << 30, int(os.stat(tmp_path / "sparse.pdf").st_mtime)) + bytes(2048))
+    assert hashes(files, False)[0].file_hash == edges.hexdigest()
+
+
+def test_the_fast_fingerprint_reads_two_ends(tmp_path, monkeypatch):
+    from textledger.sources import stores
+
+    (tmp_path / "a").write_bytes(bytes(1_000_000))
+    read = []
+
+    class Counting:
+        def __init__(self, file):
+            self.file, self.seek = file, file.seek
+
+        def read(self, size=-1):
+            read.append(size)
+            return self.file.read(size)
+
+    with open(tmp_path / "a", "rb", buffering=0) as file:
+        assert len(stores.read_range(Counting(file), 999_000, 1024)) == 1000
+    assert sum(read) <= 1024 + 24
+
+
+def test_files_that_cannot_be_read_have_a_problem(spark, tmp_path):
+    gone = spark.createDataFrame([(f"file:{tmp_path}/a b%20[1].pdf", 1, None), (f"file:{tmp_path}", 1, None)], "path string, length long, modificationTime timestamp")
+    for full in (False, True):
+        rows = {row.path: row for row in hashes(gone, full)}
+        assert all(row.file_hash is None for row in rows.values())
+        assert "No such file" in rows[f"file:{tmp_path}/a b%20[1].pdf"].problem and "directory" in rows[f"file:{tmp_path}"].problem

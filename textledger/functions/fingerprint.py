@@ -1,4 +1,4 @@
-"""SHA-256 fingerprints of a file, from the columns of the `binaryFile` source."""
+"""SHA-256 fingerprints: of files that tasks open, or of content in a table with the columns of the `binaryFile` source."""
 
 from collections.abc import Iterator
 
@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from textledger import formats
 
 
+#: Bytes of a file that pass through the hash at a time.
+PIECE_BYTES = 8 * 1024 * 1024
+
+
 def _big_endian(number: Column) -> Column:
     return F.unhex(F.lpad(F.hex(number), 16, "0"))
 
@@ -21,49 +25,48 @@ def content_edges(content: Column) -> Column:
     return F.concat(F.substring(content, 1, edge), F.when(size > edge, tail).otherwise(F.lit(b"")))
 
 
-def read_edges(path: Column, length: Column) -> Column:
-    """The same bytes, read from the file by two ranged reads on the workers instead of as a whole.
+def file_fingerprint(path: Column, length: Column, modified: Column, full: bool = False) -> Column:
+    """struct<file_hash, problem>: the fingerprint of a file that the task opens itself; its bytes are no value of a row.
 
-    Files are opened through pyarrow's file systems (local paths, s3, gs, abfs, hdfs), which need
-    credentials of their own on the workers. NULL for a file that is gone.
+    The full one passes the file through the hash piece by piece, whatever its size; the fast one reads the two ends. A
+    file that cannot be opened or read has no hash, but the reason as `problem`. `modified` is in seconds.
     """
-    edge = formats.FINGERPRINT_BYTES
-
-    def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        import re
-
-        from pyarrow import fs
+    edge, piece = formats.FINGERPRINT_BYTES, PIECE_BYTES
 
-        systems = {}
+    def hashed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        import hashlib
 
-        def locate(uri):
-            scheme, authority, rest = re.fullmatch(r"(?s)([\w+.-]+):(?://([^/]*))?(/.*)", uri).groups()
-            root = (re.sub("^s3[an]$", "s3", scheme), authority or "")
-            if root not in systems:
-                is_local = root[0] == "file"
-                systems[root] = fs.LocalFileSystem() if is_local else fs.FileSystem.from_uri("%s://%s/" % root)[0]
-            return systems[root], rest if root[0] in ("file", "hdfs") else root[1] + rest
+        from textledger.sources.stores import open_file, read_range
 
-        def edges(uri, size):
-            if size == 0:
-                return b""
-            system, name = locate(uri)
+        def one(uri, size, seconds):
+            state = hashlib.sha256()
             try:
-                with system.open_input_file(name) as source:
-                    head = source.read_at(min(edge, size), 0)
-                    start = max(edge, size - edge)
-                    return head + (source.read_at(size - start, start) if size > edge else b"")
-            except FileNotFoundError:
-                return None
-
-        for paths, lengths in batches:
-            pairs = zip(paths.to_pylist(), lengths.to_pylist())
-            yield pa.array([edges(uri, size) for uri, size in pairs], pa.binary())
-
-    return F.arrow_udf(read, "binary")(path, length)
-
-
-def fast_fingerprint(edges: Column | None = None) -> Column:
+                with open_file(uri) as source:
+                    if full:
+                        while part := source.read(piece):
+                            state.update(part)
+                    else:
+                        state.update(size.to_bytes(8, "big"))
+                        if seconds is not None and seconds >= 0:
+                            state.update(seconds.to_bytes(8, "big"))
+                        state.update(read_range(source, 0, min(edge, size)))
+                        if size > edge:
+                            start = max(edge, size - edge)
+                            state.update(read_range(source, start, size - start))
+            except OSError as caught:
+                return {"file_hash": None, "problem": str(caught).encode("utf-8", "replace").decode()}
+            return {"file_hash": state.hexdigest(), "problem": None}
+
+        kind = pa.struct([("file_hash", pa.string()), ("problem", pa.string())])
+        for columns in batches:
+            yield pa.array([one(*row) for row in zip(*(column.to_pylist() for column in columns))], kind)
+
+    # a file may change between two calls
+    udf = F.arrow_udf(hashed, "struct<file_hash: string, problem: string>").asNondeterministic()
+    return udf(path, length, modified)
+
+
+def fast_fingerprint() -> Column:
     """Hash of size, modification second, first KB and last KB, over `length`, `modificationTime`, `content`.
 
     Size and time are 8-byte big-endian; a time that is missing or before 1970 is left out.
@@ -73,7 +76,7 @@ def fast_fingerprint(edges: Column | None = None) -> Column:
         F.concat(
             _big_endian(F.col("length")),
             F.when(seconds >= 0, _big_endian(seconds)).otherwise(F.lit(b"")),
-            content_edges(F.col("content")) if edges is None else edges,
+            content_edges(F.col("content")),
         ),
         256,
     )

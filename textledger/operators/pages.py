@@ -16,17 +16,19 @@ def assemble_array(pages: Column, ocr: bool = False) -> Column:
 
 
 def assemble_pages(
-    pages: DataFrame, file: str, ocr: bool = False, number: str = "page_num", text: str = "page_text"
+    pages: DataFrame, file: str, ocr: bool = False, number: str = "page_num", text: str = "page_text", labelled: bool = True
 ) -> DataFrame:
-    """One row per `file` from a table of pages: `file`, `text`, `page_count` (blank pages included).
+    """One row per `file` from a table of pages: `file`, `text`, `page_count` (blank pages included). Without `labelled`
+    pages follow one another as they are.
 
     Joining texts in order is associative, so runs of neighbouring pages are folded first, spread over
     the cluster by (file, run). A document with very many pages therefore costs its last task a few long
     pieces instead of every page; what remains there is the output value itself.
     """
     piece = F.floor((F.col(number) - 1) / PIECE_PAGES)
+    shown = labelled_page(F.col(number), F.col(text), ocr) if labelled else F.col(text)
     folded = pages.groupBy(file, piece.alias("piece")).agg(
-        _in_order(F.col(number), labelled_page(F.col(number), F.col(text), ocr)).alias("text"),
+        _in_order(F.col(number), shown).alias("text"),
         F.count("*").alias("pages"),
     )
     return folded.groupBy(file).agg(

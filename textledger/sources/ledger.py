@@ -178,3 +178,17 @@ def compact(spark: SparkSession, path: str, new_path: str) -> None:
     rows = conform(read_ledger(spark, path))
     rows.hint("rebalance", "file_path").write.mode("error").parquet(f"{new_path}/batch_id=1")
     _create(spark, new_path, "batch_id=1", COMMITTED)
+
+
+DROPPED = "path string, problem string, timestamp timestamp_ntz"
+
+
+def write_dropped(files: DataFrame, path: str, loaded_at: datetime | None = None) -> None:
+    """Keep files (path, problem) that a run had to leave out beside the ledger."""
+    files.withColumn("timestamp", load_time(loaded_at)).write.mode("append").parquet(f"{path}/_dropped/rows")
+
+
+def read_dropped(spark: SparkSession, path: str) -> DataFrame:
+    """path, problem, timestamp of the files that runs left out because they could not be read."""
+    folder, files = _path(spark, path, "_dropped", "rows")
+    return spark.read.schema(DROPPED).parquet(f"{path}/_dropped/rows") if files.exists(folder) else spark.createDataFrame([], DROPPED)
