@@ -2,17 +2,13 @@
 
 import tempfile
 import uuid
-from collections.abc import Iterable
-from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructField, StructType
 
-CHUNK_ROWS = 50_000
-
-# What may be broadcast: measured bytes of text plus an allowance per row.
-BROADCAST_BYTES = 128 * 1024 * 1024
+# What may be broadcast: measured bytes of all values plus an allowance per row.
+BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_BYTES = 64
 
 
@@ -39,21 +35,28 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def value_bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes, whatever its type."""
+    if isinstance(kind, StringType | BinaryType):
+        size = F.octet_length(value).cast("long")
+    elif isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType | BinaryType | ArrayType | MapType | StructType):
+            size = F.aggregate(value, F.lit(0).cast("long"), lambda total, each: total + value_bytes(each, kind.elementType) + 8)
+        else:
+            size = F.size(value).cast("long") * 8
+    elif isinstance(kind, MapType):
+        pairs = StructType([StructField("key", kind.keyType), StructField("value", kind.valueType)])
+        size = value_bytes(F.map_entries(value), ArrayType(pairs))
+    elif isinstance(kind, StructType):
+        size = sum((value_bytes(value[field.name], field.dataType) for field in kind), F.lit(0).cast("long"))
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(F.greatest(size, F.lit(0).cast("long")), F.lit(0).cast("long"))
+
+
 def stored_for_join(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
     """`rows` stored and counted; marked for broadcast if their measured size is small enough."""
     table = stored(rows, name)
-    texts = [F.octet_length(field.name) for field in table.schema if isinstance(field.dataType, StringType)]
-    row_bytes = sum((F.coalesce(size, F.lit(0)) for size in texts), F.lit(ROW_BYTES))
+    row_bytes = sum((value_bytes(F.col(f"`{field.name}`"), field.dataType) for field in table.schema), F.lit(ROW_BYTES).cast("long"))
     number, size = table.agg(F.count("*"), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
     return (F.broadcast(table) if size <= BROADCAST_BYTES else table), number
-
-
-def stored_chunks(spark: SparkSession, rows: Iterable[tuple], schema: StructType, name: str) -> DataFrame:
-    """Rows that only the driver can produce, written chunk by chunk so that few are held at a time."""
-    path = fresh_path(spark, name)
-    remaining = iter(rows)
-    chunk = list(islice(remaining, CHUNK_ROWS))
-    spark.createDataFrame(chunk, schema).write.parquet(path)
-    while chunk := list(islice(remaining, CHUNK_ROWS)):
-        spark.createDataFrame(chunk, schema).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
