@@ -29,7 +29,7 @@ SEGMENT_CHARS = 64
 REMEMBERED = 200_000
 
 #: Chunks that a task counts before it passes its counts on.
-COUNTED = 150_000
+COUNTED = 50_000
 SPACE = "▁"
 
 
@@ -140,7 +140,7 @@ def _segment_counts(docs: DataFrame, path: str) -> DataFrame:
             kept = [segment for segment in totals if len(segment) <= SEGMENT_CHARS]
             return pa.record_batch([pa.array(kept, pa.string()), pa.array([totals[each] for each in kept], pa.int64())], ["segment", "n"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, 128, 1 << 20):
             for text in batch.column(0).to_pylist():
                 seen.update(chunks(text or ""))
                 if len(seen) > COUNTED:
