@@ -31,3 +31,12 @@ def docs(spark):
 @pytest.fixture(scope="session")
 def labels(spark):
     return spark.createDataFrame([(4, 1, 0), (8, 1, None), (10, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="session")
+def clashing(spark):
+    """Documents whose other columns have names that the stages make up themselves."""
+    names = "_of _epochs _last _copies _copy _ratios _rules _gone _again _id _node _component _key _score others key copies copy of node c0".split()
+    rows = [(at, text, f"s{at % 3}", *[at * 100 + n for n in range(len(names))]) for at, text in enumerate(TEXTS)]
+    rows += [rows[4], rows[8]]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{name}` long" for name in names))

@@ -326,6 +326,53 @@ def test_classifier(spark, docs, given, labels):
         scored = quality_classifier.quality_scores(frame, these).collect()
         assert len(scored) == frame.count() and all(0 <= row.score <= 1 and row.predicted == (row.score >= 0.7) for row in scored)
         assert quality_classifier.keep_good(frame, these).columns == frame.columns
+    # nothing to learn from: nothing is known to be bad
+    assert quality_classifier.keep_good(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_stages_keep_columns_of_any_name(clashing, labels):
+    whole = {tuple(row) for row in clashing.collect()}
+    trusted = quality_rules.trusted_ids(labels)
+    kept_by_rules = {row.doc_id for row in quality_rules.quality_verdicts(clashing, trusted).where("kept").collect()}
+    plain = clashing.select("doc_id", "text", "source")
+    copies = Counter(row.doc_id for row in mixing.mix(plain).collect())
+    expected = {
+        "rules": (quality_rules.keep_good(clashing, trusted), kept_by_rules),
+        "classifier": (quality_classifier.keep_good(clashing, labels), {row.doc_id for row in quality_classifier.quality_scores(clashing, labels).where("predicted = 1").collect()}),
+        "one": (jaccard_join.keep_one(clashing), {row.doc_id for row in jaccard_join.keep_one(plain).collect()}),
+        "mix": (mixing.mix(clashing), set(copies)),
+    }
+    for frame, ids in expected.values():
+        found = frame.collect()
+        assert frame.columns == clashing.columns and {tuple(row) for row in found} <= whole and {row.doc_id for row in found} == ids
+    assert Counter(row.doc_id for row in mixing.mix(clashing).collect()) == copies
+
+
+def test_mixing_by_brute_force(spark):
+    """Whole epochs, then documents in the order of their keys until the rest is used up; low weights keep their order."""
+    table = [(at, ("a " * (1 + at % 9)) + "#" * (at % 3) * 20, f"s{at % 4}") for at in range(600)]
+    frame = spark.createDataFrame(table, "doc_id long, text string, source string")
+    key = mixing.sampling_key(F.col("doc_id"), F.col("text"), mixing.document_weight(F.col("text")), 7)
+    keys = {row[0]: row[1] for row in frame.select("doc_id", key).collect()}
+    assert len(set(keys.values())) == len(keys) and min(keys.values()) > 0
+    found = {row.doc_id: row for row in mixing.mix_counts(frame).collect()}
+    for source in range(4):
+        own = sorted((at for at in found if at % 4 == source), key=keys.get)
+        size, target = found[own[0]].source_size, found[own[0]].target
+        epochs, rest, used, taken = int(target // size), target % size, 0, set()
+        for at in own:
+            if used + found[at].size / 2 > rest:
+                break
+            used += found[at].size
+            taken.add(at)
+        assert {at: found[at].taken for at in own} == {at: found[at].size * (epochs + (at in taken)) for at in own}
+
+
+def test_sampling_keys_of_low_weight_differ(spark):
+    rows = spark.range(50_000).select(mixing.sampling_key(F.col("id"), F.lit("x"), F.lit(0.2), 7).alias("key"))
+    assert rows.distinct().count() == 50_000
+    most = rows.groupBy(F.floor(F.log2("key") * mixing.SLICES)).count().agg(F.max("count")).first()[0]
+    assert most < 100
 
 
 def test_flat_trees_walk_like_nodes():

@@ -25,6 +25,19 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def sheltered(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with only the columns `used` and, as one column, all others, so that no name can clash with a name that is
+    made up on the way; and a function that brings the columns of `docs` back in their order."""
+    others = [name for name in docs.columns if name not in used]
+    packed = [F.struct(*[docs[f"`{name}`"].alias(f"c{at}") for at, name in enumerate(others)]).alias("others")] if others else []
+    place = {name: F.col(f"others.c{at}") for at, name in enumerate(others)}
+
+    def restored(rows: DataFrame) -> DataFrame:
+        return rows.select(*[place.get(name, F.col(f"`{name}`")).alias(name) for name in docs.columns])
+
+    return docs.select(*used, *packed), restored
+
+
 def words(text: Column) -> Column:
     """The runs of characters other than U+0020 and U+0009 to U+000D; none where the text is NULL."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAKS), lambda word: word != "")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textledger.llm.common import head_count, slices, utf8
+from textledger.llm.common import head_count, sheltered, slices, utf8
 from textledger.llm.components import components
 from textledger.sources.shared import stored, stored_for_join
 
@@ -464,7 +464,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id, and those without one, are told apart by their sets: different texts under one id that are
     not linked stay both. A row with a NULL doc_id stays for its component only if no row there has an id. Of rows without
-    shingles, which are linked with nothing, those alike in id and text count as one; with a NULL doc_id all stay."""
+    shingles, which are linked with nothing, those alike in id and text count as one; with a NULL doc_id all stay. Columns
+    stay as they are, whatever they are called."""
+    rows, restored = sheltered(docs, "doc_id", "text")
+    return restored(_one_of_each(rows))
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
     found = stored(_members(docs), "components")
     gone, _ = stored_for_join(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")

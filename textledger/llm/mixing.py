@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textledger.llm.common import words
+from textledger.llm.common import sheltered, words
 from textledger.sources.shared import stored, stored_for_join
 
-#: Slices of the range of keys; only the slice in which a source's budget ends is sorted.
-SLICES = 16_384
+#: Slices of the keys' range for each doubling of the key; only the slice in which a source's budget ends is sorted.
+SLICES = 4096
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -22,9 +22,9 @@ def document_weight(text: Column) -> Column:
 
 
 def sampling_key(doc_id: Column, text: Column, weight: Column, seed: int) -> Column:
-    """1 - u ** (1 / weight): ascending order is that of the exponential keys -ln(u) / weight. u comes from id and text."""
+    """The exponential key -ln(u) / weight; u comes from id and text. Taking the least keys first samples by weight."""
     u = (F.pmod(F.xxhash64(F.lit(seed), doc_id, text), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    return F.lit(1.0) - F.pow(u, F.lit(1.0) / weight)
+    return -F.log(u) / weight
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -63,8 +63,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
         F.size(words(F.col("text"))).cast("long").alias("size"),
         sampling_key(F.col("doc_id"), F.col("text"), weight, seed).alias("key"),
     )
-    thin = stored(thin.withColumn("slice", F.floor(F.col("key") * SLICES).cast("int")), "sizes")
-    slices = thin.groupBy("source", "slice").agg(F.sum("size").alias("size"))
+    thin = stored(thin.withColumn("slice", F.floor(F.log2("key") * SLICES).cast("int")), "sizes")
+    slices = thin.groupBy("source", "slice").agg(F.sum("size").alias("size"), F.max("key").alias("top"))
     slices = stored(slices, "slices")
     sources = source_targets(slices.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -74,9 +74,11 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
 
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
     running = Window.partitionBy("source").orderBy("slice")
+    earlier = running.rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("after", F.sum("size").over(running)).withColumn("before", F.col("after") - F.col("size"))
+    slices = slices.withColumn("last_before", F.coalesce(F.max("top").over(earlier), F.lit(-1.0)))
     ends = slices.alias("a").join(sources.alias("b"), same).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("after")))
-    ends = ends.select("a.source", "slice", "before", "rest")
+    ends = ends.select("a.source", "slice", "before", "rest", "last_before")
     marked = thin.alias("a").join(ends.alias("b"), same & (F.col("a.slice") == F.col("b.slice")))
     at_key = marked.groupBy("a.source", "key").agg(F.sum("size").alias("size"), F.min("before").alias("before"), F.min("rest").alias("rest"))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("key"))
@@ -84,7 +86,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     last = inside.groupBy("source").agg(F.max("key").alias("key"))
     # without a document of the slice, all of the slices before are taken
     last = ends.alias("a").join(last.alias("b"), same, "left").select(
-        "a.source", F.coalesce("b.key", F.col("slice") / SLICES - F.lit(1e-12)).alias("last_key")
+        "a.source", F.coalesce("b.key", "last_before").alias("last_key")
     )
     sources = sources.alias("a").join(last.alias("b"), same, "left")
     # where the rest is nothing, or a source has no words, no document is taken for it
@@ -108,13 +110,12 @@ def mix_counts(docs: DataFrame, **settings) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 7, **settings) -> DataFrame:
-    """The rows of `docs`, all columns, each as often as the mix takes it. Texts are not shuffled: every task works out
-    the keys of its own rows and looks the sources up."""
+    """The rows of `docs`, all columns whatever they are called, each as often as the mix takes it. Texts are not shuffled:
+    every task works out the keys of its own rows and looks the sources up."""
     _, sources = mixed(docs, seed=seed, **settings)
-    sources = sources.select(F.col("source").alias("_of"), F.col("epochs").alias("_epochs"), F.col("last_key").alias("_last"))
-    text = F.coalesce("text", F.lit(""))
-    key = sampling_key(F.col("doc_id"), F.col("text"), document_weight(text), seed)
-    rows = docs.join(sources, F.col("source").cast("string").eqNullSafe(F.col("_of")))
-    rows = rows.withColumn("_copies", (F.col("_epochs") + (key <= F.col("_last")).cast("long")).cast("int"))
-    rows = rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.select(*docs.columns)
+    docs, restored = sheltered(docs, "doc_id", "text", "source")
+    sources = sources.select(F.col("source").alias("of"), "epochs", "last_key")
+    key = sampling_key(F.col("doc_id"), F.col("text"), document_weight(F.coalesce("text", F.lit(""))), seed)
+    rows = docs.withColumn("key", key).join(sources, F.col("source").cast("string").eqNullSafe(F.col("of")))
+    rows = rows.withColumn("copies", _copies().cast("int")).where("copies > 0")
+    return restored(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))

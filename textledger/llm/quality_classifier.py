@@ -158,6 +158,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs` that score `threshold` or more, with their columns."""
+    """The rows of `docs` that score `threshold` or more, with their columns, whatever they are called.
+
+    Without a labelled document to learn from nothing is known to be bad, so all rows stay."""
     trees = fit(docs, labels)
-    return docs.withColumn("_score", score(F.col("text"), trees)).where(F.col("_score") >= threshold).drop("_score")
+    if not trees.leaf.any() and trees.base == 0.0:
+        return docs
+    return docs.where(score(F.col("text"), trees) >= threshold)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textledger.llm.common import let, words
+from textledger.llm.common import let, sheltered, words
 from textledger.sources.shared import stored, stored_for_join
 
 BUCKETS = 16_384  # of hashed words and word pairs
@@ -120,5 +120,6 @@ def quality_verdicts(docs: DataFrame, trusted: DataFrame, threshold: float = THR
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that are kept, with their columns."""
-    return judged(docs, trusted, threshold).where(F.col("_rules")["kept"]).select(*docs.columns)
+    """The rows of `docs` that are kept, with their columns, whatever they are called."""
+    rows, restored = sheltered(docs, "doc_id", "text")
+    return restored(judged(rows, trusted, threshold).where(F.col("_rules")["kept"]))
