@@ -290,21 +290,63 @@ def test_token_counts(docs, given):
         assert sorted(rows(found), key=str) == sorted(expected, key=str)
 
 
+def slow_top_k(table, k=20):
+    whole = [(at, [math.floor(64 * x) for x in vector]) for at, vector in table if at is not None and vector is not None and all(x is not None and math.isfinite(x) for x in vector)]
+    out = []
+    for own, (query, vector) in enumerate(whole):
+        if query % 20:
+            continue
+        bound = lambda score: min((1 << 63) - 1, max(-(1 << 63), score))
+        scores = [(-bound(sum(a * b for a, b in zip(vector, other))), at) for i, (at, other) in enumerate(whole) if i != own and len(other) == len(vector)]
+        out += [(query, rank, at, -score) for rank, (score, at) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+def whole_vectors(spark, table):
+    frame = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    return frame.select("vec_id", topk_search.whole_numbers(F.col("embedding")).alias("vector"))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(0, 0.2, (90, 8)).tolist()
     vectors[10] = vectors[11] = vectors[12] = vectors[20]
-    table = [(at, vector) for at, vector in enumerate(vectors)]
-    table += [(100, None), (120, [float("nan")] * 8), (140, [None] * 8), (None, vectors[0]), (160, [1e30] * 8), (200, [0.5, 0.25]), (201, [1.0, 1.0])]
-    frame = spark.createDataFrame(table, "vec_id long, embedding array<double>").select("vec_id", topk_search.whole_numbers(F.col("embedding")).alias("vector"))
-    found = rows(topk_search.top_k(frame, frame.where("vec_id % 20 = 0")))
-    whole = {at: np.floor(64 * np.array(vector)).astype(int) for at, vector in table[:90]} | {200: np.array([32, 16]), 201: np.array([64, 64])}
-    expected = []
-    for query in (at for at in whole if at % 20 == 0):
-        scores = sorted((-int(whole[query] @ other), at) for at, other in whole.items() if at != query and len(other) == len(whole[query]))
-        expected += [(query, rank, at, -score) for rank, (score, at) in enumerate(scores[:20], 1)]
-    assert sorted(found) == sorted(expected)
-    assert topk_search.top_k(frame.limit(0), frame.limit(0)).count() == 0
+    table = list(enumerate(vectors)) + [(1000 + at, vectors[20]) for at in range(60)]
+    table += [(100, None), (120, [float("nan")] * 8), (140, [None] * 8), (None, vectors[0]), (160, [1e30] * 8), (161, [3e5] * 8), (180, [-3e5, 1.0] * 4)]
+    table += [(200, [0.5, 0.25]), (201, [1.0, 1.0]), (220, []), (221, []), (40, vectors[3]), (40, vectors[40]), (60, [0.0] * 8)]
+    frame = whole_vectors(spark, table)
+    assert sorted(rows(topk_search.top_k(frame, F.col("vec_id") % 20 == 0))) == sorted(slow_top_k(table))
+    assert topk_search.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(8)
+    for scale in (1, 50, 1e6, 1e30):
+        vectors, queries = (np.floor(rng.normal(size=(n, 16)) * scale) for n in (300, 20))
+        vectors[:, 3] = 7.0
+        cells, low, width = topk_search.quantised(vectors)
+        middles, far = topk_search.bounds(cells, low, width, queries)
+        assert cells.dtype == np.uint8 and cells.nbytes * 8 == vectors.nbytes
+        assert (np.abs(queries @ vectors.T - middles) <= far[:, None]).all()
+
+
+def test_few_exact_vectors_are_read(spark):
+    rng = np.random.default_rng(9)
+    table = [(at, vector) for at, vector in enumerate((rng.normal(0, 0.125, (3000, 32))).tolist())]
+    read = []
+    exact = topk_search._exact
+
+    def counting(found, vectors, queries):
+        read.append(found.count())
+        return exact(found, vectors, queries)
+
+    topk_search._exact = counting
+    try:
+        found = rows(topk_search.top_k(whole_vectors(spark, table), F.col("vec_id") % 20 == 0))
+    finally:
+        topk_search._exact = exact
+    assert sorted(found) == sorted(slow_top_k(table))
+    assert 150 * 20 <= sum(read) < 0.03 * 150 * 3000
 
 
 def test_pieces(docs, given):

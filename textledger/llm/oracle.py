@@ -4,16 +4,16 @@ WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')
 
 TOP_K = """
 WITH vectors AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+    SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scores AS (
-    SELECT q.vec_id AS query_id, c.vec_id,
-        CAST(list_sum(list_transform(range(1, len(c.vector) + 1), lambda i: q.vector[i] * c.vector[i])) AS BIGINT) AS score
-    FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.vector) = len(c.vector)
+    SELECT q.row_id AS query, q.vec_id AS query_id, c.vec_id,
+        CAST(coalesce(list_sum(list_transform(range(1, len(c.vector) + 1), lambda i: q.vector[i] * c.vector[i])), 0) AS BIGINT) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.row_id <> c.row_id AND len(q.vector) = len(c.vector)
 ), ranked AS (
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
     FROM scores
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20

@@ -61,7 +61,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", topk_search.whole_numbers(F.col("embedding")).alias("vector"))
-    return topk_search.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+    return topk_search.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
