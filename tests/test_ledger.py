@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from textledger.operators.queries import list_files, run_summary, search, statistics
 from textledger.operators.versions import already_processed, current_versions, pending, replaced_keys, upsert
 from textledger.schema import LEDGER
-from textledger.sources.ledger import batch_ids, compact, read_ledger, read_versions, write_batch
+from textledger.sources import ledger as source
+from textledger.sources.ledger import batch_ids, compact, read_ledger, read_versions, snapshot, vacuum, write_batch
 
 AT = datetime(2024, 1, 1)
 
@@ -243,11 +244,11 @@ def test_unfinished_batches_are_not_read(spark, path):
         write_batch(frame(spark, FIRST[1], FIRST[1]), path)
     with pytest.raises(ValueError, match="sequence"):
         write_batch(frame(spark, FIRST[1], FIRST[1]), path, batch_id=1)
-    frame(spark, FIRST[3]).write.parquet(f"{path}/batch_id=5")  # a writer that was lost before it was done
+    frame(spark, FIRST[3]).write.parquet(f"{path}/batch_id=5/ab")  # a writer that was lost before it was done
     assert batch_ids(spark, path) == [1]
     assert texts(read_ledger(spark, path)) == [("a", "1", "old a")]
     write_batch(frame(spark, FIRST[1]), path)
-    assert batch_ids(spark, path) == [1, 6]
+    assert batch_ids(spark, path) == [1, 3]  # the number that a failed batch reserved stays unused
 
 
 def test_replaced_keys_are_one_row_each_by_plain_aggregation(spark):
@@ -256,3 +257,50 @@ def test_replaced_keys_are_one_row_each_by_plain_aggregation(spark):
     replaced = replaced_keys(versions)
     assert [tuple(r) for r in replaced.collect()] == [("a", "1", 4)]
     assert "ObjectHashAggregate" not in replaced._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("stop", ["write", "commit", None])
+def test_a_rebuilt_batch_is_the_old_or_the_new_one_never_neither(spark, path, monkeypatch, stop):
+    write_batch(frame(spark, *FIRST), path, batch_id=7)
+    write_batch(frame(spark, row("z", "1", "other")), path)
+    before, held = snapshot(spark, path), read_versions(spark, path)
+    seen = []
+
+    def stopped(*_):
+        seen.append(texts(read_ledger(spark, path)))
+        raise KeyboardInterrupt
+
+    if stop == "commit":
+        monkeypatch.setattr(source, "_commit", stopped)
+    rows = frame(spark, row("a", "1", "rebuilt"))
+    if stop == "write":
+        rows = rows.withColumn("page_count", F.raise_error(F.lit("lost")).cast("int"))
+    try:
+        write_batch(rows, path, batch_id=7)
+    except BaseException:  # noqa: S110
+        pass
+    monkeypatch.undo()
+    old = sorted([("a", "1", "old a"), ("b", "1", "old b"), ("c", None, "c1"), ("d", "1", ""), ("z", "1", "other")])
+    assert all(each == old for each in seen)
+    assert texts(read_ledger(spark, path)) == (old if stop else [("a", "1", "rebuilt"), ("z", "1", "other")])
+    assert texts(held) == old  # a reader keeps its snapshot
+    assert (snapshot(spark, path) == before) == bool(stop) and batch_ids(spark, path) == [7, 8]
+
+
+def test_vacuum_leaves_what_counts(spark, path, tmp_path):
+    for text in ("one", "two", "three"):
+        write_batch(frame(spark, row("a", "1", text)), path, batch_id=1)
+    frame(spark, FIRST[3]).write.parquet(f"{path}/batch_id=9/ab")  # a writer that was lost before its commit
+    vacuum(spark, path)
+    assert texts(read_ledger(spark, path)) == [("a", "1", "three")]
+    assert len(list((tmp_path / "ledger" / "batch_id=1").iterdir())) == 1 and not list((tmp_path / "ledger" / "batch_id=9").iterdir())
+    assert batch_ids(spark, path) == [1]
+
+
+def test_the_last_commit_of_a_batch_counts(spark, path):
+    for number, name in ((1, "aa"), (3, "0b"), (2, "cc"), (3, "0a")):
+        frame(spark, row("a", "1", name)).write.parquet(f"{path}/batch_id=4/{name}")
+        source._create(spark, path, source.LOG, f"commit-{number:012d}-batch-4-{name}")
+    assert snapshot(spark, path) == {4: f"{path}/batch_id=4/0b"}
+    assert texts(read_ledger(spark, path)) == [("a", "1", "0b")]
+    assert read_versions(spark, path).columns[-1] == "batch_id" and read_versions(spark, path).first().batch_id == 4

@@ -1,5 +1,9 @@
 """Exports of a ledger: a text report and JSON records. Both hold failed rows and every current version."""
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +44,9 @@ def text_blocks(ledger: DataFrame) -> DataFrame:
 def write_text_report(ledger: DataFrame, path: str, single_file: bool = False) -> None:
     """Write the report under `path`: its part files in name order, put together, are the report.
 
-    The title sorts ahead of all blocks and so opens the first part. The sort is by path, then hash,
-    in as many parts as the data asks for; `single_file` has one task write all of them in order.
+    The title sorts ahead of all blocks and so opens the first part. The order is by path, then hash, in as many parts as
+    `spark.sql.shuffle.partitions` says; their borders come from a scan of paths and hashes, so that texts are read once.
+    `single_file` has one task write all of them in order.
     """
     spark = ledger.sparkSession
     title = spark.range(1).select(
@@ -51,13 +56,42 @@ def write_text_report(ledger: DataFrame, path: str, single_file: bool = False) -
         F.lit(f"{formats.REPORT_TITLE}\n{formats.RULE}\n\n").alias("block"),
     )
     lines = title.unionByName(text_blocks(ledger).withColumn("rank", F.lit(1)))
-    # A hash of the block breaks ties, so equal paths with a NULL hash can still be cut into several ranges.
-    ordered = lines.orderBy("rank", "file_path", "file_hash", F.xxhash64("block"))
+    keys = title.drop("block").unionByName(_current(ledger.select(*_KEYS, *_versioning(ledger))).select(*_KEYS).withColumn("rank", F.lit(1)))
+    number = 1 if single_file else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A hash of the block breaks ties, so the order of equal paths with a NULL hash is always the same.
+    order = ["rank", "file_path", "file_hash"]
+    ordered = _in_ranges(lines, keys, order, number).sortWithinPartitions(*order, F.xxhash64("block"))
     # Blocks end in a line break and the writer adds one per row.
-    parts = ordered.select(F.left("block", F.length("block") - 1))
-    if single_file:
-        parts = parts.coalesce(1)
-    parts.write.mode("overwrite").text(path)
+    ordered.select(F.left("block", F.length("block") - 1)).write.mode("overwrite").text(path)
+
+
+_KEYS = ["file_path", "file_hash"]
+
+
+def _versioning(ledger: DataFrame) -> list[str]:
+    return [name for name in ["batch_id"] if name in ledger.columns]
+
+
+def _in_ranges(rows: DataFrame, keys: DataFrame, order: list[str], number: int) -> DataFrame:
+    """`rows` in `number` partitions that follow one another in `order`, by borders that a scan of `keys` alone finds.
+
+    Texts are read once, and sent right to their partition. Rows with equal keys share one: a file has few versions with
+    a NULL hash."""
+    if number == 1:
+        return rows.coalesce(1)
+    ranged = keys.repartitionByRange(number, *order)
+    firsts = ranged.groupBy(F.spark_partition_id()).agg(F.min(F.struct(*order)).alias("first")).select("first.*")
+    # one row for each partition; NULL comes first in Spark's order
+    comparable = lambda rank, path, file_hash: (rank, path, file_hash is not None, file_hash or "")
+    borders = sorted(comparable(*row) for row in firsts.collect())
+
+    def find(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            found = zip(*(column.to_pylist() for column in columns))
+            yield pa.array([max(0, bisect_right(borders, comparable(*row)) - 1) for row in found], pa.int32())
+
+    part = F.arrow_udf(find, "int")(*order)
+    return rows.withColumn("part", part).repartitionById(number, "part")
 
 
 def json_records(ledger: DataFrame, include_text: bool = False) -> DataFrame:

@@ -1,9 +1,14 @@
-"""The stored ledger: Parquet under one folder, one `batch_id=N` subfolder per run, never changed in place.
+"""The stored ledger: Parquet folders that never change, and a log that says which of them count.
 
-A batch counts once its folder holds the file `_committed`, which is created last. A new batch reserves its number by
-creating `_reserved` first, so writers that run at once get numbers of their own.
+A run writes its rows under `batch_id=N/<some name>`, where nobody looks, and then creates one empty file in `_log`, whose
+name holds a number, the batch and the folder. That file is the commit: it is there or not, so a reader sees a batch as it was
+or as it is, whatever happens to the writer. Of several commits of one batch the last one counts. A reader takes one
+listing of the log as its snapshot; folders that a later commit leaves behind stay until `vacuum`.
+
+A new batch reserves its number by an exclusively created file, so writers that run at once get numbers of their own.
 """
 
+import re
 import threading
 import uuid
 from datetime import datetime, timezone
@@ -18,8 +23,9 @@ from textledger.operators.versions import one_per_key, replaced_keys, without_re
 from textledger.schema import KEY, LEDGER, VERSIONS
 from textledger.sources.shared import stored_for_join
 
-
-COMMITTED, RESERVED = "_committed", "_reserved"
+LOG = "_log"
+_COMMIT = re.compile(r"commit-(\d+)-batch-(\d+)-([0-9a-f]+)")
+_RESERVED = re.compile(r"reserved-(\d+)")
 
 _reserving = threading.Lock()
 
@@ -30,13 +36,10 @@ def _path(spark: SparkSession, *parts: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _numbers(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of all batch folders, unfinished ones too."""
-    folder, files = _path(spark, path)
-    if not files.exists(folder):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(folder)]
-    return sorted(int(name.removeprefix("batch_id=")) for name in names if name.startswith("batch_id="))
+def _log(spark: SparkSession, path: str) -> list[str]:
+    """Names of the log's files, by one listing."""
+    folder, files = _path(spark, path, LOG)
+    return [status.getPath().getName() for status in files.listStatus(folder)] if files.exists(folder) else []
 
 
 def _create(spark: SparkSession, *parts: str) -> bool:
@@ -50,31 +53,63 @@ def _create(spark: SparkSession, *parts: str) -> bool:
         raise
 
 
+def _matches(pattern: re.Pattern, names: list[str]) -> list[tuple[str, ...]]:
+    return [found.groups() for found in map(pattern.fullmatch, names) if found]
+
+
 def _reserve(spark: SparkSession, path: str) -> int:
     """The next free batch number. File systems with an exclusive create keep drivers apart, the lock threads of one."""
     with _reserving:
         while True:
-            number = max(_numbers(spark, path), default=0) + 1
-            if _create(spark, path, f"batch_id={number}", RESERVED):
+            names = _log(spark, path)
+            taken = [int(number) for number, in _matches(_RESERVED, names)] + [int(batch) for _, batch, _ in _matches(_COMMIT, names)]
+            number = max(taken, default=0) + 1
+            if _create(spark, path, LOG, f"reserved-{number}"):
                 return number
 
 
+def _commit(spark: SparkSession, path: str, batch_id: int, name: str) -> None:
+    """From here on the rows in `batch_id=N/name` are the batch."""
+    number = max((int(number) for number, _, _ in _matches(_COMMIT, _log(spark, path))), default=0) + 1
+    if not _create(spark, path, LOG, f"commit-{number:012d}-batch-{batch_id}-{name}"):
+        raise OSError(f"cannot commit batch {batch_id}")
+
+
+def snapshot(spark: SparkSession, path: str) -> dict[int, str]:
+    """The folder of each batch that counts, by one listing of the log; empty if there is no ledger yet.
+
+    Writers of one batch at the same time may commit under one number; then the name decides, for every reader alike."""
+    last: dict[int, tuple[int, str]] = {}
+    for number, batch, name in _matches(_COMMIT, _log(spark, path)):
+        last[int(batch)] = max(last.get(int(batch), (0, "")), (int(number), name))
+    return {batch: f"{path}/batch_id={batch}/{name}" for batch, (_, name) in sorted(last.items())}
+
+
 def batch_ids(spark: SparkSession, path: str) -> list[int]:
-    """Finished batches of the ledger, ascending; empty if there is no ledger yet. Lists folders, reads no data."""
+    """Finished batches of the ledger, ascending; empty if there is no ledger yet. Reads no data."""
+    return list(snapshot(spark, path))
 
-    def finished(number: int) -> bool:
-        marker, files = _path(spark, path, f"batch_id={number}", COMMITTED)
-        return files.exists(marker)
 
-    return [number for number in _numbers(spark, path) if finished(number)]
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Delete rows that no commit, or only an earlier commit of their batch, names. No run and no reader may be at work."""
+    kept = {folder.rsplit("/", 1)[-1] for folder in snapshot(spark, path).values()}
+    root, files = _path(spark, path)
+    for batch in files.listStatus(root) if files.exists(root) else []:
+        if batch.getPath().getName().startswith("batch_id="):
+            for part in files.listStatus(batch.getPath()):
+                if part.getPath().getName() not in kept:
+                    files.delete(part.getPath(), True)
 
 
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
     """All rows of finished batches, with `batch_id`; no rows if there is no ledger yet."""
-    folders = [f"{path}/batch_id={number}" for number in batch_ids(spark, path)]
+    return _rows(spark, path, snapshot(spark, path))
+
+
+def _rows(spark: SparkSession, path: str, folders: dict[int, str]) -> DataFrame:
     if not folders:
         return spark.createDataFrame([], VERSIONS)
-    return spark.read.schema(VERSIONS).option("basePath", path).parquet(*folders)
+    return spark.read.schema(VERSIONS).option("basePath", path).parquet(*folders.values())
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -83,8 +118,9 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     Which rows were replaced is found from keys and measured first: as long as that can be broadcast, the
     rows themselves are only filtered.
     """
-    versions = read_versions(spark, path)
-    if len(batch_ids(spark, path)) < 2:  # nothing can have been replaced
+    folders = snapshot(spark, path)
+    versions = _rows(spark, path, folders)
+    if len(folders) < 2:  # nothing can have been replaced
         return versions.drop("batch_id")
     replaced, number = stored_for_join(replaced_keys(versions), "replaced")
     return (without_replaced(versions, replaced) if number else versions).drop("batch_id")
@@ -125,18 +161,17 @@ def write_batch(
 ) -> dict[str, int]:
     """Upsert `rows` as one batch; returns processed, successful and failed counts of what was written.
 
-    Rows get the load time as `timestamp`. The batch is the next one, or `batch_id`, whose old rows are then
-    replaced as a whole once the new ones are complete. `sequence` orders several rows of one key (see
+    Rows get the load time as `timestamp`. The batch is the next one, or `batch_id`, whose old rows the commit
+    replaces as a whole. `sequence` orders several rows of one key (see
     `one_per_key`); without it keys must be unique, which is verified on the written keys, before the batch
     counts, unless the caller vouches for it with `unique`. A batch that fails leaves nothing behind that is read.
     """
     spark = rows.sparkSession
     if sequence is not None:
         rows = one_per_key(rows, sequence)
-    if batch_id is None:
-        folder = f"{path}/batch_id={_reserve(spark, path)}"
-    else:
-        folder = f"{path}/_staged-{uuid.uuid4().hex}"
+    batch_id = _reserve(spark, path) if batch_id is None else batch_id
+    name = uuid.uuid4().hex
+    folder = f"{path}/batch_id={batch_id}/{name}"
     counts = Observation()
     batch = conform(rows.withColumn("timestamp", load_time(loaded_at)))
     # Texts of all sizes come from very many small inputs: even them out into files of sensible size.
@@ -151,24 +186,10 @@ def write_batch(
         half, files = _path(spark, folder)
         files.delete(half, True)
         raise
-    _create(spark, folder, COMMITTED)
-    if batch_id is not None:
-        _put_in_place(spark, folder, path, batch_id)
+    _commit(spark, path, batch_id, name)
     return counts.get
 
 
-def _put_in_place(spark: SparkSession, staged: str, path: str, batch_id: int) -> None:
-    """Rename a complete batch to its place; the rows it replaces are deleted after that."""
-    target, files = _path(spark, path, f"batch_id={batch_id}")
-    replaced = _path(spark, path, f"_replaced-{uuid.uuid4().hex}")[0]
-    with _reserving:
-        held = files.exists(target) and files.rename(target, replaced)
-        if not files.rename(_path(spark, staged)[0], target):
-            raise OSError(f"cannot rename {staged} to batch {batch_id}")
-    if held:
-        files.delete(replaced, True)
-
-
 def _repeated_keys(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("file_hash").isNotNull()).groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -176,8 +197,11 @@ def _repeated_keys(rows: DataFrame) -> DataFrame:
 def compact(spark: SparkSession, path: str, new_path: str) -> None:
     """Write the current versions of a ledger as the first batch of a new one, load times kept."""
     rows = conform(read_ledger(spark, path))
-    rows.hint("rebalance", "file_path").write.mode("error").parquet(f"{new_path}/batch_id=1")
-    _create(spark, new_path, "batch_id=1", COMMITTED)
+    if batch_ids(spark, new_path):
+        raise FileExistsError(f"{new_path} exists")
+    name = uuid.uuid4().hex
+    rows.hint("rebalance", "file_path").write.parquet(f"{new_path}/batch_id=1/{name}")
+    _commit(spark, new_path, 1, name)
 
 
 DROPPED = "path string, problem string, timestamp timestamp_ntz"
