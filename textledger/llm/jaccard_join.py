@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import lru_cache
@@ -24,7 +23,7 @@ LOOK_AT, COMMON, COMMON_SHINGLES = 16, 4, 1_000_000
 
 TRIES = 8  # pairs of two components that a task compares in the second round
 BAND = 1.1  # width of the size bands in which documents of a tile are first compared with one
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000  # pairs that a task knows to have passed on, so that it does not do so again
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -235,7 +234,7 @@ class _FirstLooks:
         self.joined = joined
         self.last = self.shingle = None
         self.leaders: list[tuple[int, int, int, int]] = []
-        self.told: Counter = Counter()
+        self.told: dict[int, int] = {}
 
     def stretch(self, table: list[np.ndarray], following: np.ndarray) -> Iterator[pa.RecordBatch]:
         shingles, sizes, places, nodes = table[:4]
@@ -264,8 +263,12 @@ class _FirstLooks:
         component = component if self.joined else node
         most, found = TRIES if self.joined else 1, []
         for other, least, least_at, of in self.leaders:
-            if of != component and self.told[of, component] < most and could_share(least, least_at, size, place):
-                self.told[of, component] += 1
+            if of == component or not could_share(least, least_at, size, place):
+                continue
+            # one number for both; should two pairs ever share it, a later round finds what this one leaves out
+            pair = hash((of, component))
+            if (times := self.told.get(pair, 0)) < most:
+                self.told[pair] = times + 1
                 found.append(other)
         # a set whose place is too far back for any set of its size or more leads none
         if could_share(size, place, size, 0):
@@ -343,16 +346,20 @@ def _other_pairs(rows: DataFrame) -> DataFrame:
         return _batch({"a": (a, pa.int64()), "b": (b, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             table = [batch.column(name).to_numpy() for name in ("shingle", "size", "at", "node", "component")]
-            if held is not None:
-                table = [np.append(a, b) for a, b in zip(held, table)]
+            if not batch.num_rows:
+                continue
+            if held and table[0][-1] == held[0][0][0]:  # the run goes on
+                held.append(table)
+                continue
+            table = [np.concatenate(parts) for parts in zip(*held, table)]
             open_ = int(np.flatnonzero(table[0] != table[0][-1])[-1]) + 1 if (table[0] != table[0][-1]).any() else 0
             yield from stretch([column[:open_] for column in table])
-            held = [column[open_:] for column in table]
-        if held is not None:
-            yield from stretch(held)
+            held = [[column[open_:] for column in table]]
+        if held:
+            yield from stretch([np.concatenate(parts) for parts in zip(*held)])
 
     return _in_runs(rows).select("shingle", "size", "at", "node", "component").mapInArrow(run, "a long, b long")
 
