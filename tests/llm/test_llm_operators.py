@@ -257,6 +257,56 @@ def test_rules_ratio_is_that_of_counts(spark, given, labels):
         assert ratios[bucket] == pytest.approx(math.log((target[bucket] + quality_rules.SMOOTHING * share) / (targets + quality_rules.SMOOTHING) / share))
 
 
+def test_each_ratio_is_the_mean_over_its_grams(spark, given, labels):
+    trusted = quality_rules.trusted_ids(labels)
+    ratios = quality_rules.bucket_ratios(given, trusted).first()[0]
+    own = {row[0]: row[1] for row in given.select("doc_id", quality_rules.buckets(quality_rules.words(F.col("text")))).collect()}
+    for row in quality_rules.quality_verdicts(given, trusted).collect():
+        expected = sum(ratios[bucket] for bucket in own[row.doc_id]) / len(own[row.doc_id])
+        assert row.ratio == pytest.approx(expected) and len(own[row.doc_id]) == 2 * row.n_words - 1
+        assert row.kept == (not row.base_failed and row.ratio >= quality_rules.THRESHOLD)
+
+
+def slow_threads(messages):
+    """Quadratic search for each quoted passage, then threads by following parents."""
+    parsed = {at: (sent, *quotation_links.parse(text)) for at, sent, text in messages}
+    parent, counts = {}, {}
+    for at, (sent, _, passages) in parsed.items():
+        found = []
+        quoted = {(level, words) for level, words in passages if level > 0}
+        for level, words in quoted:
+            sources = [(other_sent, other) for other, (other_sent, _, own) in parsed.items() if other_sent < sent and (0, words) in own]
+            if sources:
+                found.append((level, -len(words), max(sources)[1]))
+        counts[at] = len(quoted), len(found)
+        parent[at] = min(found)[2] if found else None
+    root = {}
+    for at in sorted(parsed, key=lambda at: parsed[at][0]):
+        root[at] = root[parent[at]] if parent[at] is not None else at
+    members = {}
+    for at, top in root.items():
+        members.setdefault(top, []).append(at)
+    out = {}
+    for group in members.values():
+        for place, at in enumerate(sorted(group, key=lambda at: (parsed[at][0], at)), 1):
+            out[at] = min(group), place, parent[at], *counts[at], parsed[at][1]
+    return out
+
+
+def test_quotes_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    pool = [f"passage {at} with words" + " more" * (at % 5) for at in range(25)]
+    messages = []
+    for at in range(220):
+        lines = []
+        for level in rng.integers(0, 4, rng.integers(1, 5)):
+            lines += ["> " * int(level) + pool[rng.integers(0, 25)].upper(), "> " * int(level)]
+        messages.append((int(at * 7 % 223), at, "\n".join(lines)))
+    frame = spark.createDataFrame(messages, "msg_id long, sent long, text string")
+    found = {row.msg_id: (row.thread_id, row.position, row.parent_id, row.n_quotes, row.n_linked, row.text) for row in quotation_links.reply_ordered(frame).collect()}
+    assert found == slow_threads(messages) and sum(row[2] is not None for row in found.values()) > 50
+
+
 def test_quotes(spark):
     parsed = quotation_links.parse("Hi\n\nOn Monday, A wrote:\n> Second  line\n> > First\n>\n> more\nMy answer")
     assert parsed == ("Hi\n\nMy answer", [(0, "hi"), (1, "second line"), (2, "first"), (1, "more"), (0, "my answer")])
@@ -417,6 +467,27 @@ def test_sampling_keys_of_low_weight_differ(spark):
     assert most < 100
 
 
+def test_the_first_split_is_the_best_of_all(monkeypatch):
+    monkeypatch.setattr(quality_classifier, "TREES", 1)
+    rng = np.random.default_rng(12)
+    for _ in range(5):
+        x, y = rng.integers(0, 9, size=(120, 3)).astype(float), rng.integers(0, 2, 120).astype(float)
+        y[x[:, 1] > 4] = 1
+        trees = quality_classifier.boost(x, y)
+        p = 1 / (1 + np.exp(-trees.base))
+        slope, curve = p - y, np.full(len(y), p * (1 - p))
+        best = []
+        for feature in range(3):
+            for limit in np.unique(x[:, feature])[:-1]:
+                sides = [slope[mask].sum() ** 2 / (curve[mask].sum() + quality_classifier.RIDGE) for mask in (x[:, feature] <= limit, x[:, feature] > limit)]
+                if min(curve[x[:, feature] <= limit].sum(), curve[x[:, feature] > limit].sum()) >= 1:
+                    best.append((sum(sides), feature, limit))
+        gain, feature, limit = max(best)
+        assert trees.feature[0, 0] == feature
+        mine = x[:, feature] <= trees.limit[0, 0]
+        assert (mine == (x[:, feature] <= limit)).all()
+
+
 def test_flat_trees_walk_like_nodes():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 4))
