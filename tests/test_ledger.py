@@ -28,7 +28,7 @@ def path(tmp_path):
 
 
 def texts(rows):
-    return sorted((r.file_path, r.file_hash, r.extracted_text) for r in rows.collect())
+    return sorted(((r.file_path, r.file_hash, r.extracted_text) for r in rows.collect()), key=repr)
 
 
 FIRST = [row("a", "1", "old a"), row("b", "1", "old b"), row("c", None, "c1"), row("d", "1", "", "error")]
@@ -280,7 +280,7 @@ def test_a_rebuilt_batch_is_the_old_or_the_new_one_never_neither(spark, path, mo
     except BaseException:  # noqa: S110
         pass
     monkeypatch.undo()
-    old = sorted([("a", "1", "old a"), ("b", "1", "old b"), ("c", None, "c1"), ("d", "1", ""), ("z", "1", "other")])
+    old = [("a", "1", "old a"), ("b", "1", "old b"), ("c", None, "c1"), ("d", "1", ""), ("z", "1", "other")]
     assert all(each == old for each in seen)
     assert texts(read_ledger(spark, path)) == (old if stop else [("a", "1", "rebuilt"), ("z", "1", "other")])
     assert texts(held) == old  # a reader keeps its snapshot
@@ -304,3 +304,36 @@ def test_the_last_commit_of_a_batch_counts(spark, path):
     assert snapshot(spark, path) == {4: f"{path}/batch_id=4/0b"}
     assert texts(read_ledger(spark, path)) == [("a", "1", "0b")]
     assert read_versions(spark, path).columns[-1] == "batch_id" and read_versions(spark, path).first().batch_id == 4
+
+
+def history(spark, path, batches=4):
+    """Batches that each write some keys of the ones before again, more rows than a byte of flags has bits."""
+    for batch in range(batches):
+        rows = spark.range(200).where(f"id % {batch + 2} = 0 OR {batch} = 0").selectExpr(
+            "concat('f', id) AS file_path", "IF(id % 10 = 3, NULL, 'h') AS file_hash", "1L AS file_size", "'direct' AS extraction_method",
+            f"concat('text ', id, ' of {batch}') AS extracted_text", "1 AS page_count", "0.5D AS processing_time_seconds", "true AS success", "CAST(NULL AS string) AS error_message",
+        )
+        write_batch(rows, path, loaded_at=AT)
+
+
+def test_no_text_is_shuffled_to_leave_replaced_rows_out(spark, path, monkeypatch):
+    history(spark, path)
+    by_join = texts(current_versions(read_versions(spark, path)))
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, "-1")
+    try:
+        current = read_ledger(spark, path)
+        plan = current._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and "extracted_text" in plan
+        assert texts(current) == by_join and len(by_join) > 200
+        monkeypatch.setattr(source.shared, "BROADCAST_BYTES", 1)
+        assert texts(read_ledger(spark, path)) == by_join
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+
+
+def test_batches_without_a_common_key(spark, path):
+    write_batch(frame(spark, row("a", "1"), row("n", None)), path)
+    write_batch(frame(spark, row("b", "1"), row("n", None)), path)
+    assert read_ledger(spark, path).count() == 4

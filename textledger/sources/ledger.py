@@ -11,8 +11,12 @@ A new batch reserves its number by an exclusively created file, so writers that
 import re
 import threading
 import uuid
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +25,7 @@ from textledger import formats
 from textledger.operators.queries import summary_counts
 from textledger.operators.versions import one_per_key, replaced_keys, without_replaced
 from textledger.schema import KEY, LEDGER, VERSIONS
-from textledger.sources.shared import stored_for_join
+from textledger.sources import shared
 
 LOG = "_log"
 _COMMIT = re.compile(r"commit-(\d+)-batch-(\d+)-([0-9a-f]+)")
@@ -115,15 +119,53 @@ def _rows(spark: SparkSession, path: str, folders: dict[int, str]) -> DataFrame:
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The current row of every (file_path, file_hash), texts included.
 
-    Which rows were replaced is found from keys and measured first: as long as that can be broadcast, the
-    rows themselves are only filtered.
+    Which rows were replaced is found from keys alone, as places in files. These go to the tasks as bits, one for each row of
+    a file, so that the scan of the texts leaves out what was replaced and no text is shuffled, however many rows that is. Only
+    where bits of all rows are too many to be sent (`BROADCAST_BYTES`) rows are joined with the replaced keys.
     """
     folders = snapshot(spark, path)
     versions = _rows(spark, path, folders)
     if len(folders) < 2:  # nothing can have been replaced
         return versions.drop("batch_id")
-    replaced, number = stored_for_join(replaced_keys(versions), "replaced")
-    return (without_replaced(versions, replaced) if number else versions).drop("batch_id")
+    replaced = replaced_keys(versions)
+    if versions.count() > 8 * shared.BROADCAST_BYTES:  # from the files' footers
+        replaced, number = shared.stored_for_join(replaced, "replaced")
+        return (without_replaced(versions, replaced) if number else versions).drop("batch_id")
+    return _without_places(versions, replaced).drop("batch_id")
+
+
+def _without_places(versions: DataFrame, replaced: DataFrame) -> DataFrame:
+    """`versions`, read from files, without the rows of earlier batches than `replaced` names."""
+    place = {"part": F.col("_metadata.file_path"), "at": F.col("_metadata.row_index")}
+    keys = versions.select(*KEY, "batch_id", *(column.alias(name) for name, column in place.items()))
+    last = replaced.select(*(F.col(name).alias(f"last_{name}") for name in KEY), "last_batch")
+    same = [F.col(name) == F.col(f"last_{name}") for name in KEY]
+    gone = keys.join(last, [*same, F.col("batch_id") < F.col("last_batch")], "left_semi").select("part", "at")
+
+    def bits(frame: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(int(frame["at"].max()) + 1, np.uint8)
+        flags[frame["at"].to_numpy()] = 1
+        return pd.DataFrame({"part": [frame["part"].iloc[0]], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    table = gone.groupBy("part").applyInPandas(bits, "part string, bits binary").toArrow()
+    if not table.num_rows:
+        return versions
+    found = dict(zip(table["part"].to_pylist(), (np.frombuffer(each, np.uint8) for each in table["bits"].to_pylist())))
+    places = versions.sparkSession.sparkContext.broadcast(found)
+
+    def is_current(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        nothing = np.zeros(1, np.uint8)
+        for parts, at in batches:
+            parts, at = parts.dictionary_encode(), at.to_numpy()
+            kept = np.ones(len(at), bool)
+            for number, part in enumerate(parts.dictionary.to_pylist()):
+                flags, own = places.value.get(part, nothing), parts.indices.to_numpy() == number
+                byte = np.minimum(at[own] >> 3, len(flags) - 1)
+                kept[own] = ((flags[byte] >> (at[own] & 7)) & 1 == 0) | (byte != at[own] >> 3)
+            yield pa.array(kept)
+
+    rows = versions.select("*", *(column.alias(f"_{name}") for name, column in place.items()))
+    return rows.where(F.arrow_udf(is_current, "boolean")("_part", "_at")).select(*versions.columns)
 
 
 def load_time(moment: datetime | None = None) -> Column:
