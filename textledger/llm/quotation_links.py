@@ -137,8 +137,10 @@ def _quoted(text: Column, mark: str) -> Column:
 
 def quoting_messages(turns: DataFrame) -> DataFrame:
     """msg_id, sent, text: each turn (conv_id, turn, text) as a message that quotes the turn before it, and in there the
-    one before that. Rows without conv_id or turn have no id; of rows that share both, the least text is quoted."""
-    number = F.col("conv_id") * (1 << 24) + F.col("turn")
+    one before that. Rows without conv_id or turn have no id; of rows that share both, the least text is quoted. Ids hold a turn
+    below 2^24 and a conv_id below 2^39; larger ones fail the job, so that none are taken for others."""
+    fits = F.col("turn").between(0, (1 << 24) - 1) & F.abs("conv_id").between(0, (1 << 39) - 1)
+    number = F.when(~fits, F.raise_error(F.lit("conv_id or turn is too large")).cast("long")).otherwise(F.col("conv_id") * (1 << 24) + F.col("turn"))
     rows = turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     one = rows.groupBy("conv_id", "turn").agg(F.min("text").alias("quoted"))
     for back, name in ((1, "last"), (2, "older")):
