@@ -26,7 +26,7 @@ HELD_SEGMENTS = 4_000_000
 #: Longer segments, where no border cuts them, are folded where they stand.
 SEGMENT_CHARS = 64
 
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 #: Chunks that a task counts before it passes its counts on.
 COUNTED = 50_000
@@ -130,6 +130,7 @@ def _segment_counts(docs: DataFrame, path: str) -> DataFrame:
     """segment, n: how often each segment of at most `SEGMENT_CHARS` occurs in `docs.text`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _LAST.clear()  # the ids of an earlier corpus, which a worker that is used again would hold all the while
         table, seen = pieces(path), Counter()
 
         def out() -> pa.RecordBatch:
