@@ -98,40 +98,85 @@ def test_language_model(docs, given):
     assert sum(row[6] for row in found) >= sum(row[5] for row in found)
 
 
-def test_language_model_learns_from_pairs_of_rare_words(spark, given):
-    """Held-out rows of a non-empty table beat single words; words outside the frequent classes score by what stands before."""
+def test_language_model_beats_single_words(spark, given):
+    """Held-out rows of a non-empty table beat single words; rare words score by what stands before them."""
     scored = language_model.score_texts(given).where("held_out").agg(F.count("*"), F.sum("score"), F.sum("base_score")).first()
     assert scored[0] > 0 and scored[1] > scored[2]
-    often = " ".join(f"w{at}" for at in range(1100))
-    name = lambda at: f"x{zlib.crc32(str(at % 3000).encode())}"
-    lines = [" ".join(name(at * 37 + i) for i in range(60)) for at in range(700)]
-    wrong = [" ".join(name(at * 37 + i * 1009) for i in range(60)) for at in range(700)]
-    held = [at for at in range(700) if zlib.crc32(str(at).encode()) % 7 == 2]
-    table = [(at, wrong[at] if at in held[::2] else line) for at, line in enumerate(lines)]
-    table += [(1000 + at, often) for at in range(60)]
-    frame = spark.createDataFrame(table, "doc_id long, text string")
+    name = lambda kind, at: f"{kind}{zlib.crc32(f'{kind}{at}'.encode())}"
+    text = lambda at, other: " ".join(name("xy"[(at + (i % 2) * other) % 2], (at * 37 + i * 101) % 1500) for i in range(60))
+    held = [at for at in range(900) if zlib.crc32(str(at).encode()) % 7 == 2]
+    frame = spark.createDataFrame([(at, text(at, at in held[::2])) for at in range(900)], "doc_id long, text string")
     gain = {row.doc_id: row.score - row.base_score for row in language_model.score_texts(frame).collect()}
-    assert min(gain[at] for at in held[1::2]) > max(gain[at] for at in held[::2]) + 30
-
-
-def test_language_model_pair_weights_keep_the_sum(spark):
-    texts = [b"a b c a b d a b c", b"a b", b""]
-    starts = np.array([0, 10, 13])
-    history, key, word = language_model.pair_keys(texts, starts)
-    assert len(history) == 14 and len(set(word.tolist())) == 5 and history[2] == history[5] == history[8] == history[12]
-    assert key[2] == key[8] != key[5] and history[0] == history[10] == history[13] and key[0] == key[10] != key[13]
+    assert np.mean([gain[at] for at in held[1::2]]) > np.mean([gain[at] for at in held[::2]]) + 3
+
+
+def small_language_model():
+    """A model trained on a few texts, with words of all three kinds."""
+    texts = [" ".join(f"w{(at * at + i * 7) % (20 + at * 5)}x{(at + i) % 3}" for i in range(80)).encode() for at in range(60)]
+    counts = Counter(word for text in texts for word in language_model.tokens(text))
+    words = sorted(counts, key=lambda word: (-counts[word], word))
+    n = np.array([counts[word] for word in words])
+    shape = language_model.Shape(int(n.sum()), len(words))
+    cuts = shape.cuts(words, n)
+    totals = np.zeros((shape.leaves, 2))
+    for word in words[language_model.SINGLE + shape.middle :]:
+        totals[np.searchsorted(cuts, language_model.ending_keys([word])[0])] += counts[word], 1
+    vocabulary = language_model.Vocabulary(words, n, shape, cuts, totals)
+    model = language_model.Model(vocabulary)
+    data = vocabulary.encode(texts)
+    for rate in (0.4, 0.2):
+        sums = model.zeros()
+        model.gather(data, sums)
+        model.step(sums, rate)
+    return vocabulary, model, words, texts, data, sums
 
 
 def test_language_model_shares_sum_to_one():
-    vocabulary = language_model.Vocabulary([b"a", b"b", language_model.END], np.array([5, 3, 2]), np.zeros((language_model.TAIL, 2)), 10, 3)
-    model = language_model.Model(vocabulary)
-    data = vocabulary.encode([b"a b a", b"", b"zz b"])
-    sums = model.zeros()
-    model.gather(data, sums)
-    model.step(sums)
-    *_, = shares = model.shares(data["group"], data["before"], data["skipped"])
-    classes = shares[1] / shares[1].sum(axis=1, keepdims=True)
-    assert np.allclose(classes.sum(axis=1), 1) and sums[0].sum() == 3 * len(data["group"]) + 2 * (data["group"] < 32).sum()
+    vocabulary, model, words, texts, data, sums = small_language_model()
+    for view, choice, key in zip(model.by_choice(sums), model.choices, ("first", "second", "third")):
+        taking = int((data[key] >= 0).sum())
+        features = {"first": 5, "second": 3, "third": 2}[key]
+        assert taking and view[0].sum() == features * taking and view[1].sum() == pytest.approx(features * taking, rel=1e-3)
+    leaves = np.flatnonzero(vocabulary.totals[:, 1])
+    for history in (b"", texts[3][:40], texts[5] + b" never seen"):
+        each = vocabulary.encode([(history + b" " + word) if word != language_model.END else history for word in words])
+        last = np.cumsum(each["sizes"]) - 2
+        last[words.index(language_model.END)] += 1
+        shares = 10 ** language_model.token_scores(model, vocabulary, each)
+        within = vocabulary.totals.sum(axis=1) + 1
+        known = shares[last].sum()
+        # what is left to unknown words: one part of each leaf
+        unknown = 0.0
+        one = {key: value for key, value in vocabulary.encode([history + b" unknown"]).items()}
+        at = len(one["first"]) - 2
+        width = vocabulary.shape.width
+        for leaf in range(vocabulary.shape.leaves):
+            for key, value in (("first", 48 + leaf // width**2), ("second", leaf // width % width), ("third", leaf % width)):
+                one[key][at] = value
+            unknown += 10 ** model.log10(one)[at] / within[leaf]
+        assert len(leaves) and known + unknown == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_scores_by_hand():
+    """Logits summed feature by feature, weight by weight, in plain Python."""
+    vocabulary, model, words, texts, data, _ = small_language_model()
+    fast = model.log10(data)
+    for at in range(0, len(fast), 97):
+        total = 0.0
+        for choice, inner, node, taken, features in model.parts(data, slice(at, at + 1)):
+            for i in range(len(inner)):
+                logits = [float(choice.bias[node[i], c]) + sum(float(choice.rows[f[i], c]) for f in features) for c in range(choice.bias.shape[1])]
+                top = max(logits)
+                total += math.log10(math.exp(logits[taken[i]] - top) / sum(math.exp(each - top) for each in logits))
+        assert fast[at] == pytest.approx(total, abs=1e-4)
+
+
+def test_language_model_grows_and_packs():
+    small, large = language_model.Shape(10**6, 10**5), language_model.Shape(10**9, 10**7)
+    assert large.width > 2 * small.width and large.contexts > 2 * small.contexts
+    sums = np.array([0.0, 0.01, 1, 1e6, 1e9])
+    assert np.allclose(language_model.unpacked(language_model.packed(sums)), sums, rtol=1e-3, atol=3e-4)
+    assert language_model.unpacked(language_model.packed(sums))[0] == 0
 
 
 def test_mixing(docs, given):

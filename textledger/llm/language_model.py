@@ -1,10 +1,14 @@
-"""Hashed maximum-entropy language model with class-factored softmax, trained by distributed gradient updates, and a
-weight for every word after every pair of words, kept as a table."""
+"""Hashed maximum-entropy language model with a class-factored softmax over all words, trained by distributed gradient
+updates.
+
+A word is found on a way of at most three choices: the most frequent words are choices of their own, others lie in classes
+by their endings (reversed spelling, cut into parts of equal count), within them in nodes, and within these in leaves. Each
+choice is a softmax whose logits are sums of hashed rows of weights of n-gram and skip features. How many classes, leaves
+and rows there are follows from the counted words."""
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -12,28 +16,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textledger.llm.common import HEAD_WORDS, counted, fold, head_count, slices, utf8
-from textledger.llm.jaccard_join import mixed_bits, word_hashes
-from textledger.sources.shared import stored, stored_for_join
-
-CLASSES, WIDTH = 32, 32  # classes of frequent words, and words of each
-TAIL = 8  # classes of all other words, by the hash of their last two bytes
-ROWS = 1024  # of features: the word before; the same again for the word before that one
-PAIR_ROWS = 4096  # of features: both words together
-SLOT_ROWS = 4096  # of features within a class: class and word before; the same again for the word before that one
-PLAIN = 768  # words with a feature row of their own
-ROUNDS, RATE, PRIOR = 3, 0.5, 10.0
+from textledger.sources.shared import stored
+
+SINGLE, MIDDLE, TAIL = 32, 16, 16  # first choices: frequent words, classes of words of middle counts, classes of all others
+FIRST = SINGLE + MIDDLE + TAIL
+CONTEXTS = 1024  # feature rows for words before, times the growth; a quarter is shared by words that have none of their own
+MOST_WEIGHTS = 16_000_000  # rows stop growing here (64 MB); words, classes and leaves do not
+ROUNDS, RATE, PRIOR = 3, 0.5, 2.0
 CHUNK = 4096  # tokens scored at a time
 PIECES = 64  # into which a task's gradient is cut
-
-PAIR_PRIOR = 0.25  # as PRIOR, for the weights of words after pairs
-GATHERED = 1_000_000  # tokens that a task counts at a time
+STEPS = 2048.0  # of the logarithm of a sum that is passed on
 
 END = b"\n"  # no word can hold it
-_END, _START = np.uint64(1), np.uint64(2)  # hashes of the end and of what stands before a text
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -43,146 +41,190 @@ def tokens(text: bytes) -> list[bytes]:
     return found
 
 
-def tail_class(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % TAIL
+def ending_keys(words: list[bytes]) -> np.ndarray:
+    """The last eight bytes of each word, last byte first, as numbers."""
+    return np.frombuffer(b"".join([word[:-9:-1].ljust(8, b"\0") for word in words]), ">u8").astype(np.uint64)
+
+
+class Shape:
+    """Sizes of the model by the training tokens and their different words, and where endings are cut into leaves."""
 
+    def __init__(self, tokens: int, distinct: int):
+        self.tokens, self.distinct = tokens, distinct
+        self.width = 8 * max(1, round(distinct ** (1 / 3) / 16))
+        growth = max(1.0, (tokens / 2**18) ** (1 / 3) / 1.5)
+        each = (5 * FIRST + 6 * self.width + 2 * self.width) * CONTEXTS
+        self.contexts = int(CONTEXTS * min(growth, max(1.0, MOST_WEIGHTS / each)))
+        self.plain = self.contexts * 3 // 4
+        self.middle = MIDDLE * self.width
+        self.leaves = TAIL * self.width**2
 
-def pair_keys(texts: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens of the texts: 64-bit hashes of the two tokens before, of these with the token, and of the token."""
-    hashes, sizes = word_hashes(texts)
-    word = np.insert(hashes, np.cumsum(sizes), _END)
-    before = np.append(_START, word[:-1])
-    before[starts] = _START
-    skipped = np.append(_START, before[:-1])
-    skipped[starts] = _START
-    history = mixed_bits(mixed_bits(skipped) + before)
-    return history.view(np.int64), mixed_bits(mixed_bits(history) + word).view(np.int64), word.view(np.int64)
+    def cuts(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """Ends of all leaves but the last, so that words (by falling count) beyond those of middle counts are even."""
+        keys, n = ending_keys(words[SINGLE + self.middle :]), counts[SINGLE + self.middle :]
+        if not len(keys):
+            return np.full(self.leaves - 1, np.iinfo(np.uint64).max, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        sums = np.cumsum(n[order])
+        at = np.searchsorted(sums, sums[-1] * np.arange(1, self.leaves) / self.leaves)
+        return keys[order][at]
 
 
 class Vocabulary:
-    """Frequent words by rank, with the counts of all training tokens. `totals`: (tokens, words) of each tail class."""
+    """Frequent words (by falling count) and their ways; `totals`: (tokens, words) of each leaf."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, totals: np.ndarray, tokens: int, distinct: int):
+    def __init__(self, words: list[bytes], counts: np.ndarray, shape: Shape, cuts: np.ndarray, totals: np.ndarray):
         self.rank = {word: at for at, word in enumerate(words)}
-        self.counts, self.tokens, self.distinct = counts, tokens, distinct
-        self.tail = np.fromiter(map(tail_class, words), np.int64, len(words))
-        self.totals = totals
+        self.counts, self.shape, self.cuts, self.totals = counts, shape, cuts, totals
+        keys = ending_keys(words)
+        self.leaf = self.leaves(keys)
+        self.leaf[: SINGLE + shape.middle] = -1
+        self.first, self.second = SINGLE + MIDDLE + self.leaf // shape.width**2, self.leaf // shape.width % shape.width
+        self.third = self.leaf % shape.width
+        self.third[self.leaf < 0] = -1
+        self.first[:SINGLE] = np.arange(len(words))[:SINGLE]
+        self.second[:SINGLE] = -1
+        middle = SINGLE + np.argsort(keys[SINGLE : SINGLE + shape.middle], kind="stable")
+        at = np.arange(len(middle))
+        self.first[middle], self.second[middle] = SINGLE + at // shape.width, at % shape.width
         rank = np.arange(len(words))
-        self.row = np.where(rank < PLAIN, rank, PLAIN + rank * 2654435761 % (ROWS - 1 - PLAIN - TAIL) + TAIL)
+        self.context = np.where(rank < shape.plain, rank, self.shared_context(self.leaf))
+
+    def leaves(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts, keys).astype(np.int64)
+
+    def shared_context(self, leaf: np.ndarray) -> np.ndarray:
+        """The row of words of a node that have none of their own; the last one stands for what is before a text."""
+        return self.shape.plain + leaf // self.shape.width * 2654435761 % (self.shape.contexts - 1 - self.shape.plain)
 
     def encode(self, texts: list[bytes]) -> dict[str, np.ndarray | list]:
-        """Tokens of all texts in a row: class, slot in it (-1 in the tail), count (-1: not among the frequent), features."""
+        """Tokens of all texts in a row: way, leaf (-1: none), count (-1: not among the frequent), contexts."""
         lists = [tokens(text) for text in texts]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         total = int(sizes.sum())
-        get = self.rank.get
-        rank = np.fromiter(map(get, chain.from_iterable(lists), repeat(-1)), np.int64, total)
+        rank = np.fromiter(map(self.rank.get, chain.from_iterable(lists), repeat(-1)), np.int64, total)
         starts = np.cumsum(sizes) - sizes
         rare_at = np.flatnonzero(rank < 0)
         of = np.searchsorted(starts, rare_at, side="right") - 1
         rare = [lists[text][at - starts[text]] for text, at in zip(of.tolist(), rare_at.tolist())]
-        tail = np.zeros(total, np.int64)
-        known = rank >= 0
-        tail[known] = self.tail[rank[known]]
-        tail[rare_at] = [tail_class(word) for word in rare]
-        frequent = known & (rank < CLASSES * WIDTH)
-        group = np.where(frequent, rank // WIDTH, CLASSES + tail)
-        row = np.where(known, self.row[rank] if len(self.row) else 0, PLAIN + tail)
-        before = np.append(ROWS - 1, row[:-1])
-        before[starts] = ROWS - 1
-        skipped = np.append([ROWS - 1, ROWS - 1], row)[:total]
-        skipped[starts] = ROWS - 1
-        skipped[np.minimum(starts + 1, total - 1)] = ROWS - 1
+        leaf = self.leaves(ending_keys(rare))
+        width = self.shape.width
+
+        def each(known: np.ndarray, others: np.ndarray) -> np.ndarray:
+            out = known[rank] if len(known) else np.zeros(total, np.int64)
+            out[rare_at] = others
+            return out
+
+        first = each(self.first, SINGLE + MIDDLE + leaf // width**2)
+        context = each(self.context, self.shared_context(leaf))
+        place = np.arange(total) - np.repeat(starts, sizes)
+
+        def before(values: np.ndarray, back: int, start: int) -> np.ndarray:
+            out = np.full(total, start, np.int64)
+            out[back:] = values[: max(0, total - back)]
+            out[place < back] = start
+            return out
+
         return {
             "sizes": sizes,
             "starts": starts,
-            "group": group,
-            "slot": np.where(frequent, rank % WIDTH, -1),
-            "count": np.where(known, self.counts[rank] if len(self.counts) else 0, -1),
-            "before": before,
-            "skipped": skipped,
+            "first": first,
+            "second": each(self.second, leaf // width % width),
+            "third": each(self.third, leaf % width),
+            "leaf": each(self.leaf, leaf),
+            "count": each(self.counts, -1),
+            "contexts": [before(context, back, self.shape.contexts - 1) for back in (1, 2, 3, 4)],
+            "coarse": [before(first, back, FIRST) for back in (1, 2)],
             "rare": rare,
             "rare_of": of,
         }
 
 
-class Model:
-    """Logits: a bias from counts, and for each active feature a row of weights. 2 MB of weights, whatever the corpus: what
-    grows with it is in `pair_weights`, which start from this model's shares."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        counts = np.zeros(CLASSES * WIDTH)
-        top = vocabulary.counts[: CLASSES * WIDTH]
-        counts[: len(top)] = top
-        slots = counts.reshape(CLASSES, WIDTH)
-        sums = np.append(slots.sum(axis=1), vocabulary.totals.sum(axis=1) + 1)
+def _hashed(left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
+    return (left * 1_000_003 + right + 1) * 2654435761 % 4294967291 % rows
+
+
+class Choice:
+    """One softmax: a bias from counts for each node and choice, and hashed rows of weights for features."""
+
+    def __init__(self, sums: np.ndarray, rows: int):
         with np.errstate(divide="ignore"):
-            self.class_bias = np.where(sums > 0, np.log(sums), -1e4).astype(np.float32)
-            self.slot_bias = np.where(slots > 0, np.log(slots), -1e4).astype(np.float32)
-        self.class_rows = np.zeros((2 * ROWS + PAIR_ROWS, CLASSES + TAIL), np.float32)
-        self.slot_rows = np.zeros((2 * SLOT_ROWS, WIDTH), np.float32)
-
-    @staticmethod
-    def class_features(before: np.ndarray, skipped: np.ndarray) -> list[np.ndarray]:
-        pair = (before * 40503 + skipped * 2654435761) % 4294967291 % PAIR_ROWS
-        return [before.astype(np.uint16), (ROWS + skipped).astype(np.uint16), (2 * ROWS + pair).astype(np.uint16)]
-
-    @staticmethod
-    def slot_features(group: np.ndarray, before: np.ndarray, skipped: np.ndarray) -> list[np.ndarray]:
-        hashed = lambda other: ((group * 1_000_003 + other) * 2654435761) % 4294967291 % SLOT_ROWS
-        return [hashed(before).astype(np.uint16), (SLOT_ROWS + hashed(skipped)).astype(np.uint16)]
-
-    def shares(self, group: np.ndarray, before: np.ndarray, skipped: np.ndarray) -> tuple:
-        """Of a chunk: features and odds of classes, and for tokens of frequent classes those of slots."""
-        features = self.class_features(before, skipped)
-        classes = np.take(self.class_rows, features[0], axis=0)
-        for f in features[1:]:
-            classes += np.take(self.class_rows, f, axis=0)
-        classes += self.class_bias
-        inner = np.flatnonzero(group < CLASSES)
-        slot_features = self.slot_features(group[inner], before[inner], skipped[inner])
-        slots = np.take(self.slot_bias, group[inner], axis=0)
-        for f in slot_features:
-            slots += np.take(self.slot_rows, f, axis=0)
-        return features, _odds(classes), inner, slot_features, _odds(slots)
+            self.bias = np.where(sums > 0, np.log(sums), -1e4).astype(np.float32)
+        self.rows = np.zeros((rows, sums.shape[1]), np.float32)
+
+    def odds(self, node: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+        logits = np.take(self.bias, node, axis=0)
+        for feature in features:
+            logits += np.take(self.rows, feature, axis=0)
+        return _odds(logits)
+
+
+class Model:
+    """Three choices in turn; `parts` gives the tokens of a chunk that take part in each, their nodes and features."""
+
+    def __init__(self, words: Vocabulary):
+        shape, width = words.shape, words.shape.width
+        self.shape = shape
+        first, second = np.zeros(FIRST), np.zeros((MIDDLE + TAIL, width))
+        third = words.totals[:, 0].reshape(TAIL * width, width) + 1.0
+        second[MIDDLE:] = third.sum(axis=1).reshape(TAIL, width)
+        middle = np.arange(SINGLE, min(SINGLE + shape.middle, len(words.counts)))
+        second[words.first[middle] - SINGLE, words.second[middle]] = words.counts[middle]
+        first[: min(SINGLE, len(words.counts))] = words.counts[:SINGLE]
+        first[SINGLE:] = second.sum(axis=1)
+        rows = shape.contexts
+        self.choices = [Choice(first[None, :], 5 * rows), Choice(second, 6 * rows), Choice(third, 2 * rows)]
+
+    def parts(self, data: dict, at: slice) -> Iterator[tuple[Choice, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        rows, width = self.shape.contexts, self.shape.width
+        first, second, third = data["first"][at], data["second"][at], data["third"][at]
+        one, two, three, four = (context[at] for context in data["contexts"])
+        pair = _hashed(one, two, 2 * rows)
+        every = np.arange(len(first))
+        yield self.choices[0], every, np.zeros_like(first), first, [one, rows + two, 2 * rows + three, 2 * rows + four, 3 * rows + pair]
+        inner = np.flatnonzero(second >= 0)
+        node = first[inner] - SINGLE
+        features = [2 * rows * turn + _hashed(node, context[inner], 2 * rows) for turn, context in enumerate((one, two, three))]
+        yield self.choices[1], inner, node, second[inner], features
+        inner = np.flatnonzero(third >= 0)
+        node = (first[inner] - SINGLE - MIDDLE) * width + second[inner]
+        features = [rows * turn + _hashed(node, coarse[at][inner], rows) for turn, coarse in enumerate(data["coarse"])]
+        yield self.choices[2], inner, node, third[inner], features
 
     def log10(self, data: dict) -> np.ndarray:
-        """Of each token, without the share of a tail word within its class."""
-        out = np.zeros(len(data["group"]))
-        for at in range(0, len(out), CHUNK):
-            group, slot = data["group"][at : at + CHUNK], data["slot"][at : at + CHUNK]
-            _, classes, inner, _, slots = self.shares(group, data["before"][at : at + CHUNK], data["skipped"][at : at + CHUNK])
-            part = _log10_share(classes, group)
-            part[inner] += _log10_share(slots, slot[inner])
-            out[at : at + CHUNK] = part
+        """Of each token, without the share of a word within its leaf."""
+        out = np.zeros(len(data["first"]))
+        for begin in range(0, len(out), CHUNK):
+            at = slice(begin, begin + CHUNK)
+            for choice, inner, node, taken, features in self.parts(data, at):
+                out[at][inner] += _log10_share(choice.odds(node, features), taken)
         return out
 
     def zeros(self) -> np.ndarray:
         """Two sums for each weight: observed and expected."""
-        return np.zeros((2, self.class_rows.size + self.slot_rows.size))
+        return np.zeros((2, sum(choice.rows.size for choice in self.choices)))
+
+    def by_choice(self, flat: np.ndarray) -> list[np.ndarray]:
+        """Of an array whose last axis runs over all weights: views in the shapes of the rows."""
+        ends = np.cumsum([choice.rows.size for choice in self.choices])
+        parts = np.split(flat, ends[:-1], axis=-1)
+        return [part.reshape(*flat.shape[:-1], *choice.rows.shape) for part, choice in zip(parts, self.choices)]
 
     def gather(self, data: dict, sums: np.ndarray) -> None:
         """Add the observed and expected counts of a batch; the gradient of its log-likelihood is their difference."""
-        cut = self.class_rows.size
-        class_sums, slot_sums = sums[:, :cut].reshape(2, *self.class_rows.shape), sums[:, cut:].reshape(2, *self.slot_rows.shape)
-        for at in range(0, len(data["group"]), CHUNK):
-            group, slot = data["group"][at : at + CHUNK], data["slot"][at : at + CHUNK]
-            features, classes, inner, slot_features, slots = self.shares(
-                group, data["before"][at : at + CHUNK], data["skipped"][at : at + CHUNK]
-            )
-            classes /= classes.sum(axis=1, keepdims=True)
-            slots /= slots.sum(axis=1, keepdims=True)
-            for f in features:
-                _scatter(class_sums, f, group, classes)
-            for f in slot_features:
-                _scatter(slot_sums, f, slot[inner], slots)
-
-    def step(self, sums: np.ndarray) -> None:
+        views = self.by_choice(sums)
+        for begin in range(0, len(data["first"]), CHUNK):
+            for (choice, _, node, taken, features), view in zip(self.parts(data, slice(begin, begin + CHUNK)), views):
+                expected = choice.odds(node, features)
+                expected /= expected.sum(axis=1, keepdims=True)
+                for feature in features:
+                    _scatter(view, feature, taken, expected)
+
+    def step(self, sums: np.ndarray, rate: float) -> None:
         """Move each weight along its gradient, by the logarithm of observed over expected counts."""
-        change = RATE * np.log((sums[0] + PRIOR) / (sums[1] + PRIOR))
-        cut = self.class_rows.size
-        self.class_rows += change[:cut].reshape(self.class_rows.shape).astype(np.float32)
-        self.slot_rows += change[cut:].reshape(self.slot_rows.shape).astype(np.float32)
+        change = rate * np.log((sums[0] + PRIOR) / (sums[1] + PRIOR))
+        for choice, part in zip(self.choices, self.by_choice(change)):
+            choice.rows += part.astype(np.float32)
 
 
 def _odds(logits: np.ndarray) -> np.ndarray:
@@ -199,48 +241,70 @@ def _log10_share(odds: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _scatter(sums: np.ndarray, rows: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
     if not len(rows):
         return
-    width = sums.shape[2]
-    place = rows.astype(np.int64) * width + observed
-    sums[0] += np.bincount(place, minlength=sums[0].size).reshape(sums[0].shape)
-    order = np.argsort(rows, kind="stable")
+    np.add.at(sums[0], (rows, observed), 1.0)
+    order = np.argsort(rows.astype(np.uint16), kind="stable") if len(sums[0]) <= 65536 else np.argsort(rows, kind="stable")
     ordered = rows[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     sums[1][ordered[first]] += np.add.reduceat(expected[order], first, axis=0)
 
 
+def packed(sums: np.ndarray) -> bytes:
+    """Sums from 0 to a billion as 16-bit steps of their logarithm, within a four-thousandth."""
+    return np.minimum(np.rint(np.log1p(sums) * STEPS), 65535).astype(np.uint16).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.expm1(np.frombuffer(data, np.uint16) / STEPS)
+
+
 _LAST: dict[str, Vocabulary] = {}
 
 
 def _vocabulary(shared) -> Vocabulary:
     """The broadcast vocabulary, unpacked once for each worker."""
-    name, words, *sums = shared.value
+    name, words, *rest = shared.value
     if name not in _LAST:
         _LAST.clear()
-        _LAST[name] = Vocabulary(words.to_pylist(), *sums)
+        _LAST[name] = Vocabulary(words.to_pylist(), *rest)
     return _LAST[name]
 
 
 def packed_vocabulary(counts: DataFrame) -> tuple:
-    """What every task needs of the word counts (stored: word, n): at most `HEAD_WORDS` words, and sums over all."""
-    tail = (F.crc32(F.substring("word", -2, 2)) % TAIL).cast("int")
+    """What every task needs of the word counts (stored: word, n): at most `HEAD_WORDS` words, the cuts of endings, and sums
+    over all words by leaf (tasks add them up)."""
+    number, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    shape = Shape(number, distinct)
     head = counts.where(F.col("n") >= head_count(counts, HEAD_WORDS)).toArrow()
     words, n = head["word"].combine_chunks(), head["n"].to_numpy().astype(np.int64)
     order = np.lexsort((np.argsort(np.argsort(np.array(words.to_pylist(), object), kind="stable")), -n)) if len(n) else np.zeros(0, np.int64)
     words, n = words.take(pa.array(order)), n[order]
-    totals = np.zeros((TAIL, 2))
-    for row in counts.groupBy(tail.alias("tail")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-        totals[row.tail] = row.n, row.words
-    number, distinct = int(totals[:, 0].sum()), int(totals[:, 1].sum())
-    for word, count in zip(words[: CLASSES * WIDTH].to_pylist(), n):
-        totals[tail_class(word)] -= count, 1
-    return words, n, totals, number, distinct
-
+    cuts = shape.cuts(words.to_pylist(), n)
 
-def train(docs: DataFrame, shared, model: Model, rounds: int = ROUNDS) -> Model:
-    """Gradient updates over all of `docs` (doc_id, text), in `rounds` parts: each document bears on one update.
+    def by_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, shape.leaves), np.int64)
+        for batch in batches:
+            leaf = np.searchsorted(cuts, ending_keys(batch.column("word").to_pylist()))
+            np.add.at(sums[0], leaf, batch.column("n").to_numpy())
+            np.add.at(sums[1], leaf, 1)
+        used = np.flatnonzero(sums[1])
+        yield pa.record_batch([pa.array(used), *map(pa.array, sums[:, used])], ["leaf", "n", "words"])
+
+    totals = np.zeros((shape.leaves, 2))
+    rows = counts.mapInArrow(by_leaf, "leaf long, n long, words long").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    found = rows.toArrow()
+    totals[found["leaf"].to_numpy()] = np.stack([found["n"].to_numpy(), found["words"].to_numpy()], axis=1)
+    known = SINGLE + shape.middle
+    leaf = np.searchsorted(cuts, ending_keys(words[:known].to_pylist()))
+    np.subtract.at(totals, leaf, np.stack([n[:known], np.ones(len(leaf))], axis=1))
+    return words, n, shape, cuts, totals
+
+
+def train(docs: DataFrame, shared, model: Model, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    """Gradient updates over all of `docs` (doc_id, text), in `rounds` parts: each document bears on one update, and later
+    updates are smaller steps.
 
     Tasks add the gradients of their rows up and pass on one row per piece; pieces are summed apart. The driver gets
-    and sends out the weights, whose number is fixed."""
+    and sends out the weights, at most `MOST_WEIGHTS` and some for leaves."""
     spark = docs.sparkSession
     few = max(2 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 16)
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(rounds))
@@ -254,130 +318,65 @@ def train(docs: DataFrame, shared, model: Model, rounds: int = ROUNDS) -> Model:
                 sums = model.zeros() if sums is None else sums
                 model.gather(vocabulary.encode(utf8(batch.column("text"))), sums)
             if sums is not None:
-                pieces = [piece.astype(np.float32).tobytes() for piece in np.array_split(sums, PIECES, axis=1)]
+                pieces = [packed(piece) for piece in np.array_split(sums, PIECES, axis=1)]
                 yield pa.record_batch([pa.array(range(PIECES), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "sums"])
 
         def add(frame: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(each, np.float32).astype(np.float64) for each in frame["sums"])
-            return pd.DataFrame({"piece": [int(frame.piece.iloc[0])], "sums": [total.tobytes()]})
+            total = sum(unpacked(each) for each in frame["sums"])
+            return pd.DataFrame({"piece": [int(frame.piece.iloc[0])], "sums": [packed(total)]})
 
         rows = docs.where(part == at).select("text").coalesce(few).mapInArrow(gradients, "piece int, sums binary")
         summed = rows.groupBy("piece").applyInPandas(add, "piece int, sums binary").collect()
         if summed:
-            pieces = [np.frombuffer(row["sums"]).reshape(2, -1) for row in sorted(summed, key=lambda row: row.piece)]
-            model.step(np.concatenate(pieces, axis=1))
+            pieces = [unpacked(row["sums"]).reshape(2, -1) for row in sorted(summed, key=lambda row: row.piece)]
+            model.step(np.concatenate(pieces, axis=1), rate / (1 + at))
     return model
 
 
 def token_scores(model: Model, words: Vocabulary, data: dict) -> np.ndarray:
     """log10 of the model's share of each token; for words of no known count, of that share over their count plus 1."""
-    within = np.log10(words.totals.sum(axis=1) + 1)
-    tail = data["group"] >= CLASSES
     token = model.log10(data)
-    token[tail] += np.log10(np.maximum(data["count"][tail], 0) + 1.0) - within[data["group"][tail] - CLASSES]
-    if not words.tokens:
+    tail = np.flatnonzero(data["leaf"] >= 0)
+    within = np.log10(words.totals.sum(axis=1) + 1)
+    token[tail] += np.log10(np.maximum(data["count"][tail], 0) + 1.0) - within[data["leaf"][tail]]
+    if not words.shape.tokens:
         token[:] = 0
     return token
 
 
-def pair_weights(training: DataFrame, counts: DataFrame, least: int, shared, ready) -> DataFrame:
-    """history, key, gain, loss: what the weight of each token seen after each pair of tokens adds to its log10 share, and
-    what a token never seen after that pair has added.
-
-    The weight of a token after a pair is the logarithm of observed over expected counts, as in `Model.step`; expected is
-    what the model gives it there. Shares after a pair sum to that of the model again: only tokens seen there have weights,
-    so the sum over all others is one less theirs. The table has a row for each different run of three tokens, without a
-    threshold; tasks count their tokens before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = ready.value, _vocabulary(shared)
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            history, key, word, share = map(np.concatenate, zip(*held))
-            key, first, n = np.unique(key, return_index=True, return_counts=True)
-            columns = history[first], key, word[first], n, share[first]
-            return pa.record_batch([*map(pa.array, columns)], ["history", "key", "word", "n", "share"])
-
-        for batch in slices(batches, 256):
-            texts = utf8(batch.column("text"))
-            data = words.encode(texts)
-            history, key, word = pair_keys(texts, data["starts"])
-            held.append((history, key, np.where(data["count"] < 0, word, 0), 10 ** token_scores(model, words, data)))
-            size += len(key)
-            if size > GATHERED:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, sizes = word_hashes(batch.column("word").to_pylist())
-            word = np.full(batch.num_rows, _END)
-            word[np.array(sizes, np.int64) > 0] = hashes
-            yield pa.record_batch([pa.array(word.view(np.int64)), batch.column("n")], ["word", "times"])
-
-    seen = training.select("text").mapInArrow(count, "history long, key long, word long, n long, share double").repartition("history")
-    seen = seen.groupBy("history", "key").agg(F.max("word").alias("word"), F.sum("n").alias("n"), F.max("share").alias("share"))
-    rare, _ = stored_for_join(counts.where(F.col("n") < least).mapInArrow(hashed, "word long, times long"), "rare")
-    seen = seen.join(rare, "word", "left").withColumn("share", F.col("share") * (F.coalesce("times", F.lit(0)) + 1))
-    after = Window.partitionBy("history")
-    expected = F.sum("n").over(after) * F.col("share")
-    seen = seen.withColumn("factor", (F.col("n") + PAIR_PRIOR) / (expected + PAIR_PRIOR))
-    others = F.greatest(F.lit(0.0), 1 - F.sum("share").over(after))
-    seen = seen.withColumn("loss", -F.log10(others + F.sum(F.col("share") * F.col("factor")).over(after)))
-    return stored(seen.select("history", "key", (F.log10("factor") + F.col("loss")).alias("gain"), "loss"), "pair-weights")
-
-
-def pair_gains(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """row, by_pairs: the sum over the tokens of each of `rows` (row, keys, histories) of what `weights` add. Histories are
-    needed where a key may be unknown only."""
-    gains, losses = weights.select("key", "gain"), weights.select("history", "loss").distinct()
-    known = rows.where("histories IS NULL").select("row", F.explode("keys").alias("key")).join(gains, "key").select("row", "gain")
-    fresh = rows.where("histories IS NOT NULL").select("row", F.explode(F.arrays_zip("keys", "histories")).alias("at"))
-    fresh = fresh.select("row", F.col("at.keys").alias("key"), F.col("at.histories").alias("history"))
-    fresh = stored(fresh.join(gains, "key", "left").select("row", "history", "gain"), "fresh")
-    unseen = fresh.where("gain IS NULL").join(losses, "history").select("row", F.col("loss").alias("gain"))
-    every = known.union(fresh.where("gain IS NOT NULL").select("row", "gain")).union(unseen)
-    return every.groupBy("row").agg(F.sum("gain").alias("by_pairs"))
-
-
 def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`.
 
     Counts come from all training documents. Their most frequent words (a bounded number) go to every task; other words
-    of a text are joined with their counts. `base_score` is that of single words; `score` the model's, in which a word
-    outside the frequent classes has its smoothed share of its tail class, times its weight after the two tokens before it
-    (joined: there is one for every run of three tokens of the training documents). A NULL text is empty: its end is scored. A NULL
-    doc_id counts as an empty one. Repeated rows are scored, and counted, each. Without training tokens both scores are 0."""
+    of a text are joined with their counts. `base_score` is that of single words; `score` the model's: each token has its
+    share of the choices on its way, by the four tokens before it, times its smoothed share of its leaf where it has one;
+    the shares of all words and of unknown ones sum to 1. A NULL text is empty: its end is scored. A NULL doc_id counts as an
+    empty one. Repeated rows are scored, and counted, each. Without training tokens both scores are 0."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     is_held = fold(F.col("doc_id"), folds) == held
     training = docs.where(~is_held)
     counts = stored(counted(training, tokens), "words")
-    packed = packed_vocabulary(counts)
-    least = int(packed[1].min()) if len(packed[1]) else 1 << 62
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, *packed))
-    vocabulary = Vocabulary(packed[0][: CLASSES * WIDTH].to_pylist(), packed[1][: CLASSES * WIDTH], *packed[2:])
+    found = packed_vocabulary(counts)
+    number = found[2].tokens
+    least = int(found[1].min()) if len(found[1]) else 1 << 62
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, *found))
+    known = SINGLE + found[2].middle
+    vocabulary = Vocabulary(found[0][:known].to_pylist(), found[1][:known], *found[2:])
     ready = spark.sparkContext.broadcast(train(training, shared, Model(vocabulary)))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = ready.value, _vocabulary(shared)
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 256):
-            texts = utf8(batch.column("text"))
-            data = words.encode(texts)
+            data = words.encode(utf8(batch.column("text")))
             seen = np.log10(np.maximum(data["count"], 0) + 1.0)
             token = token_scores(model, words, data)
-            history, key, _ = pair_keys(texts, data["starts"])
-            later = data["starts"][1:]
-            histories = [part if held else None for part, held in zip(np.split(history, later), batch.column("held_out").to_pylist())]
             rare = [[] for _ in range(batch.num_rows)]
             for at, word in zip(data["rare_of"].tolist(), data["rare"]):
                 rare[at].append(word)
-            sums = [np.add.reduceat(values, data["starts"]) for values in (data["count"] > 0, seen, token)]
-            base = sums[1] - data["sizes"] * np.log10(words.tokens + words.distinct + 1)
+            sums = [np.add.reduceat(values.astype(np.float64), data["starts"]) for values in (data["count"] > 0, seen, token)]
+            base = sums[1] - data["sizes"] * np.log10(words.shape.tokens + words.shape.distinct + 1)
             yield pa.record_batch(
                 [
                     pa.array(np.arange(row, row + batch.num_rows)),
@@ -385,28 +384,24 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
                     batch.column("held_out"),
                     *map(pa.array, (data["sizes"], sums[0].astype(np.int64), base, sums[2])),
                     pa.array(rare, pa.list_(pa.binary())),
-                    pa.array(np.split(key, later), pa.list_(pa.int64())),
-                    pa.array(histories, pa.list_(pa.int64())),
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "keys", "histories"],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
             )
             row += batch.num_rows
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
-    schema += ", keys array<long>, histories array<long>"
     rows = stored(docs.withColumn("held_out", is_held).mapInArrow(scores, schema), "scores")
     rare = rows.select("row", F.explode("rare").alias("word"))
-    found = rare.join(counts.where(F.col("n") < least), "word")
-    found = found.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("gain"))
-    by_pairs = pair_gains(rows, pair_weights(training, counts, least, shared, ready))
-    rows = rows.drop("rare", "keys", "histories").join(found, "row", "left").join(by_pairs, "row", "left")
-    more, gain, by_pairs = F.coalesce("more", F.lit(0)), F.coalesce("gain", F.lit(0.0)), F.coalesce("by_pairs", F.lit(0.0))
+    rare = rare.join(counts.where(F.col("n") < least), "word")
+    rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("gain"))
+    rows = rows.drop("rare").join(rare, "row", "left")
+    more, gain = F.coalesce("more", F.lit(0)), F.coalesce("gain", F.lit(0.0))
     return rows.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + more).alias("n_known"),
-        F.lit(packed[3]).cast("long").alias("train_tokens"),
+        F.lit(number).cast("long").alias("train_tokens"),
         (F.col("base_score") + gain).alias("base_score"),
-        (F.col("score") + gain + by_pairs).alias("score"),
+        (F.col("score") + gain).alias("score"),
     )
