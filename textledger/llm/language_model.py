@@ -28,6 +28,7 @@ CONTEXTS = 1024  # feature rows for words before, times the growth; a quarter is
 MOST_WEIGHTS = 16_000_000  # rows stop growing here (64 MB); words, classes and leaves do not
 ROUNDS, RATE, PRIOR = 3, 0.5, 2.0
 CHUNK = 4096  # tokens scored at a time
+FEW = 6  # rows of a chunk with the same feature that are added turn by turn; more are added at once
 PIECES = 64  # into which a task's gradient is cut
 STEPS = 2048.0  # of the logarithm of a sum that is passed on
 
@@ -241,11 +242,18 @@ def _log10_share(odds: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _scatter(sums: np.ndarray, rows: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
     if not len(rows):
         return
-    np.add.at(sums[0], (rows, observed), 1.0)
+    np.add.at(sums[0].reshape(-1), rows * sums.shape[2] + observed, 1.0)
     order = np.argsort(rows.astype(np.uint16), kind="stable") if len(sums[0]) <= 65536 else np.argsort(rows, kind="stable")
     ordered = rows[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    sums[1][ordered[first]] += np.add.reduceat(expected[order], first, axis=0)
+    sizes = np.diff(first, append=len(order))
+    total = expected[order[first]]
+    for turn in range(1, FEW):
+        more = np.flatnonzero(sizes > turn)
+        total[more] += expected[order[first[more] + turn]]
+    for at in np.flatnonzero(sizes > FEW).tolist():
+        total[at] += expected[order[first[at] + FEW : first[at] + sizes[at]]].sum(axis=0)
+    sums[1][ordered[first]] += total
 
 
 def packed(sums: np.ndarray) -> bytes:
