@@ -2,14 +2,14 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textledger import formats
 from textledger.functions.decoders import Decoder, paged_decoder, python_decoder
 from textledger.operators.cascade import cascade
 from textledger.sources.files import scan_files
-from textledger.sources.shared import fresh_path
+from textledger.sources.shared import fresh_path, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,26 +129,44 @@ def native_marked_pages(content: Column) -> Column:
 
 
 def paged_marks(at_once: int) -> Decoder:
-    """Stand-in for OCR by ranges of pages: marks each page, fails on pages of some lengths."""
+    """Stand-in for OCR by ranges of pages: marks each page, fails on pages of some lengths. One pass over a file finds where
+    its ranges begin; a range reads on from there."""
+    block = 1 << 16
 
     def count(source):
-        return source.read().count(b"\f") + 1
-
-    def decode(source, first, last):
-        source.seek(0)
-        pages = source.read().decode("utf-8").split("\f")[first - 1 : last]
+        pages, at, places = 1, 0, [0]
+        while data := source.read(block):
+            place = -1
+            while (place := data.find(b"\f", place + 1)) >= 0:
+                if pages % at_once == 0:
+                    places.append(at + place + 1)
+                pages += 1
+            at += len(data)
+        return pages, places
+
+    def decode(source, first, last, place):
+        source.seek(place)
+        wanted, found, held = last - first + 1, 0, []
+        while found < wanted and (data := source.read(block)):
+            found += data.count(b"\f")
+            held.append(data)
+        pages = [page.decode("utf-8") for page in b"".join(held).split(b"\f")[:wanted]]
         return [None if len(page) % 5 == 0 else "OCR " + page for page in pages]
 
     return paged_decoder(count, decode, at_once)
 
 
+def local_path(folder: str) -> str:
+    return re.sub("^file:(//)?", "", folder)
+
+
 def written(files: DataFrame, folder: str) -> None:
     """Write `files` (name, modified in seconds, content) under a folder that all tasks share, with their times."""
 
     def write(batches):
         import os
 
-        base = re.sub("^file:(//)?", "", folder)
+        base = local_path(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 path = os.path.join(base, row["name"])
@@ -184,10 +202,50 @@ def tree(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+def written_parts(parts: DataFrame, folder: str) -> None:
+    """Write `parts` (name, start, content) to their places in files under a folder that all tasks share. Parts of one
+    file come from any task in any order; a part that is written again changes nothing."""
+
+    def write(batches):
+        import os
+
+        base = local_path(folder)
+        os.makedirs(base, exist_ok=True)
+        for batch in batches:
+            targets = {}
+            try:
+                for name, start, content in zip(*(batch.column(each).to_pylist() for each in ("name", "start", "content"))):
+                    if name not in targets:
+                        targets[name] = os.open(os.path.join(base, name), os.O_WRONLY | os.O_CREAT, 0o644)
+                    while content:
+                        done = os.pwrite(targets[name], content, start)
+                        start, content = start + done, content[done:]
+            finally:
+                for target in targets.values():
+                    os.utime(target, (0, 0))
+                    os.close(target)
+            yield batch.select(["name"])
+
+    parts.select("name", "start", "content").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
 def role_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long file for each role of the conversations, with a page for each turn, as listed files."""
+    """A long file for each role of the conversations, with a page for each turn, as listed files.
+
+    No task holds a file: turns are sorted over all tasks, sums of their sizes say where each begins."""
     folder = fresh_path(spark, "roles")
-    turns = table(spark, sf_dir, "conversations").withColumn("page", F.struct("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")))
-    pages = F.array_sort(F.collect_list("page"))["text"]
-    written(turns.groupBy("role").agg(F.array_join(pages, "\f").cast("binary").alias("content")).selectExpr("concat(role, '.pdf') AS name", "CAST(0 AS BIGINT) AS modified", "content"), folder)
+    order = ["conv_id", "turn", "text"]
+    turns = table(spark, sf_dir, "conversations").select("role", "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    turns = stored(turns.orderBy("role", *order).withColumn("part", F.spark_partition_id()), "turns")
+    size = F.octet_length("text").cast("long") + 1
+    sums = turns.groupBy("role", "part").agg(F.sum(size).alias("bytes"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("bytes").over(before.partitionBy("role").orderBy("part")), F.lit(0))
+    starts = stored(sums.select("role", "part", start.alias("start")), "starts")
+    inside = F.coalesce(F.sum(size).over(before.partitionBy("role", "part").orderBy(*order)), F.lit(0))
+    placed = turns.withColumn("inside", inside).join(F.broadcast(starts), ["role", "part"], "left")
+    # a page begins with the form feed that parts it from the one before
+    at = F.col("start") + F.col("inside")
+    content = F.when(at > 0, F.concat(F.lit("\f"), "text")).otherwise(F.col("text")).cast("binary")
+    written_parts(placed.select(F.concat("role", F.lit(".pdf")).alias("name"), F.greatest(at - 1, F.lit(0)).alias("start"), content.alias("content")), folder)
     return scan_files(spark, folder)

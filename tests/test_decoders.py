@@ -208,3 +208,48 @@ def test_an_open_file_for_a_decoder(spark, tmp_path):
     assert decode(spark, decoder, b"abcdef").pages == ["def"]
     missing = spark.createDataFrame([(f"file:{tmp_path}/none.pdf",)], "path string")
     assert "No such file" in missing.select(decoder.of_files(F.col("path")).alias("d")).first().d.error
+
+
+def test_ranges_with_places_read_no_pages_before_them(spark, tmp_path, monkeypatch):
+    import io
+
+    from registered.fixtures import paged_marks
+    from textledger.functions import decoders
+
+    pages = [f"{at} é" + "x" * (at % 7) for at in range(1, 101)] + ["", "y" * 200_000, "last"]
+    (tmp_path / "long.pdf").write_bytes("\f".join(pages).encode())
+    (tmp_path / "empty.pdf").write_bytes(b"")
+    files, decoder = scan_files(spark, str(tmp_path)), paged_marks(4)
+    shown = [None if len(page) % 5 == 0 else "OCR " + page for page in pages]
+    text = "".join(f"--- Page {at} (OCR) ---\n{page}\n\n" for at, page in enumerate(shown, start=1) if page)
+    assert outcomes(decoder.spread(files, ocr=True), "text", "pages", "error") == {"long.pdf": (text, 103, None), "empty.pdf": ("", 1, None)}
+    assert outcomes(files.select("path", decoder.of_files(F.col("path")).alias("d")), "d.pages")["long.pdf"] == (shown,)
+
+    seen = []
+
+    class Watched(io.BytesIO):
+        def read(self, size=-1):
+            seen.append((self.tell(), size))
+            return super().read(size)
+
+    monkeypatch.setattr(decoders, "open_file", lambda path: Watched((tmp_path / "long.pdf").read_bytes()))
+    places = decoder._counted("long.pdf")["places"]
+    assert all(0 < size <= 1 << 16 for _, size in seen) and len(places) == 26
+    seen.clear()
+    assert decoder._ranged("long.pdf", 97, 100, places[24])["pages"] == shown[96:100]
+    assert [at for at, _ in seen] == [places[24]]
+
+
+def test_files_of_roles_are_written_by_many_tasks(spark, tmp_path):
+    from registered.fixtures import role_files
+
+    rows = [(at % 40, at % 3, "user" if at % 4 else "system", None if at % 11 == 0 else f"é{at % 50}") for at in range(400)]
+    rows += [(0, 0, "blank", ""), (0, 0, "blank", None), (1, 0, "one", "only")]
+    rows += [(None, at, "tool", f"t{at}") for at in range(3)] + [(1, None, "tool", "u")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(7).write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {row.path.rsplit("/", 1)[-1]: open(row.path.removeprefix("file:"), "rb").read() for row in role_files(spark, str(tmp_path)).collect()}
+    least = lambda value: (value is not None, value or 0)
+    for role in {row[2] for row in rows}:
+        turns = sorted((least(conv), least(turn), (text or "").encode()) for conv, turn, of, text in rows if of == role)
+        assert found.pop(f"{role}.pdf") == b"\f".join(text for *_, text in turns)
+    assert not found

@@ -217,30 +217,41 @@ class PagedDecoder(Decoder):
     file, a first and a last page (from 1) and gives their texts, None for a page that failed; what it raises costs the
     pages of that range only. Ranges of `at_once` pages are dealt out to tasks, so that one long document is the work of
     many, and pages meet as rows.
+
+    Where pages are only found by reading on, `count` gives a pair: the number of pages, and the byte at which each range
+    of `at_once` pages begins. `decode` then takes that byte as a fourth argument, so that no range reads those before it.
     """
 
     def __init__(self, count: Callable, decode: Callable, at_once: int = 4, failure: str | None = None):
+        def located(source) -> tuple[int, list[int] | None]:
+            """Number of pages, and places of the ranges if there are any."""
+            found = count(source)
+            return found if isinstance(found, tuple) else (found, None)
+
         def whole(source) -> list[str | None]:
-            pages = count(source)
-            return [page for first in range(1, pages + 1, at_once) for page in part(source, first, min(pages, first + at_once - 1))]
+            pages, places = located(source)
+            firsts = range(1, pages + 1, at_once)
+            return [page for at, first in enumerate(firsts) for page in part(source, first, min(pages, first + at_once - 1), places and places[at])]
 
-        def part(source, first: int, last: int) -> list[str | None]:
+        def part(source, first: int, last: int, place: int | None) -> list[str | None]:
             """The range's texts, as many as it has pages."""
-            found = _attempt(lambda: [_utf8(page) for page in decode(source, first, last)], None)[0] or []
+            where = (first, last) if place is None else (first, last, place)
+            found = _attempt(lambda: [_utf8(page) for page in decode(source, *where)], None)[0] or []
             return (found + [None] * (last - first + 1))[: last - first + 1]
 
         def counted(path: str) -> dict:
             def work():
                 with open_file(path) as source:
-                    return count(source)
+                    return located(source)
 
-            pages, error, seconds = _attempt(work, failure)
-            return {"pages": pages, "error": error, "seconds": seconds}
+            found, error, seconds = _attempt(work, failure)
+            pages, places = found or (None, None)
+            return {"pages": pages, "error": error, "seconds": seconds, "places": places}
 
-        def ranged(path: str, first: int, last: int) -> dict:
+        def ranged(path: str, first: int, last: int, place: int | None) -> dict:
             def work():
                 with open_file(path) as source:
-                    return part(source, first, last)
+                    return part(source, first, last, place)
 
             pages, _, seconds = _attempt(work, None)
             return {"pages": pages or [None] * (last - first + 1), "seconds": seconds}
@@ -252,19 +263,20 @@ class PagedDecoder(Decoder):
         return F.lit(True)
 
     def count_pages(self, files: DataFrame) -> DataFrame:
-        """path, pages, error, seconds of each of `files` (path, length)."""
-        kind, one = pa.struct([("pages", pa.int64()), ("error", pa.string()), ("seconds", pa.float64())]), self._counted
+        """path, pages, error, seconds of each of `files` (path, length), and places of ranges where `count` gives them."""
+        kind = pa.struct([("pages", pa.int64()), ("error", pa.string()), ("seconds", pa.float64()), ("places", pa.list_(pa.int64()))])
+        one = self._counted
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
                 yield pa.array([one(path) for path in batch.to_pylist()], kind)
 
-        udf = F.arrow_udf(run, "struct<pages: long, error: string, seconds: double>").asNondeterministic()
+        udf = F.arrow_udf(run, "struct<pages: long, error: string, seconds: double, places: array<long>>").asNondeterministic()
         return stored(spread(files).select("path", udf("path").alias("counted")).select("path", "counted.*"), "counted")
 
     def page_rows(self, files: DataFrame) -> DataFrame:
         """path, page_num, page_text, seconds (of its range, on the first page of it), task: the pages of `files` (path,
-        pages), each range decoded by itself."""
+        pages, places), each range decoded by itself."""
         kind, one = pa.struct([("pages", pa.list_(pa.string())), ("seconds", pa.float64())]), self._ranged
 
         def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -274,10 +286,11 @@ class PagedDecoder(Decoder):
 
         udf = F.arrow_udf(run, "struct<pages: array<string>, seconds: double>").asNondeterministic()
         first = F.explode(F.sequence(F.lit(1).cast("long"), F.col("pages"), F.lit(self.at_once).cast("long"))).alias("first")
-        ranges = files.where("pages > 0").select("path", "pages", first)
-        ranges = ranges.withColumns({"last": F.least(F.col("first") + self.at_once - 1, "pages"), "length": F.lit(0)})
+        ranges = files.where("pages > 0").select("path", "pages", "places", first)
+        place = F.get("places", ((F.col("first") - 1) / self.at_once).cast("int"))
+        ranges = ranges.withColumns({"last": F.least(F.col("first") + self.at_once - 1, "pages"), "place": place, "length": F.lit(0)}).drop("places")
         dealt = spread(stored(ranges, "ranges"), "path", "first")
-        done = dealt.select("path", "first", udf("path", "first", "last").alias("done"), F.spark_partition_id().alias("task"))
+        done = dealt.select("path", "first", udf("path", "first", "last", "place").alias("done"), F.spark_partition_id().alias("task"))
         rows = done.select("path", "first", "task", "done.seconds", F.posexplode("done.pages").alias("at", "page_text"))
         seconds = F.when(F.col("at") == 0, F.col("seconds")).otherwise(0.0).alias("seconds")
         return rows.select("path", (F.col("first") + F.col("at")).alias("page_num"), "page_text", seconds, "task")
