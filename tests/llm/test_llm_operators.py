@@ -1,6 +1,8 @@
 """Each operator against brute force or the library that it has to agree with, on given tables and on awkward rows."""
 
+import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -558,3 +560,29 @@ def test_pipeline_stages(spark, given):
     assert counts[0] >= counts[1] >= counts[2] >= counts[3] > 0
     final = corpus_pipeline.run(spark, SMALL)
     assert final.count() == counts[4] and final.where("NOT round_trip").isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fold_where_merges_come_out_of_order(spark, seed):
+    """Scores that no training gives: pieces come up after merges of lower or equal scores."""
+    rng = random.Random(seed)
+    every = ["".join(letters) for n in (2, 3, 4) for letters in itertools.product("abc", repeat=n)]
+    scores = {piece: float(-rng.randrange(12)) for piece in rng.sample(every, 30)} | dict.fromkeys("abc", 0.0)
+    ids = {piece: 300 + at for at, piece in enumerate(scores)}
+
+    def by_hand(segment):
+        symbols = list(segment)
+        while ready := [(scores[a + b], -at) for at, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in scores]:
+            at = -max(ready)[1]
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        return [each for symbol in symbols for each in ([ids[symbol]] if symbol in ids else symbol.encode())]
+
+    assert any(sentencepiece_lattice.is_loose(piece, scores) for piece in scores if len(piece) > 1)
+    segments = ["é", "a"] + ["".join(rng.choices("abcé", (9, 9, 9, 1), k=rng.randrange(1, 12))) for _ in range(300)]
+    rows = [(piece, scores[piece], at, sentencepiece_lattice.is_loose(piece, scores)) for piece, at in ids.items() if len(piece) > 1]
+    table = spark.createDataFrame(rows, "piece string, score double, id int, loose boolean")
+    counts = spark.createDataFrame([(each, 1) for each in sorted(set(segments))], "segment string, n long").repartition("segment")
+    edges = sentencepiece_lattice.lattice(counts, table, 4)
+    assert edges.where(F.exists("edges", lambda edge: edge["end"] - edge["start"] < 2)).isEmpty()
+    folded = sentencepiece_lattice.fold(F.col("segment"), F.col("edges"), 0, {letter: ids[letter] for letter in "abc"})
+    assert {row.segment: row.ids for row in edges.select("segment", folded.alias("ids")).collect()} == {each: by_hand(each) for each in segments}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 import zlib
@@ -154,30 +155,41 @@ def _segment_counts(docs: DataFrame, path: str) -> DataFrame:
     return parts.groupBy("segment").agg(F.sum("n").alias("n"))
 
 
+def is_loose(piece: str, scores: dict[str, float]) -> bool:
+    """Whether the merge to `piece` may come up after one of lower or equal score, to a piece that it begins or ends with."""
+    inner = (part for at in range(2, len(piece)) for part in (piece[:at], piece[-at:]))
+    return any(scores.get(part, math.inf) <= scores[piece] for part in inner)
+
+
 def lattice(segments: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """segment, n, edges (score, start, end, id): all substrings of bounded length that are pieces, by segment.
+    """segment, n, edges (score, start, end, id, loose): all substrings of two letters or more and of bounded length that
+    are pieces, by segment.
 
-    `table` (piece, score, id) has the size of the model, so it is broadcast; `segments` come from an aggregation by
+    `table` (piece, score, id, loose) has the size of the model, so it is broadcast; `segments` come from an aggregation by
     segment, so that the edges of a segment meet without another shuffle."""
     rows = segments.select("segment", "n", F.length("segment").alias("chars"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("chars") - 1)).alias("start"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("chars") - 2, F.lit(0)))).alias("start"))
     # a segment without any piece stays by its first, empty substring
-    least = F.when(F.col("start") == 0, 0).otherwise(F.col("start") + 1)
+    least = F.when(F.col("start") == 0, 0).otherwise(F.col("start") + 2)
     rows = rows.select("*", F.explode(F.sequence(least, F.least("chars", F.col("start") + longest))).alias("end"))
     rows = rows.withColumn("part", F.substring("segment", F.col("start") + 1, F.col("end") - F.col("start")))
     rows = rows.join(F.broadcast(table), F.col("part") == F.col("piece"), "left").where("id IS NOT NULL OR end = 0")
-    edge = F.when(F.col("id").isNotNull(), F.struct("score", "start", "end", "id"))
+    edge = F.when(F.col("id").isNotNull(), F.struct("score", "start", "end", "id", "loose"))
     return rows.groupBy("segment").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
 
 
-def fold(segment: Column, edges: Column, byte_id: int) -> Column:
-    """Ids of a segment from its lattice, with a higher-order aggregate.
+def fold(segment: Column, edges: Column, byte_id: int, letters: dict[str, int]) -> Column:
+    """Ids of a segment from its lattice and the ids of pieces of one letter, with a higher-order aggregate.
 
     The state has for each letter the end of the symbol that begins there, or 0. A step merges the two neighbours that an
     edge covers together, of the best score, leftmost first, as models of the merging kind want it (the path of the best
-    sum would give other pieces). Symbols that are no piece become their bytes."""
+    sum would give other pieces). Symbols that are no piece become their bytes.
+
+    A single pass over the edges, best first, takes these steps unless a step lets a better edge apply than its own, which
+    only `loose` pieces can be. Segments where that happens look at all edges in every step."""
     chars = F.length(segment)
-    joins = F.filter(edges, lambda edge: edge["end"] - edge["start"] > 1)
+    singles = sorted(letters, key=lambda letter: (letter != SPACE, letter))  # common ones are found first
+    single_ids = F.split(F.lit(" ".join(str(letters[each]) for each in singles)), " ").cast("array<int>")
 
     def applies(ends: Column, edge: Column) -> Column:
         middle = F.get(ends, edge["start"])
@@ -186,19 +198,42 @@ def fold(segment: Column, edges: Column, byte_id: int) -> Column:
     def step(joins: Column, ends: Column) -> Column:
         ready = F.filter(joins, lambda edge: applies(ends, edge))
         ranked = F.transform(ready, lambda edge: F.struct(edge["score"].alias("score"), (-edge["start"]).alias("left"), edge["end"].alias("end")))
-        return let(F.array_max(ranked), lambda best: F.when(best.isNull(), ends).otherwise(merged(ends, best)))
+        return let(F.array_max(ranked), lambda best: F.when(best.isNull(), ends).otherwise(merged(ends, -best["left"], best["end"])))
+
+    def merged(ends: Column, start: Column, stop: Column) -> Column:
+        middle = F.get(ends, start)
+        return F.transform(ends, lambda end, at: F.when(at == start, stop).when(at == middle, 0).otherwise(end))
+
+    def ranked(joins: Column) -> Column:
+        """The edges in the order of `step`."""
+        back = lambda edge: (-edge["end"]).alias("back")
+        order = lambda edge: (-edge["score"]).alias("order")
+        return F.sort_array(F.transform(joins, lambda edge: F.struct(order(edge), edge["start"].alias("start"), back(edge), edge["end"].alias("end"), edge["loose"].alias("loose"))))
 
-    def merged(ends: Column, best: Column) -> Column:
-        start, middle = -best["left"], F.get(ends, -best["left"])
-        return F.transform(ends, lambda end, at: F.when(at == start, best["end"]).when(at == middle, 0).otherwise(end))
+    def one_pass(ranked: Column) -> Column:
+        """The ends after all steps; NULL where the steps do not follow the order."""
+        loose = F.filter(ranked, lambda edge: edge["loose"])
+        return let(loose, lambda loose: F.aggregate(ranked, whole_letters(), lambda ends, edge: in_order(ends, edge, loose)))
+
+    def in_order(ends: Column, edge: Column, loose: Column) -> Column:
+        early = lambda after: F.exists(loose, lambda other: (other["order"] <= edge["order"]) & applies(after, other))
+        step = let(merged(ends, edge["start"], edge["end"]), lambda after: F.when(~F.coalesce(early(after), F.lit(False)), after))
+        return F.when(applies(ends, edge), step).otherwise(ends)
+
+    def whole_letters() -> Column:
+        return F.transform(F.sequence(F.lit(0), chars - 1), lambda at: at + 1)
 
     def all_steps(joins: Column) -> Column:
         # one step more than merges are possible changes nothing; without joins there is none
         steps = F.slice(F.sequence(F.lit(1), chars), F.lit(1), F.least(chars, F.size(joins)))
-        return F.aggregate(steps, F.transform(F.sequence(F.lit(0), chars - 1), lambda at: at + 1), lambda ends, _: step(joins, ends))
+        return F.aggregate(steps, whole_letters(), lambda ends, _: step(joins, ends))
 
-    def bytes_of(start: Column) -> Column:
+    def one_letter(start: Column) -> Column:
         letter = F.substring(segment, start + 1, F.lit(1))
+        place = F.instr(F.lit("".join(singles)), letter)
+        return let(place, lambda place: F.when(place > 0, F.array(F.get(single_ids, place - 1))).otherwise(bytes_of(letter)))
+
+    def bytes_of(letter: Column) -> Column:
         byte = lambda at: F.conv(F.hex(F.substring(letter.cast("binary"), at, F.lit(1))), 16, 10).cast("int")
         return F.transform(F.sequence(F.lit(1), F.octet_length(letter)), lambda at: byte(at) + byte_id)
 
@@ -209,18 +244,22 @@ def fold(segment: Column, edges: Column, byte_id: int) -> Column:
 
     def symbol(edges: Column, at: Column) -> Column:
         own = F.transform(F.filter(edges, lambda edge: edge["start"] == at), lambda edge: edge["id"])
-        return F.when(F.size(own) > 0, own).otherwise(bytes_of(at))
+        return F.when(F.size(own) > 0, own).otherwise(one_letter(at))
+
+    def steps_of(joins: Column) -> Column:
+        return F.coalesce(let(ranked(joins), one_pass), all_steps(joins))
 
-    return let(let(joins, all_steps), ids)
+    return let(let(edges, steps_of), ids)
 
 
 def encoded_segments(docs: DataFrame, path: str) -> DataFrame:
     """segment, n, ids of every segment of the texts that is not longer than `SEGMENT_CHARS`."""
     model = pieces(path)
-    rows = [(piece, float(model.scores[piece]), at) for piece, at in model.ids.items()]
-    table = docs.sparkSession.createDataFrame(rows, "piece string, score double, id int")
+    rows = [(piece, float(model.scores[piece]), at, is_loose(piece, model.scores)) for piece, at in model.ids.items() if len(piece) > 1]
+    letters = {piece: at for piece, at in model.ids.items() if len(piece) == 1}
+    table = docs.sparkSession.createDataFrame(rows, "piece string, score double, id int, loose boolean")
     edges = lattice(_segment_counts(docs, path), table, model.longest)
-    return edges.select("segment", "n", fold(F.col("segment"), F.col("edges"), model.byte_id).alias("ids"))
+    return edges.select("segment", "n", fold(F.col("segment"), F.col("edges"), model.byte_id, letters).alias("ids"))
 
 
 class Held:
