@@ -586,3 +586,16 @@ def test_fold_where_merges_come_out_of_order(spark, seed):
     assert edges.where(F.exists("edges", lambda edge: edge["end"] - edge["start"] < 2)).isEmpty()
     folded = sentencepiece_lattice.fold(F.col("segment"), F.col("edges"), 0, {letter: ids[letter] for letter in "abc"})
     assert {row.segment: row.ids for row in edges.select("segment", folded.alias("ids")).collect()} == {each: by_hand(each) for each in segments}
+
+
+def test_signatures_beyond_a_bound_are_joined_not_sent(spark, monkeypatch):
+    from textledger.llm import jaccard_join
+    from textledger.sources.shared import stored_for_join
+
+    rows = [(at, " ".join(f"w{at % 20 * 50 + n}" for n in range(40)) + (" more" if at % 3 else "")) for at in range(60)] + [(60, None), (None, "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = sorted(jaccard_join.near_duplicates(docs).collect(), key=repr)
+    monkeypatch.setattr(jaccard_join, "SENT_BYTES", 1)
+    assert sorted(jaccard_join.near_duplicates(docs).collect(), key=repr) == sent
+    plan = lambda most: stored_for_join(docs, "bound", most)[0]._jdf.queryExecution().logical().toString()
+    assert "Hint broadcast" in plan(1 << 20) and "Hint broadcast" not in plan(1)

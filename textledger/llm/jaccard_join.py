@@ -23,6 +23,7 @@ LOOK_AT, COMMON, COMMON_SHINGLES = 16, 4, 1_000_000
 
 TRIES = 8  # pairs of two components that a task compares in the second round
 BAND = 1.1  # width of the size bands in which documents of a tile are first compared with one
+SENT_BYTES = 8 * 1024 * 1024  # signatures of more are joined, as the driver holds what is sent several times over
 REMEMBERED = 200_000  # pairs that a task knows to have passed on, so that it does not do so again
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -378,7 +379,6 @@ def _could_match(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
             room = most * SIMILAR.denominator >= (size[0] + size[1] - most) * SIMILAR.numerator
             yield batch.select(["a", "b"]).filter(pa.array(room))
 
-    signatures, _ = stored_for_join(signatures, "signatures")
     for side in "ab":
         own = signatures.select(F.col("node").alias(side), F.col("n_shingles").alias(f"{side}_size"), F.col("signature").alias(f"{side}_bits"))
         pairs = pairs.join(own, side)
@@ -442,7 +442,8 @@ def _members(docs: DataFrame) -> DataFrame:
     often = stored(often, "common")
     often = often.where(F.col("n") >= head_count(often, COMMON_SHINGLES)).select("word").toArrow()
     common = np.sort(often["word"].to_numpy().astype(np.int64).view(np.uint64))
-    signatures = stored(described.where("signature IS NOT NULL").select("node", "n_shingles", "signature").dropDuplicates(["node"]), "signatures")
+    signatures = described.where("signature IS NOT NULL").select("node", "n_shingles", "signature").dropDuplicates(["node"])
+    signatures, _ = stored_for_join(signatures, "signatures", SENT_BYTES)
 
     def to_leaders(looks: DataFrame) -> DataFrame:
         pairs = looks.select(F.explode("leaders").alias("other"), "node")

@@ -54,9 +54,9 @@ def value_bytes(value: Column, kind: DataType) -> Column:
     return F.coalesce(F.greatest(size, F.lit(0).cast("long")), F.lit(0).cast("long"))
 
 
-def stored_for_join(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """`rows` stored and counted; marked for broadcast if their measured size is small enough."""
+def stored_for_join(rows: DataFrame, name: str, most: int | None = None) -> tuple[DataFrame, int]:
+    """`rows` stored and counted; marked for broadcast if their measured size is at most `most` (`BROADCAST_BYTES`)."""
     table = stored(rows, name)
     row_bytes = sum((value_bytes(F.col(f"`{field.name}`"), field.dataType) for field in table.schema), F.lit(ROW_BYTES).cast("long"))
     number, size = table.agg(F.count("*"), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
-    return (F.broadcast(table) if size <= BROADCAST_BYTES else table), number
+    return (F.broadcast(table) if size <= (BROADCAST_BYTES if most is None else most) else table), number
