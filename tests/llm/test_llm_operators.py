@@ -599,3 +599,29 @@ def test_signatures_beyond_a_bound_are_joined_not_sent(spark, monkeypatch):
     assert sorted(jaccard_join.near_duplicates(docs).collect(), key=repr) == sent
     plan = lambda most: stored_for_join(docs, "bound", most)[0]._jdf.queryExecution().logical().toString()
     assert "Hint broadcast" in plan(1 << 20) and "Hint broadcast" not in plan(1)
+
+
+def test_pieces_keep_nothing_of_a_batch_and_decode_chunks_not_texts(spark, texts, given, monkeypatch):
+    """What a worker holds does not grow with the texts that it has encoded, and each different chunk is decoded once."""
+    import pyarrow as pa
+
+    library, table = SentencePieceProcessor(model_file=PIECE), sentencepiece_lattice.pieces(PIECE)
+    every = [text or "" for text in texts] + ["  two ", " a", "b ", "▁", "▁▁c d", "x  y", "\x00 z", "z"] + [row.text or "" for row in in_order(given)]
+    found, codes, sizes = sentencepiece_lattice.numbered_chunks(pa.array([None, *every]))
+    own = np.array(found.to_pylist(), object)[codes].tolist()
+    cut = np.cumsum(sizes).tolist()
+    assert [own[a:b] for a, b in zip([0, *cut], cut)] == [sentencepiece_lattice.chunks(text) for text in ["", *every]]
+    segments = sorted(set(table.split(found)[0].to_pylist()))
+    keys = np.array([sentencepiece_lattice.xxhash.xxh3_64_intdigest(each.encode()) for each in segments], np.uint64)
+    order = np.argsort(keys)
+    ids = [table.fold(segments[at]) for at in order]
+    held = sentencepiece_lattice.Held((keys[order], np.append(0, np.cumsum([len(each) for each in ids])), np.array(sum(ids, []), np.int32)), PIECE)
+    size = lambda: sum(len(value) for value in vars(held).values() if hasattr(value, "__len__"))
+    before = size()
+    flat, counts, missing, whole = held.encode(pa.array(every), {})
+    ends = np.cumsum(counts).tolist()
+    assert [flat[a:b].tolist() for a, b in zip([0, *ends], ends)] == [library.encode(text) for text in every]
+    assert size() == before and whole and not any(missing)
+    held.letters = held.letters.copy()
+    held.letters[:] = 0
+    assert not held.encode(pa.array(every), {})[3]

@@ -6,19 +6,19 @@ import math
 import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textledger.llm.common import head_count, let, ragged, slices, utf8
+from textledger.llm.common import head_count, let, ragged, slices
 from textledger.sources.shared import stored
 
 #: Segments whose ids every task may hold (28 bytes each); the ids of others are joined.
@@ -27,10 +27,8 @@ HELD_SEGMENTS = 4_000_000
 #: Longer segments, where no border cuts them, are folded where they stand.
 SEGMENT_CHARS = 64
 
-REMEMBERED = 100_000
-
-#: Chunks that a task counts before it passes its counts on.
-COUNTED = 50_000
+#: Segments that a task counts before it passes its counts on.
+COUNTED = 400_000
 SPACE = "▁"
 
 
@@ -43,23 +41,23 @@ class Pieces:
     texts: list[bytes]  # of each id
     byte_id: int  # of byte 0; the others follow
     longest: int
-    joints: np.ndarray  # pairs of letters that stand side by side in a piece, as numbers, ascending
-
-    def split(self, found: list[str]) -> tuple[list[str], np.ndarray]:
-        """Segments of chunks, one chunk after the other, and the number of each chunk's: they are cut where no piece
-        reaches across, as merges on either side do not meet."""
-        whole = [chunk if chunk[0] == SPACE else SPACE + chunk for chunk in found]
-        line = "".join(whole)
-        letters = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        pairs = (letters[:-1] << np.uint64(32)) | letters[1:]
-        at = np.minimum(np.searchsorted(self.joints, pairs), len(self.joints) - 1)
-        cuts = np.append(self.joints[at] != pairs, True)
-        ends = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
+    joints: pa.Array  # pairs of letters that stand side by side in a piece, as numbers
+
+    def split(self, found: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, bytes]:
+        """Segments of chunks, one chunk after the other, their numbers of letters, the number of each chunk's segments, and
+        all letters as UTF-8: chunks are cut where no piece reaches across, as merges on either side do not meet."""
+        whole = pc.if_else(pc.starts_with(found, SPACE), found, pc.binary_join_element_wise(SPACE, found, ""))
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), "")[0].as_buffer()
+        letters = np.frombuffer(str(line, "utf-8").encode("utf-32-le"), np.uint32)
+        pairs = (letters[:-1].astype(np.uint64) << np.uint64(32)) | letters[1:]
+        cuts = np.append(~pc.is_in(pa.array(pairs), self.joints).to_numpy(zero_copy_only=False), True)
+        ends = np.cumsum(pc.utf8_length(whole).to_numpy())
         cuts[ends - 1] = True
         stops = np.flatnonzero(cuts) + 1
-        places = stops.tolist()
-        segments = [line[a:b] for a, b in zip([0, *places], places)]
-        return segments, np.diff(np.searchsorted(stops, ends, "right"), prepend=0)
+        sizes = 1 + (letters >= 0x80).astype(np.int8) + (letters >= 0x800) + (letters >= 0x10000)
+        offsets = np.append(0, np.cumsum(sizes, dtype=np.int32)[stops - 1]).astype(np.int32)
+        segments = pa.StringArray.from_buffers(len(stops), pa.py_buffer(offsets), line)
+        return segments, np.diff(stops, prepend=0), np.diff(np.searchsorted(stops, ends, "right"), prepend=0), line.to_pybytes()
 
     def fold(self, segment: str) -> list[int]:
         """The fold below in numpy, for long segments: every step merges the best pair wherever it stands."""
@@ -109,7 +107,7 @@ def pieces(path: str) -> Pieces:
         texts[at] = names[at].replace(SPACE, " ").encode()
     ids = {names[at]: at for at in plain}
     joints = {ord(a) << 32 | ord(b) for name in ids for a, b in zip(name, name[1:])}
-    joints = np.array(sorted(joints), np.uint64)
+    joints = pa.array(sorted(joints), pa.uint64())
     return Pieces(ids, {names[at]: model.get_score(at) for at in plain}, texts, byte_id, max(map(len, ids)), joints)
 
 
@@ -127,29 +125,61 @@ def chunks(text: str) -> list[str]:
     return [chunk[1:] if len(chunk) > 1 and chunk[1] != SPACE else chunk for chunk in found]
 
 
+def numbered_chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different chunks of `texts`, the numbers of their chunks in a row, and how many each text has."""
+    texts = texts.fill_null("").cast(pa.string())
+    odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE))
+    odd = pc.or_(pc.or_(odd, pc.equal(texts, "")), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+    odd = odd.to_numpy(zero_copy_only=False)
+    plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    others = [chunks(text) for text in texts.filter(pa.array(odd)).to_pylist()]
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[~odd], sizes[odd] = pc.list_value_length(plain).to_numpy(), [len(each) for each in others]
+    coded = pa.concat_arrays([plain.flatten(), pa.array(chain.from_iterable(others), pa.string())]).dictionary_encode()
+    codes = coded.indices.to_numpy()
+    if others:
+        places = np.argsort(odd, kind="stable")  # of texts, as they lie in `coded`
+        starts = np.zeros(len(texts), np.int64)
+        starts[places] = np.cumsum(sizes[places]) - sizes[places]
+        codes = codes[ragged(starts, sizes)]
+    return coded.dictionary, codes, sizes
+
+
+def summed(segments: list[pa.Array], n: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """Different segments and the sums of their counts."""
+    coded = pa.concat_arrays(segments).dictionary_encode()
+    sums = np.bincount(coded.indices.to_numpy(), np.concatenate(n), len(coded.dictionary))
+    return coded.dictionary, sums.astype(np.int64)
+
+
+def hashes(segments: pa.Array) -> np.ndarray:
+    each = segments.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, each), np.uint64, len(each))
+
+
 def _segment_counts(docs: DataFrame, path: str) -> DataFrame:
     """segment, n: how often each segment of at most `SEGMENT_CHARS` occurs in `docs.text`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _LAST.clear()  # the ids of an earlier corpus, which a worker that is used again would hold all the while
-        table, seen = pieces(path), Counter()
-
-        def out() -> pa.RecordBatch:
-            totals: Counter = Counter()
-            segments, sizes = table.split(list(seen))
-            for segment, n in zip(segments, np.repeat(np.array(list(seen.values())), sizes).tolist()):
-                totals[segment] += n
-            kept = [segment for segment in totals if len(segment) <= SEGMENT_CHARS]
-            return pa.record_batch([pa.array(kept, pa.string()), pa.array([totals[each] for each in kept], pa.int64())], ["segment", "n"])
-
-        for batch in slices(batches, 128, 1 << 20):
-            for text in batch.column(0).to_pylist():
-                seen.update(chunks(text or ""))
-                if len(seen) > COUNTED:
-                    yield out()
-                    seen.clear()
+        table, seen = pieces(path), []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            segments, n = summed(*map(list, zip(*seen)))
+            seen.clear()
+            yield from slices(iter([pa.record_batch([segments, pa.array(n)], ["segment", "n"])]), 10_000)
+
+        for batch in slices(batches):
+            found, codes, _ = numbered_chunks(batch.column(0))
+            if not len(found):
+                continue
+            segments, letters, sizes, _ = table.split(found)
+            n, short = np.repeat(np.bincount(codes, minlength=len(found)), sizes), letters <= SEGMENT_CHARS
+            seen.append(summed([segments.filter(pa.array(short))], [n[short]]))
+            if sum(len(each) for each, _ in seen) > COUNTED:
+                yield from out()
         if seen:
-            yield out()
+            yield from out()
 
     parts = docs.select("text").mapInArrow(count, "segment string, n long")
     return parts.groupBy("segment").agg(F.sum("n").alias("n"))
@@ -263,33 +293,28 @@ def encoded_segments(docs: DataFrame, path: str) -> DataFrame:
 
 
 class Held:
-    """Ids of segments by 64-bit hashes, and remembered chunks."""
+    """Ids of segments by 64-bit hashes. Nothing of the texts is kept from batch to batch."""
 
     def __init__(self, packed: tuple, path: str):
         self.keys, self.ends, self.ids = packed
         self.pieces = pieces(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.lengths, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        sizes = np.fromiter(map(len, self.pieces.texts), np.int64, len(self.pieces.texts))
+        self.letters, self.stops, self.sizes = np.frombuffer(b"".join(self.pieces.texts), np.uint8), np.cumsum(sizes), sizes
 
-    def learn(self, fresh: list[str], more: dict[str, list[int]]) -> dict[str, set[str]]:
-        """Look the segments of all `fresh` chunks up at once; chunks that lack some stay unknown, with what they lack."""
-        segments, sizes = self.pieces.split(fresh)
-        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, map(str.encode, segments)), np.uint64, len(segments))
+    def look_up(self, segments: pa.Array, letters: np.ndarray, more: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of each segment in a row, their numbers, and places of segments whose ids are neither held nor in `more`."""
+        keys = hashes(segments)
         at = np.searchsorted(self.keys, keys)
         held = at < len(self.keys)
         held[held] = self.keys[at[held]] == keys[held]
         lengths = np.zeros(len(segments), np.int64)
         lengths[held] = self.ends[at[held] + 1] - self.ends[at[held]]
-        others, lacking = {}, {}
-        owner = np.repeat(np.arange(len(fresh)), sizes)
-        for place in np.flatnonzero(~held).tolist():
-            segment = segments[place]
-            ids = self.pieces.fold(segment) if len(segment) > SEGMENT_CHARS else more.get(segment)
+        others, lacking = {}, []
+        places = np.flatnonzero(~held)
+        for place, segment in zip(places.tolist(), segments.take(pa.array(places)).to_pylist()):
+            ids = self.pieces.fold(segment) if letters[place] > SEGMENT_CHARS else more.get(segment)
             if ids is None:
-                lacking.setdefault(fresh[owner[place]], set()).add(segment)
+                lacking.append(place)
             else:
                 others[place], lengths[place] = ids, len(ids)
         begins = np.cumsum(lengths) - lengths
@@ -297,29 +322,47 @@ class Held:
         out[ragged(begins[held], lengths[held])] = self.ids[ragged(self.ends[at[held]], lengths[held])]
         for place, ids in others.items():
             out[begins[place] : begins[place] + len(ids)] = ids
-        base = len(self.lengths)
-        self.known.update((chunk, base + number) for number, chunk in enumerate(fresh) if chunk not in lacking)
-        self.flat = np.append(self.flat, out)
-        self.lengths = np.append(self.lengths, np.bincount(owner, lengths, len(fresh)).astype(np.int64))
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        return lacking
-
-    def encode(self, texts: list[str], more: list[dict[str, list[int]]]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-        """Ids of each text in a row, their numbers, and segments whose ids are neither held nor in `more`."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        lists, missing = [chunks(text) for text in texts], [set() for _ in texts]
-        fresh = list(set(chain.from_iterable(lists)).difference(self.known))
-        lacking = self.learn(fresh, {segment: ids for own in more for segment, ids in own.items()}) if fresh else {}
-        if lacking:
-            for found, own in zip(lists, missing):
-                own.update(chain.from_iterable(map(lacking.__getitem__, lacking.keys() & set(found))))
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        codes = np.fromiter(map(self.known.get, chain.from_iterable(lists), repeat(-1)), np.int64, int(sizes.sum()))
-        counts = np.where(codes >= 0, self.lengths[codes], 0) if len(codes) else codes
-        ends = np.append(0, np.cumsum(counts))[np.append(0, np.cumsum(sizes))]
-        flat = self.flat[ragged(self.starts[codes], counts)] if len(codes) else np.zeros(0, np.int32)
-        return flat, np.diff(ends), missing
+        return out, lengths, np.array(lacking, np.int64)
+
+    def encode(self, texts: pa.Array, more: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, list[set[str]], bool]:
+        """Ids of each text in a row, their numbers, segments whose ids are neither held nor in `more`, and whether each
+        chunk's ids give the chunk again."""
+        missing = [set() for _ in range(len(texts))]
+        found, codes, sizes = numbered_chunks(texts)
+        if not len(found):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), missing, True
+        segments, letters, numbers, line = self.pieces.split(found)
+        coded = segments.dictionary_encode()
+        own = coded.indices.to_numpy()
+        letters_of = np.zeros(len(coded.dictionary), np.int64)
+        letters_of[own] = letters
+        ids, lengths, lacking = self.look_up(coded.dictionary, letters_of, more)
+        owner = np.repeat(np.arange(len(found)), numbers)
+        if len(lacking):
+            names = dict(zip(lacking.tolist(), coded.dictionary.take(pa.array(lacking)).to_pylist()))
+            places = np.flatnonzero(np.isin(own, lacking))
+            of_chunk: dict[int, set[str]] = {}
+            for chunk, place in zip(owner[places].tolist(), own[places].tolist()):
+                of_chunk.setdefault(chunk, set()).add(names[place])
+            at = np.flatnonzero(np.isin(codes, list(of_chunk)))
+            for text, chunk in zip(np.repeat(np.arange(len(texts)), sizes)[at].tolist(), codes[at].tolist()):
+                missing[text] |= of_chunk[chunk]
+        begins = np.cumsum(lengths) - lengths
+        flat = ids[ragged(begins[own], lengths[own])]
+        counts = np.bincount(owner, lengths[own], len(found)).astype(np.int64)
+        starts = np.cumsum(counts) - counts
+        whole = self.gives(flat, counts, found, line)
+        ends = np.append(0, np.cumsum(counts[codes]))[np.append(0, np.cumsum(sizes))]
+        return flat[ragged(starts[codes], counts[codes])], np.diff(ends), missing, whole
+
+    def gives(self, ids: np.ndarray, counts: np.ndarray, found: pa.Array, line: bytes) -> bool:
+        """Whether the ids of chunks, one chunk after the other, decode to the chunks, with spaces for U+2581."""
+        sizes = self.sizes[ids]
+        if self.letters[ragged(self.stops[ids] - sizes, sizes)].tobytes() != line.replace(SPACE.encode(), b" "):
+            return False
+        whole = pc.add(pc.binary_length(found), pc.subtract(1, pc.cast(pc.starts_with(found, SPACE), pa.int32())))
+        expected = pc.subtract(whole, pc.multiply(2, pc.count_substring(found, SPACE))).to_numpy()
+        return bool((np.bincount(np.repeat(np.arange(len(found)), counts), sizes, len(found)) == expected).all())
 
 
 _LAST: dict[str, Held] = {}
@@ -339,9 +382,11 @@ def _pack(segments: DataFrame) -> tuple:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [xxhash.xxh3_64_intdigest(each) for each in utf8(batch.column("segment"))]
-            ids = [np.array(each, np.int32).tobytes() for each in batch.column("ids").to_pylist()]
-            yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ids, pa.binary())], ["key", "ids"])
+            keys = hashes(batch.column("segment"))
+            ends = np.append(0, np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy() * 4)).astype(np.int32)
+            flat = batch.column("ids").flatten().to_numpy().astype(np.int32)
+            ids = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+            yield pa.record_batch([pa.array(keys.view(np.int64)), ids], ["key", "ids"])
 
     table = segments.select("segment", "ids").mapInArrow(hashed, "key long, ids binary").toArrow()
     keys = table["key"].to_numpy().view(np.uint64)
@@ -365,14 +410,14 @@ def encode(docs: DataFrame, path: str, held: int = HELD_SEGMENTS) -> DataFrame:
     threshold on their count) go to every task; a text with other segments is joined with theirs. A NULL text is empty
     and has no ids; U+2581 in a text reads as a space; NULL ids, repeated rows and empty tables stay as they are."""
 
-    def ids(doc_id: pa.Array, texts: list[str], flat: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    def ids(doc_id: pa.Array, texts: pa.Array, flat: np.ndarray, ends: np.ndarray, _: bool) -> pa.RecordBatch:
         return pa.record_batch([doc_id, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
 
     return _encoded(docs, path, held, ids, "doc_id long, ids array<int>")
 
 
 def _encoded(docs: DataFrame, path: str, held: int, shape: Callable, schema: str) -> DataFrame:
-    """What `shape(doc_ids, texts, ids, ends)` makes of each batch."""
+    """What `shape(doc_ids, texts, ids, ends, whole)` makes of each batch; `whole`: each chunk's ids give the chunk again."""
     rows = docs.select("doc_id", "text")
     segments = stored(encoded_segments(rows, path), "segments")
     least = head_count(segments, held)
@@ -382,14 +427,14 @@ def _encoded(docs: DataFrame, path: str, held: int, shape: Callable, schema: str
     def run(batches: Iterator[pa.RecordBatch], more: bool) -> Iterator[pa.RecordBatch]:
         store = _unpack(shared, path)
         for batch in slices(batches):
-            texts = [text or "" for text in batch.column("text").to_pylist()]
-            own = [{}] * len(texts)
+            own = {}
             if more:
-                own = [dict(zip(a or (), b or ())) for a, b in zip(*(batch.column(name).to_pylist() for name in ("segments", "found")))]
-            flat, counts, missing = store.encode(texts, own)
+                for a, b in zip(*(batch.column(name).to_pylist() for name in ("segments", "found"))):
+                    own.update(zip(a or (), b or ()))
+            flat, counts, missing, whole = store.encode(batch.column("text"), own)
             if any(missing):
                 raise ValueError("a segment without ids")
-            yield shape(batch.column("doc_id").cast(pa.int64()), texts, flat, np.append(0, np.cumsum(counts)))
+            yield shape(batch.column("doc_id").cast(pa.int64()), batch.column("text"), flat, np.append(0, np.cumsum(counts)), whole)
 
     if rare.isEmpty():
         return rows.mapInArrow(lambda batches: run(batches, False), schema)
@@ -397,8 +442,7 @@ def _encoded(docs: DataFrame, path: str, held: int, shape: Callable, schema: str
     def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _unpack(shared, path)
         for batch in slices(batches):
-            texts = [text or "" for text in batch.column("text").to_pylist()]
-            missing = [sorted(each) for each in store.encode(texts, [{}] * len(texts))[2]]
+            missing = [sorted(each) for each in store.encode(batch.column("text"), {})[2]]
             yield pa.record_batch([batch.column("key"), pa.array(missing, pa.list_(pa.string()))], ["key", "missing"])
 
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
@@ -414,10 +458,12 @@ def encode_digest(docs: DataFrame, path: str, held: int = HELD_SEGMENTS) -> Data
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit numbers), round_trip (whether decoding the ids
     gives the text, with U+2581 read as a space) for each row of `docs`."""
 
-    def digest(doc_id: pa.Array, texts: list[str], flat: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-        pieces_of = pieces(path).texts
+    def digest(doc_id: pa.Array, texts: pa.Array, flat: np.ndarray, ends: np.ndarray, whole: bool) -> pa.RecordBatch:
         each = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        same = [decode(ids, pieces_of) == text.replace(SPACE, " ") for ids, text in zip(each, texts)]
+        same = [True] * len(each)
+        if not whole:  # what chunks decode to may still add up to the text
+            plain = [(text or "").replace(SPACE, " ") for text in texts.to_pylist()]
+            same = [decode(ids, pieces(path).texts) == text for ids, text in zip(each, plain)]
         crc = [zlib.crc32(ids.astype("<u4")) for ids in each]
         columns = [doc_id, pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
         return pa.record_batch(columns, ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
