@@ -173,6 +173,32 @@ def test_language_model_scores_by_hand():
         assert fast[at] == pytest.approx(total, abs=1e-4)
 
 
+def test_language_model_sums_rows_in_runs_and_multiplies_factors():
+    """Sums of rows by brute force, rows that all tokens share too; logits too far apart for products; odd white space."""
+    rng = np.random.default_rng(4)
+    for rows in (rng.integers(0, 9, 3000), np.zeros(700, np.int64), rng.integers(0, 100_000, 500), np.zeros(0, np.int64)):
+        sums, each = np.zeros((100_000, 24), np.float32), rng.random((len(rows), 24)).astype(np.float32)
+        expected = sums.astype(np.float64)
+        np.add.at(expected, rows, each)
+        language_model._scatter(sums, rows, each)
+        assert np.allclose(sums, expected, rtol=1e-4)
+    for scale in (0.5, 40.0):
+        choice = language_model.Choice(rng.random((3, 24)), 50)
+        choice.move(rng.normal(0, scale, choice.rows.shape))
+        node, features = rng.integers(0, 3, 4000), [rng.integers(0, 50, 4000) for _ in range(5)]
+        odds, sums = choice.odds(node, features)
+        logits = choice.bias[node] + sum(choice.rows[feature].astype(np.float64) for feature in features)
+        plain = np.exp(logits - logits.max(axis=1, keepdims=True))
+        assert np.allclose(odds / sums[:, None], plain / plain.sum(axis=1, keepdims=True), rtol=1e-2, atol=1e-4)
+    vocabulary = small_language_model()[0]
+    texts = [b"", b" \t\n", b" W1x0\x0b\x0cw2X1\r\n unseen ", "é\u00a0w1x0\u2028 w1x0 \x1c w2x1".encode()]
+    found = vocabulary.encode(texts)
+    every = [word for text in texts for word in language_model.tokens(text)]
+    assert found["sizes"].tolist() == [len(language_model.tokens(text)) for text in texts]
+    assert found["count"].tolist() == [vocabulary.counts[vocabulary.rank[word]] if word in vocabulary.rank else -1 for word in every]
+    assert found["rare"] == [word for word in every if word not in vocabulary.rank]
+
+
 def test_language_model_grows_and_packs():
     small, large = language_model.Shape(10**6, 10**5), language_model.Shape(10**9, 10**7)
     assert large.width > 2 * small.width and large.contexts > 2 * small.contexts

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import chain, repeat
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,8 @@ CONTEXTS = 1024  # feature rows for words before, times the growth; a quarter is
 MOST_WEIGHTS = 16_000_000  # rows stop growing here (64 MB); words, classes and leaves do not
 ROUNDS, RATE, PRIOR = 3, 0.5, 2.0
 CHUNK = 4096  # tokens scored at a time
-FEW = 6  # rows of a chunk with the same feature that are added turn by turn; more are added at once
+BLOCK = 1024  # tokens whose logits are summed at a time, so that they stay in a core's cache
+GATHERED = 32768  # tokens whose gradients are added up at a time
 PIECES = 64  # into which a task's gradient is cut
 STEPS = 2048.0  # of the logarithm of a sum that is passed on
 
@@ -100,14 +103,21 @@ class Vocabulary:
 
     def encode(self, texts: list[bytes]) -> dict[str, np.ndarray | list]:
         """Tokens of all texts in a row: way, leaf (-1: none), count (-1: not among the frequent), contexts."""
-        lists = [tokens(text) for text in texts]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(sizes.sum())
-        rank = np.fromiter(map(self.rank.get, chain.from_iterable(lists), repeat(-1)), np.int64, total)
-        starts = np.cumsum(sizes) - sizes
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+        coded = pa.concat_arrays([lists.flatten().cast(pa.binary()), pa.array([END, b""], pa.binary())]).dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        lengths = pc.list_value_length(lists).to_numpy()
+        codes, end, blank = codes[:-2], codes[-2], codes[-1]
+        of = np.repeat(np.arange(len(texts)), lengths)[codes != blank]  # white space around a text gives empty words
+        sizes = np.bincount(of, minlength=len(texts)) + 1
+        starts, total = np.cumsum(sizes) - sizes, int(sizes.sum())
+        token = np.full(total, end, codes.dtype)
+        token[np.arange(len(of)) + of] = codes[codes != blank]
+        ranks = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
+        rank = ranks[token]
         rare_at = np.flatnonzero(rank < 0)
         of = np.searchsorted(starts, rare_at, side="right") - 1
-        rare = [lists[text][at - starts[text]] for text, at in zip(of.tolist(), rare_at.tolist())]
+        rare = words[token[rare_at]].tolist()
         leaf = self.leaves(ending_keys(rare))
         width = self.shape.width
 
@@ -153,11 +163,35 @@ class Choice:
             self.bias = np.where(sums > 0, np.log(sums), -1e4).astype(np.float32)
         self.rows = np.zeros((rows, sums.shape[1]), np.float32)
 
-    def odds(self, node: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
-        logits = np.take(self.bias, node, axis=0)
-        for feature in features:
-            logits += np.take(self.rows, feature, axis=0)
-        return _odds(logits)
+    def __getstate__(self) -> dict:
+        return {"bias": self.bias, "rows": self.rows}
+
+    @cached_property
+    def factors(self) -> list[np.ndarray]:
+        """exp of biases, over that of the largest, and of weights."""
+        with np.errstate(over="ignore"):
+            return [np.exp(self.bias - self.bias.max()), np.exp(self.rows)]
+
+    def move(self, change: np.ndarray) -> None:
+        self.rows += change.astype(np.float32)
+        self.__dict__.pop("factors", None)
+
+    def odds(self, node: np.ndarray, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the logits, up to a factor of each row, and the sums of rows; shares of the sums are the probabilities."""
+        bias, rows = self.factors
+        out, sums = np.empty((len(node), rows.shape[1]), np.float32), np.empty(len(node), np.float32)
+        more, ones = np.empty((min(len(node), BLOCK), rows.shape[1]), np.float32), np.ones(rows.shape[1], np.float32)
+        for begin in range(0, len(node), BLOCK):
+            at = slice(begin, begin + BLOCK)
+            odds = np.take(bias, node[at], axis=0, out=out[at], mode="clip")
+            with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+                for feature in features:
+                    odds *= np.take(rows, feature[at], axis=0, out=more[: len(odds)], mode="clip")
+                total = np.matmul(odds, ones, out=sums[at])
+            if not (total.min() > 1e-25 and total.max() < 1e35):  # too far apart for products
+                odds[:] = _odds(self.bias[node[at]] + sum(self.rows[feature[at]] for feature in features))
+                sums[at] = odds.sum(axis=1)
+        return out, sums
 
 
 class Model:
@@ -198,7 +232,9 @@ class Model:
         for begin in range(0, len(out), CHUNK):
             at = slice(begin, begin + CHUNK)
             for choice, inner, node, taken, features in self.parts(data, at):
-                out[at][inner] += _log10_share(choice.odds(node, features), taken)
+                odds, sums = choice.odds(node, features)
+                own = odds[np.arange(len(odds)), taken].astype(np.float64)
+                out[at][inner] += np.log10(np.maximum(own / sums, 1e-30))
         return out
 
     def zeros(self) -> np.ndarray:
@@ -213,47 +249,43 @@ class Model:
 
     def gather(self, data: dict, sums: np.ndarray) -> None:
         """Add the observed and expected counts of a batch; the gradient of its log-likelihood is their difference."""
-        views = self.by_choice(sums)
-        for begin in range(0, len(data["first"]), CHUNK):
-            for (choice, _, node, taken, features), view in zip(self.parts(data, slice(begin, begin + CHUNK)), views):
-                expected = choice.odds(node, features)
-                expected /= expected.sum(axis=1, keepdims=True)
+        observed, expected = self.by_choice(sums[0]), self.by_choice(batch := np.zeros(sums.shape[1], np.float32))
+        for begin in range(0, len(data["first"]), GATHERED):
+            for (choice, _, node, taken, features), seen, view in zip(self.parts(data, slice(begin, begin + GATHERED)), observed, expected):
+                shares, sums_of = choice.odds(node, features)
+                shares /= sums_of[:, None]
                 for feature in features:
-                    _scatter(view, feature, taken, expected)
+                    np.add.at(seen.reshape(-1), feature * seen.shape[1] + taken, 1.0)
+                    _scatter(view, feature, shares)
+        sums[1] += batch
 
     def step(self, sums: np.ndarray, rate: float) -> None:
         """Move each weight along its gradient, by the logarithm of observed over expected counts."""
         change = rate * np.log((sums[0] + PRIOR) / (sums[1] + PRIOR))
         for choice, part in zip(self.choices, self.by_choice(change)):
-            choice.rows += part.astype(np.float32)
+            choice.move(part)
 
 
 def _odds(logits: np.ndarray) -> np.ndarray:
-    """exp of the logits, in place, at most 1; shares of their row's sum are the probabilities."""
-    logits -= logits.max(axis=1, keepdims=True)
-    return np.exp(logits, out=logits)
-
-
-def _log10_share(odds: np.ndarray, at: np.ndarray) -> np.ndarray:
-    own = odds[np.arange(len(odds)), at].astype(np.float64)
-    return np.log10(np.maximum(own, 1e-30)) - np.log10(odds.sum(axis=1, dtype=np.float64))
+    return np.exp(logits - logits.max(axis=1, keepdims=True))
 
 
-def _scatter(sums: np.ndarray, rows: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
-    if not len(rows):
-        return
-    np.add.at(sums[0].reshape(-1), rows * sums.shape[2] + observed, 1.0)
-    order = np.argsort(rows.astype(np.uint16), kind="stable") if len(sums[0]) <= 65536 else np.argsort(rows, kind="stable")
+def _scatter(sums: np.ndarray, rows: np.ndarray, expected: np.ndarray) -> None:
+    """Add each row of `expected` to its row of sums; those of one row are summed first, in runs of powers of two."""
+    near = rows - rows.min() if len(rows) else rows
+    order = np.argsort(near.astype(np.uint16) if near.max(initial=0) < 65536 else near, kind="stable")
     ordered = rows[order]
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    sizes = np.diff(first, append=len(order))
-    total = expected[order[first]]
-    for turn in range(1, FEW):
-        more = np.flatnonzero(sizes > turn)
-        total[more] += expected[order[first[more] + turn]]
-    for at in np.flatnonzero(sizes > FEW).tolist():
-        total[at] += expected[order[first[at] + FEW : first[at] + sizes[at]]].sum(axis=0)
-    sums[1][ordered[first]] += total
+    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(rows)])
+    sizes, own = np.diff(begin, append=len(order)), ordered[begin]
+    whole = np.dtype((np.void, sums.itemsize * sums.shape[1]))  # rows are copied as one item
+    places = sums.view(whole)[:, 0]
+    for bit in range(int(sizes.max(initial=0)).bit_length()):
+        run = np.flatnonzero(sizes >> bit & 1)
+        each = np.take(expected, order[np.arange(1 << bit)[:, None] + begin[run]].ravel(), axis=0)
+        total = np.take(sums, own[run], axis=0)
+        total += each.reshape(1 << bit, -1).sum(axis=0).reshape(total.shape) if bit else each
+        places[own[run]] = total.view(whole)[:, 0]
+        begin[run] += 1 << bit
 
 
 def packed(sums: np.ndarray) -> bytes:
