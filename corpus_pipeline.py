@@ -35,7 +35,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, round_trip of each row of the mix."""
-    small_batches(spark)
+    small_batches(spark, 512)  # what a slice has; the JVM's buffers come on top of a full heap
     return sentencepiece_lattice.encode_digest(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

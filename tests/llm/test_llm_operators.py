@@ -651,3 +651,27 @@ def test_pieces_keep_nothing_of_a_batch_and_decode_chunks_not_texts(spark, texts
     held.letters = held.letters.copy()
     held.letters[:] = 0
     assert not held.encode(pa.array(every), {})[3]
+
+
+def test_pieces_need_no_other_workers_and_give_memory_back(spark):
+    """The table of pieces comes without Python workers of its own; ids fit 16 bits where they can; a task's free memory
+    goes back."""
+    from textledger.llm.common import giving_back
+
+    table = sentencepiece_lattice.pieces(PIECE)
+    frame = sentencepiece_lattice.piece_table(spark, table)
+    assert "PythonRDD" not in frame.rdd._jrdd.rdd().toDebugString() and "ExistingRDD" not in frame._jdf.queryExecution().toString()
+    found = {row.piece: (row.score, row.id, row.loose) for row in frame.collect()}
+    assert found == {
+        piece: (table.scores[piece], at, sentencepiece_lattice.is_loose(piece, table.scores)) for piece, at in table.ids.items() if len(piece) > 1
+    }
+    segments = spark.createDataFrame([("ab", [1, 40_000]), ("c", [65_535])], "segment string, ids array<int>")
+    for pieces, kind in ((1 << 16, np.uint16), ((1 << 16) + 1, np.int32)):
+        keys, ends, ids = sentencepiece_lattice._pack(segments, pieces)
+        assert ids.dtype == kind and ends.dtype == np.int32 and sorted(ids.tolist()) == [1, 40_000, 65_535] and len(keys) == len(ends) - 1 == 2
+
+    def work(batches):
+        for batch in batches:
+            yield pa.array(np.arange(batch))
+
+    assert [len(each) for each in giving_back(work)(iter([3, 5]))] == [3, 5]

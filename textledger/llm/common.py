@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -19,9 +21,9 @@ HEAD_WORDS = 1_000_000
 COUNTED_WORDS = 400_000
 
 
-def small_batches(spark: SparkSession) -> SparkSession:
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     """For sessions over long documents: Arrow batches of 1,000 rows, not 10,000, in the JVM and in Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark
 
 
@@ -62,6 +64,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 <<
             yield batch.slice(begin, step)
 
 
+def giving_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`work`, after which free memory of Arrow and of the C library goes back to the system: a worker waits for its next
+    task while the JVM needs its own most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := sys.platform == "linux" and getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return run
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8, NULL as empty."""
     return [text or b"" for text in column.cast(pa.binary()).to_pylist()]

@@ -15,13 +15,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textledger.llm.common import head_count, let, ragged, slices
+from textledger.llm.common import giving_back, head_count, let, ragged, slices
 from textledger.sources.shared import stored
 
-#: Segments whose ids every task may hold (28 bytes each); the ids of others are joined.
+#: Segments whose ids every task may hold (18 bytes each); the ids of others are joined.
 HELD_SEGMENTS = 4_000_000
 
 #: Longer segments, where no border cuts them, are folded where they stand.
@@ -181,7 +181,7 @@ def _segment_counts(docs: DataFrame, path: str) -> DataFrame:
         if seen:
             yield from out()
 
-    parts = docs.select("text").mapInArrow(count, "segment string, n long")
+    parts = docs.select("text").mapInArrow(giving_back(count), "segment string, n long")
     return parts.groupBy("segment").agg(F.sum("n").alias("n"))
 
 
@@ -282,13 +282,24 @@ def fold(segment: Column, edges: Column, byte_id: int, letters: dict[str, int])
     return let(let(edges, steps_of), ids)
 
 
+def piece_table(spark: SparkSession, model: Pieces) -> DataFrame:
+    """piece, score, id, loose of all pieces of two letters or more; from Arrow, as plain rows would start Python workers of
+    another kind beside those that count and encode."""
+    names = [piece for piece in model.ids if len(piece) > 1]
+    columns = {
+        "piece": pa.array(names, pa.string()),
+        "score": pa.array([model.scores[piece] for piece in names], pa.float64()),
+        "id": pa.array([model.ids[piece] for piece in names], pa.int32()),
+        "loose": pa.array([is_loose(piece, model.scores) for piece in names], pa.bool_()),
+    }
+    return spark.createDataFrame(pa.table(columns))
+
+
 def encoded_segments(docs: DataFrame, path: str) -> DataFrame:
     """segment, n, ids of every segment of the texts that is not longer than `SEGMENT_CHARS`."""
     model = pieces(path)
-    rows = [(piece, float(model.scores[piece]), at, is_loose(piece, model.scores)) for piece, at in model.ids.items() if len(piece) > 1]
     letters = {piece: at for piece, at in model.ids.items() if len(piece) == 1}
-    table = docs.sparkSession.createDataFrame(rows, "piece string, score double, id int, loose boolean")
-    edges = lattice(_segment_counts(docs, path), table, model.longest)
+    edges = lattice(_segment_counts(docs, path), piece_table(docs.sparkSession, model), model.longest)
     return edges.select("segment", "n", fold(F.col("segment"), F.col("edges"), model.byte_id, letters).alias("ids"))
 
 
@@ -377,8 +388,8 @@ def _unpack(shared, path: str) -> Held:
     return _LAST[name]
 
 
-def _pack(segments: DataFrame) -> tuple:
-    """Hashes, ends and ids of segments, by hash; at most 4 million of them."""
+def _pack(segments: DataFrame, pieces: int) -> tuple:
+    """Hashes, ends and ids (below `pieces`) of segments, by hash, in few bytes; at most 4 million of them."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,13 +399,14 @@ def _pack(segments: DataFrame) -> tuple:
             ids = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
             yield pa.record_batch([pa.array(keys.view(np.int64)), ids], ["key", "ids"])
 
-    table = segments.select("segment", "ids").mapInArrow(hashed, "key long, ids binary").toArrow()
+    table = segments.select("segment", "ids").mapInArrow(giving_back(hashed), "key long, ids binary").toArrow()
+    small = np.uint16 if pieces <= 1 << 16 else np.int32
     keys = table["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     ids = table["ids"].combine_chunks().cast(pa.large_binary()).take(pa.array(order))
     ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8) if len(ids) else np.zeros(1, np.int64)
     flat = np.frombuffer(ids.buffers()[2], np.int32, int(ends[-1]) // 4) if len(ids) and ends[-1] else np.zeros(0, np.int32)
-    return keys[order], ends // 4, flat
+    return keys[order], (ends // 4).astype(np.int32), flat.astype(small)
 
 
 def decode(ids: np.ndarray, texts: list[bytes]) -> str:
@@ -421,7 +433,7 @@ def _encoded(docs: DataFrame, path: str, held: int, shape: Callable, schema: str
     rows = docs.select("doc_id", "text")
     segments = stored(encoded_segments(rows, path), "segments")
     least = head_count(segments, held)
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *_pack(segments.where(F.col("n") >= least))))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *_pack(segments.where(F.col("n") >= least), len(pieces(path).texts))))
     rare = segments.where(F.col("n") < least)
 
     def run(batches: Iterator[pa.RecordBatch], more: bool) -> Iterator[pa.RecordBatch]:
@@ -437,7 +449,7 @@ def _encoded(docs: DataFrame, path: str, held: int, shape: Callable, schema: str
             yield shape(batch.column("doc_id").cast(pa.int64()), batch.column("text"), flat, np.append(0, np.cumsum(counts)), whole)
 
     if rare.isEmpty():
-        return rows.mapInArrow(lambda batches: run(batches, False), schema)
+        return rows.mapInArrow(giving_back(lambda batches: run(batches, False)), schema)
 
     def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _unpack(shared, path)
@@ -446,12 +458,12 @@ def _encoded(docs: DataFrame, path: str, held: int, shape: Callable, schema: str
             yield pa.record_batch([batch.column("key"), pa.array(missing, pa.list_(pa.string()))], ["key", "missing"])
 
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    needed = keyed.select("key", "text").mapInArrow(lacking, "key long, missing array<string>")
+    needed = keyed.select("key", "text").mapInArrow(giving_back(lacking), "key long, missing array<string>")
     needed = needed.select("key", F.explode("missing").alias("segment")).distinct().join(rare.select("segment", "ids"), "segment")
     found = needed.groupBy("key").agg(F.collect_list(F.struct("segment", "ids")).alias("found"))
     found = found.select(F.col("key").alias("_key"), F.col("found.segment").alias("segments"), F.col("found.ids").alias("found"))
     joined = keyed.join(found, F.col("key") == F.col("_key"), "left").select("doc_id", "text", "segments", "found")
-    return joined.mapInArrow(lambda batches: run(batches, True), schema)
+    return joined.mapInArrow(giving_back(lambda batches: run(batches, True)), schema)
 
 
 def encode_digest(docs: DataFrame, path: str, held: int = HELD_SEGMENTS) -> DataFrame:
