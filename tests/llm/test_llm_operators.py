@@ -675,3 +675,43 @@ def test_pieces_need_no_other_workers_and_give_memory_back(spark):
             yield pa.array(np.arange(batch))
 
     assert [len(each) for each in giving_back(work)(iter([3, 5]))] == [3, 5]
+
+
+def test_language_model_adds_what_follows_a_word_in_one_piece():
+    """Sums and odds of the first choice by windows are those by features, between texts and at the ends of parts too."""
+    vocabulary, model, words, texts, data, _ = small_language_model()
+    whole = model.zeros()
+    model.gather(data, whole)
+    assert whole.nbytes == 8 * whole.shape[1]  # no more than one float for each weight and sum
+    plain = np.zeros(whole.shape)
+    for at in (slice(0, 1), slice(1, len(data["first"]))):
+        for (choice, _, node, taken, features), seen, view in zip(model.parts(data, at), model.by_choice(plain[0]), model.by_choice(plain[1])):
+            odds, sums = choice.odds(node, features)
+            for feature in features:
+                np.add.at(seen, (feature, taken), 1)
+                np.add.at(view, feature, odds / sums[:, None])
+    assert np.array_equal(whole[0], plain[0]) and np.allclose(whole[1], plain[1], rtol=1e-3, atol=1e-4)
+    language_model.GATHERED, kept = 7, language_model.GATHERED
+    try:
+        parts = model.zeros()
+        model.gather(data, parts)
+    finally:
+        language_model.GATHERED = kept
+    assert np.array_equal(parts[0], whole[0]) and np.allclose(parts[1], whole[1], rtol=1e-3, atol=1e-4)
+    first = model.choices[0]
+    first.move(np.random.default_rng(5).normal(0, 40, first.rows.shape))  # too far apart for products
+    odds, sums = model.first_odds(*model.window(data, slice(None)))
+    _, _, node, _, features = next(model.parts(data, slice(None)))
+    logits = first.bias[node] + sum(first.rows[feature].astype(np.float64) for feature in features)
+    shares = np.exp(logits - logits.max(axis=1, keepdims=True))
+    place = data["places"] - data["places"][0]
+    assert np.allclose((odds / sums[:, None])[place], shares / shares.sum(axis=1, keepdims=True), rtol=1e-2, atol=1e-4)
+
+
+def test_language_model_passes_sums_on_before_they_grow_too_large(given, monkeypatch):
+    """Floats of 32 bits take no more ones at 2**24, so a task gives out its sums before."""
+    frame = given.limit(150)
+    whole = language_model.score_texts(frame).agg(F.sum("score")).first()[0]
+    assert language_model.SUMMED * 2 <= 1 << 24
+    monkeypatch.setattr(language_model, "SUMMED", 1000)
+    assert language_model.score_texts(frame).agg(F.sum("score")).first()[0] == pytest.approx(whole, rel=1e-3)

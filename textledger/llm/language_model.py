@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textledger.llm.common import HEAD_WORDS, counted, fold, head_count, slices, utf8
+from textledger.llm.common import HEAD_WORDS, counted, fold, giving_back, head_count, slices, utf8
 from textledger.sources.shared import stored
 
 SINGLE, MIDDLE, TAIL = 32, 16, 16  # first choices: frequent words, classes of words of middle counts, classes of all others
@@ -29,9 +29,11 @@ FIRST = SINGLE + MIDDLE + TAIL
 CONTEXTS = 1024  # feature rows for words before, times the growth; a quarter is shared by words that have none of their own
 MOST_WEIGHTS = 16_000_000  # rows stop growing here (64 MB); words, classes and leaves do not
 ROUNDS, RATE, PRIOR = 3, 0.5, 2.0
+BEFORE, SLOTS = 4, 3  # words before a token that its first choice looks at, and a word's rows for it: the last two share one
 CHUNK = 4096  # tokens scored at a time
 BLOCK = 1024  # tokens whose logits are summed at a time, so that they stay in a core's cache
-GATHERED = 32768  # tokens whose gradients are added up at a time
+SUMMED = 1 << 23  # tokens whose gradients a task adds up before it passes them on
+GATHERED = 150_000  # tokens whose gradients are added up at a time
 PIECES = 64  # into which a task's gradient is cut
 STEPS = 2048.0  # of the logarithm of a sum that is passed on
 
@@ -102,7 +104,8 @@ class Vocabulary:
         return self.shape.plain + leaf // self.shape.width * 2654435761 % (self.shape.contexts - 1 - self.shape.plain)
 
     def encode(self, texts: list[bytes]) -> dict[str, np.ndarray | list]:
-        """Tokens of all texts in a row: way, leaf (-1: none), count (-1: not among the frequent), contexts."""
+        """Tokens of all texts in a row: way, leaf (-1: none), count (-1: not among the frequent), places among the contexts of
+        all texts, where `BEFORE` more stand before each text (`padded`)."""
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
         coded = pa.concat_arrays([lists.flatten().cast(pa.binary()), pa.array([END, b""], pa.binary())]).dictionary_encode()
         words, codes = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
@@ -136,6 +139,10 @@ class Vocabulary:
             out[place < back] = start
             return out
 
+        places = np.arange(total) + np.repeat(np.arange(1, len(texts) + 1) * BEFORE, sizes)
+        padded = np.full(total + len(texts) * BEFORE, self.shape.contexts - 1)
+        padded[places] = context
+
         return {
             "sizes": sizes,
             "starts": starts,
@@ -144,7 +151,8 @@ class Vocabulary:
             "third": each(self.third, leaf % width),
             "leaf": each(self.leaf, leaf),
             "count": each(self.counts, -1),
-            "contexts": [before(context, back, self.shape.contexts - 1) for back in (1, 2, 3, 4)],
+            "places": places,
+            "padded": padded,
             "coarse": [before(first, back, FIRST) for back in (1, 2)],
             "rare": rare,
             "rare_of": of,
@@ -211,15 +219,19 @@ class Model:
         self.choices = [Choice(first[None, :], 5 * rows), Choice(second, 6 * rows), Choice(third, 2 * rows)]
 
     def parts(self, data: dict, at: slice) -> Iterator[tuple[Choice, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        rows, first = self.shape.contexts, data["first"][at]
+        contexts = [data["padded"][data["places"][at] - back] for back in range(1, BEFORE + 1)]
+        features = [SLOTS * context + min(turn, SLOTS - 1) for turn, context in enumerate(contexts)]
+        features.append(SLOTS * rows + _hashed(*contexts[:2], 2 * rows))
+        yield self.choices[0], np.arange(len(first)), np.zeros_like(first), first, features
+        yield from self.later_parts(data, at)
+
+    def later_parts(self, data: dict, at: slice) -> Iterator[tuple[Choice, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
         rows, width = self.shape.contexts, self.shape.width
         first, second, third = data["first"][at], data["second"][at], data["third"][at]
-        one, two, three, four = (context[at] for context in data["contexts"])
-        pair = _hashed(one, two, 2 * rows)
-        every = np.arange(len(first))
-        yield self.choices[0], every, np.zeros_like(first), first, [one, rows + two, 2 * rows + three, 2 * rows + four, 3 * rows + pair]
         inner = np.flatnonzero(second >= 0)
-        node = first[inner] - SINGLE
-        features = [2 * rows * turn + _hashed(node, context[inner], 2 * rows) for turn, context in enumerate((one, two, three))]
+        node, own = first[inner] - SINGLE, data["places"][at][inner]
+        features = [2 * rows * turn + _hashed(node, data["padded"][own - 1 - turn], 2 * rows) for turn in range(3)]
         yield self.choices[1], inner, node, second[inner], features
         inner = np.flatnonzero(third >= 0)
         node = (first[inner] - SINGLE - MIDDLE) * width + second[inner]
@@ -231,15 +243,54 @@ class Model:
         out = np.zeros(len(data["first"]))
         for begin in range(0, len(out), CHUNK):
             at = slice(begin, begin + CHUNK)
-            for choice, inner, node, taken, features in self.parts(data, at):
+            odds, sums = self.first_odds(*self.window(data, at))
+            place = data["places"][at] - data["places"][begin]
+            own = odds[place, data["first"][at]].astype(np.float64)
+            out[at] = np.log10(np.maximum(own / sums[place], 1e-30))
+            for choice, inner, node, taken, features in self.later_parts(data, at):
                 odds, sums = choice.odds(node, features)
                 own = odds[np.arange(len(odds)), taken].astype(np.float64)
                 out[at][inner] += np.log10(np.maximum(own / sums, 1e-30))
         return out
 
+    def window(self, data: dict, at: slice) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts before and at the places of a chunk, from `BEFORE` places before the first one, and the rows of pairs."""
+        places = data["places"][at]
+        contexts = data["padded"][places[0] - BEFORE : places[-1] + 1]
+        return contexts, SLOTS * self.shape.contexts + _hashed(contexts[3:-1], contexts[2:-2], 2 * self.shape.contexts)
+
+    def first_odds(self, contexts: np.ndarray, pair: np.ndarray, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """What `Choice.odds` gives for the first choice at every place of a window, those between texts too: a word's rows
+        lie side by side, so they are looked up once for all places after it."""
+        choice, rows = self.choices[0], SLOTS * self.shape.contexts
+        bias, weights = choice.factors
+        words = weights[:rows].reshape(-1, SLOTS * FIRST)
+        out = np.empty((len(pair), FIRST), np.float32) if out is None else out
+        sums, ones = np.empty(len(pair), np.float32), np.ones(FIRST, np.float32)
+        found = np.empty((min(len(pair), BLOCK) + BEFORE - 1, SLOTS * FIRST), np.float32)
+        for begin in range(0, len(pair), BLOCK):
+            at = slice(begin, begin + BLOCK)
+            odds = np.take(weights, pair[at], axis=0, out=out[at], mode="clip")
+            n = len(odds)
+            each = np.take(words, contexts[begin : begin + n + BEFORE - 1], axis=0, out=found[: n + BEFORE - 1], mode="clip")
+            with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+                odds *= bias[0]
+                for turn in range(BEFORE):
+                    slot, back = min(turn, SLOTS - 1), BEFORE - 1 - turn
+                    odds *= each[back : back + n, slot * FIRST : (slot + 1) * FIRST]
+                total = np.matmul(odds, ones, out=sums[at])
+            if not (total.min() > 1e-25 and total.max() < 1e35):  # too far apart for products
+                logits = choice.bias[0] + choice.rows[pair[at]]
+                for turn in range(BEFORE):
+                    back = begin + BEFORE - 1 - turn
+                    logits += choice.rows[SLOTS * contexts[back : back + n] + min(turn, SLOTS - 1)]
+                odds[:] = _odds(logits)
+                sums[at] = odds.sum(axis=1)
+        return out, sums
+
     def zeros(self) -> np.ndarray:
-        """Two sums for each weight: observed and expected."""
-        return np.zeros((2, sum(choice.rows.size for choice in self.choices)))
+        """Two sums for each weight, observed and expected, of at most `SUMMED` tokens: beyond, adding 1 would be lost."""
+        return np.zeros((2, sum(choice.rows.size for choice in self.choices)), np.float32)
 
     def by_choice(self, flat: np.ndarray) -> list[np.ndarray]:
         """Of an array whose last axis runs over all weights: views in the shapes of the rows."""
@@ -249,15 +300,40 @@ class Model:
 
     def gather(self, data: dict, sums: np.ndarray) -> None:
         """Add the observed and expected counts of a batch; the gradient of its log-likelihood is their difference."""
-        observed, expected = self.by_choice(sums[0]), self.by_choice(batch := np.zeros(sums.shape[1], np.float32))
-        for begin in range(0, len(data["first"]), GATHERED):
-            for (choice, _, node, taken, features), seen, view in zip(self.parts(data, slice(begin, begin + GATHERED)), observed, expected):
+        observed, expected = self.by_choice(sums[0]), self.by_choice(sums[1])
+        words = np.zeros((self.shape.contexts, BEFORE * FIRST), np.float32)
+        total = len(data["first"])
+        step = -(-total // max(1, -(-total // GATHERED)))  # parts of even size
+        for begin in range(0, total, max(1, step)):
+            at = slice(begin, begin + step)
+            self.gather_first(data, at, observed[0], words, expected[0])
+            for (choice, _, node, taken, features), seen, view in zip(self.later_parts(data, at), observed[1:], expected[1:]):
                 shares, sums_of = choice.odds(node, features)
                 shares /= sums_of[:, None]
                 for feature in features:
-                    np.add.at(seen.reshape(-1), feature * seen.shape[1] + taken, 1.0)
+                    np.add.at(seen.reshape(-1), feature * seen.shape[1] + taken, np.float32(1))
                     _scatter(view, feature, shares)
-        sums[1] += batch
+        own = expected[0][: SLOTS * self.shape.contexts].reshape(self.shape.contexts, SLOTS * FIRST)
+        own += words[:, : SLOTS * FIRST]
+        own[:, -FIRST:] += words[:, SLOTS * FIRST :]
+
+    def gather_first(self, data: dict, at: slice, seen: np.ndarray, words: np.ndarray, view: np.ndarray) -> None:
+        """`gather` for the first choice: what the places after a word expect lies side by side and is added in one piece."""
+        contexts, pair = self.window(data, at)
+        shares = np.zeros((len(contexts) + BEFORE, FIRST), np.float32)
+        own = shares[BEFORE:-BEFORE]
+        _, sums_of = self.first_odds(contexts, pair, own)
+        places, taken = data["places"][at], data["first"][at]
+        inside = np.zeros(len(pair), np.float32)
+        inside[places - places[0]] = 1
+        own *= (inside / sums_of)[:, None]  # nothing is expected between texts
+        after = np.ndarray(len(contexts), (np.void, BEFORE * FIRST * 4), shares, FIRST * 4, (FIRST * 4,))
+        _scatter(words, contexts, after)
+        _scatter(view, pair, own)
+        for turn in range(BEFORE):
+            row = SLOTS * data["padded"][places - 1 - turn] + min(turn, SLOTS - 1)
+            np.add.at(seen.reshape(-1), row * FIRST + taken, np.float32(1))
+        np.add.at(seen.reshape(-1), pair[places - places[0]] * FIRST + taken, np.float32(1))
 
     def step(self, sums: np.ndarray, rate: float) -> None:
         """Move each weight along its gradient, by the logarithm of observed over expected counts."""
@@ -271,7 +347,8 @@ def _odds(logits: np.ndarray) -> np.ndarray:
 
 
 def _scatter(sums: np.ndarray, rows: np.ndarray, expected: np.ndarray) -> None:
-    """Add each row of `expected` to its row of sums; those of one row are summed first, in runs of powers of two."""
+    """Add each row of `expected`, which may be one item of bytes, to its row of sums; those of one row are summed first, in
+    runs of powers of two."""
     near = rows - rows.min() if len(rows) else rows
     order = np.argsort(near.astype(np.uint16) if near.max(initial=0) < 65536 else near, kind="stable")
     ordered = rows[order]
@@ -280,12 +357,15 @@ def _scatter(sums: np.ndarray, rows: np.ndarray, expected: np.ndarray) -> None:
     whole = np.dtype((np.void, sums.itemsize * sums.shape[1]))  # rows are copied as one item
     places = sums.view(whole)[:, 0]
     for bit in range(int(sizes.max(initial=0)).bit_length()):
-        run = np.flatnonzero(sizes >> bit & 1)
-        each = np.take(expected, order[np.arange(1 << bit)[:, None] + begin[run]].ravel(), axis=0)
-        total = np.take(sums, own[run], axis=0)
-        total += each.reshape(1 << bit, -1).sum(axis=0).reshape(total.shape) if bit else each
-        places[own[run]] = total.view(whole)[:, 0]
-        begin[run] += 1 << bit
+        every = np.flatnonzero(sizes >> bit & 1)
+        step = max(1, BLOCK >> bit)  # so that they stay in a core's cache
+        for run in (every[first : first + step] for first in range(0, len(every), step)):
+            at = order[np.arange(1 << bit)[:, None] + begin[run]].ravel()
+            each = np.take(expected, at, axis=0) if expected.ndim > 1 else expected[at].view(sums.dtype).reshape(len(at), sums.shape[1])
+            total = np.take(sums, own[run], axis=0)
+            total += each.reshape(1 << bit, -1).sum(axis=0).reshape(total.shape) if bit else each
+            places[own[run]] = total.view(whole)[:, 0]
+        begin[every] += 1 << bit
 
 
 def packed(sums: np.ndarray) -> bytes:
@@ -353,19 +433,27 @@ def train(docs: DataFrame, shared, model: Model, rounds: int = ROUNDS, rate: flo
 
         def gradients(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
             model, vocabulary = current.value, _vocabulary(shared)
-            sums = None
-            for batch in slices(batches, 256):
-                sums = model.zeros() if sums is None else sums
-                model.gather(vocabulary.encode(utf8(batch.column("text"))), sums)
-            if sums is not None:
+            sums, tokens = model.zeros(), 0
+
+            def out() -> pa.RecordBatch:
                 pieces = [packed(piece) for piece in np.array_split(sums, PIECES, axis=1)]
-                yield pa.record_batch([pa.array(range(PIECES), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "sums"])
+                return pa.record_batch([pa.array(range(PIECES), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "sums"])
+
+            for batch in slices(batches):
+                data = vocabulary.encode(utf8(batch.column("text")))
+                if tokens and tokens + len(data["first"]) > SUMMED:
+                    yield out()
+                    sums[:], tokens = 0, 0
+                model.gather(data, sums)
+                tokens += len(data["first"])
+            if tokens:
+                yield out()
 
         def add(frame: pd.DataFrame) -> pd.DataFrame:
             total = sum(unpacked(each) for each in frame["sums"])
             return pd.DataFrame({"piece": [int(frame.piece.iloc[0])], "sums": [packed(total)]})
 
-        rows = docs.where(part == at).select("text").coalesce(few).mapInArrow(gradients, "piece int, sums binary")
+        rows = docs.where(part == at).select("text").coalesce(few).mapInArrow(giving_back(gradients), "piece int, sums binary")
         summed = rows.groupBy("piece").applyInPandas(add, "piece int, sums binary").collect()
         if summed:
             pieces = [unpacked(row["sums"]).reshape(2, -1) for row in sorted(summed, key=lambda row: row.piece)]
@@ -408,7 +496,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = ready.value, _vocabulary(shared)
         row = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, 256):
+        for batch in slices(batches):
             data = words.encode(utf8(batch.column("text")))
             seen = np.log10(np.maximum(data["count"], 0) + 1.0)
             token = token_scores(model, words, data)
@@ -430,7 +518,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             row += batch.num_rows
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
-    rows = stored(docs.withColumn("held_out", is_held).mapInArrow(scores, schema), "scores")
+    rows = stored(docs.withColumn("held_out", is_held).mapInArrow(giving_back(scores), schema), "scores")
     rare = rows.select("row", F.explode("rare").alias("word"))
     rare = rare.join(counts.where(F.col("n") < least), "word")
     rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("gain"))
