@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -677,6 +678,37 @@ def test_pieces_need_no_other_workers_and_give_memory_back(spark):
     assert [len(each) for each in giving_back(work)(iter([3, 5]))] == [3, 5]
 
 
+def test_ids_are_packed_in_little_of_the_drivers_memory(spark, docs, monkeypatch):
+    """Ids come to the driver in 16 bits, are put in order in steps, and what was free after that goes back."""
+    rng = np.random.default_rng(3)
+    lengths, keys = rng.integers(0, 9, 200_000), rng.permutation(200_000) * 91 - 9_000_000
+    rows = [rng.integers(0, 1 << 16, n).astype(np.uint16) for n in lengths]
+    column = pa.array([each.tobytes() for each in rows], pa.binary())
+    whole = pa.table({"key": pa.array(keys), "ids": column})
+    table = pa.concat_tables([whole.slice(0, 70_001), whole.slice(5, 0), whole.slice(70_001)])
+    tracemalloc.start()
+    try:
+        found, ends, ids = sentencepiece_lattice.by_key(table, np.dtype(np.uint16))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    order = np.argsort(keys.view(np.uint64))
+    assert found.tolist() == keys.view(np.uint64)[order].tolist() and ids.dtype == np.uint16
+    assert ends.tolist() == np.append(0, np.cumsum(lengths[order])).tolist() and ids.tolist() == np.concatenate([rows[at] for at in order]).tolist()
+    assert peak < 2.5 * (found.nbytes + ends.nbytes + ids.nbytes)
+    empty = sentencepiece_lattice.by_key(whole.schema.empty_table(), np.dtype(np.int32))
+    assert [each.tolist() for each in empty] == [[], [0], []]
+
+    sent, given = [], []
+    monkeypatch.setattr(sentencepiece_lattice, "by_key", lambda table, small, by_key=sentencepiece_lattice.by_key: sent.append(table) or by_key(table, small))
+    monkeypatch.setattr(sentencepiece_lattice, "give_back", lambda: given.append(len(sent)))
+    segments = spark.createDataFrame([("ab", [1, 40_000]), ("c", [65_535])], "segment string, ids array<int>")
+    sentencepiece_lattice._pack(segments, 1 << 16)
+    assert sorted(map(len, sent[0]["ids"].to_pylist())) == [2, 4]
+    sentencepiece_lattice.encode_digest(docs, PIECE)
+    assert given == [2]
+
+
 def test_language_model_adds_what_follows_a_word_in_one_piece():
     """Sums and odds of the first choice by windows are those by features, between texts and at the ends of parts too."""
     vocabulary, model, words, texts, data, _ = small_language_model()

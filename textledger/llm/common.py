@@ -64,15 +64,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 <<
             yield batch.slice(begin, step)
 
 
+def give_back() -> None:
+    """Free memory of Arrow and of the C library goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := sys.platform == "linux" and getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def giving_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`work`, after which free memory of Arrow and of the C library goes back to the system: a worker waits for its next
-    task while the JVM needs its own most."""
+    """`work`, after which free memory goes back: a worker waits for its next task while the JVM needs its own most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := sys.platform == "linux" and getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
-            trim(0)
+        give_back()
 
     return run
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textledger.llm.common import giving_back, head_count, let, ragged, slices
+from textledger.llm.common import give_back, giving_back, head_count, let, ragged, slices
 from textledger.sources.shared import stored
 
 #: Segments whose ids every task may hold (18 bytes each); the ids of others are joined.
@@ -390,23 +390,47 @@ def _unpack(shared, path: str) -> Held:
 
 def _pack(segments: DataFrame, pieces: int) -> tuple:
     """Hashes, ends and ids (below `pieces`) of segments, by hash, in few bytes; at most 4 million of them."""
+    small = np.dtype(np.uint16 if pieces <= 1 << 16 else np.int32)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = hashes(batch.column("segment"))
-            ends = np.append(0, np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy() * 4)).astype(np.int32)
-            flat = batch.column("ids").flatten().to_numpy().astype(np.int32)
+            ends = np.append(0, np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy() * small.itemsize)).astype(np.int32)
+            flat = batch.column("ids").flatten().to_numpy().astype(small)
             ids = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
             yield pa.record_batch([pa.array(keys.view(np.int64)), ids], ["key", "ids"])
 
-    table = segments.select("segment", "ids").mapInArrow(giving_back(hashed), "key long, ids binary").toArrow()
-    small = np.uint16 if pieces <= 1 << 16 else np.int32
+    return by_key(segments.select("segment", "ids").mapInArrow(giving_back(hashed), "key long, ids binary").toArrow(), small)
+
+
+def by_key(table: pa.Table, small: np.dtype, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, ends and ids, from rows of a key and the bytes of its ids. The rows go once they are read, and ids move
+    in steps, as their places at once would take more than they do."""
     keys = table["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    ids = table["ids"].combine_chunks().cast(pa.large_binary()).take(pa.array(order))
-    ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8) if len(ids) else np.zeros(1, np.int64)
-    flat = np.frombuffer(ids.buffers()[2], np.int32, int(ends[-1]) // 4) if len(ids) and ends[-1] else np.zeros(0, np.int32)
-    return keys[order], (ends // 4).astype(np.int32), flat.astype(small)
+    order = np.argsort(keys).astype(np.int32)
+    keys = keys[order]
+    values = table["ids"].cast(pa.binary())
+    del table
+    lengths = pc.binary_length(values).to_numpy().astype(np.int32) // np.int32(small.itemsize)
+    flat = np.frombuffer(b"".join(map(_bytes_of, values.chunks)), small)
+    del values
+    starts = np.cumsum(lengths, dtype=np.int32) - lengths
+    ends = np.zeros(len(order) + 1, np.int32)
+    np.cumsum(lengths[order], dtype=np.int32, out=ends[1:])
+    ids = np.empty_like(flat)
+    for at in range(0, len(order), step):
+        some = order[at : at + step]
+        ids[ends[at] : ends[at + len(some)]] = flat[ragged(starts[some], lengths[some])]
+    return keys, ends, ids
+
+
+def _bytes_of(column: pa.Array) -> memoryview:
+    """The bytes of all values of a binary column without NULL, one after the other."""
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return memoryview(b"")
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return memoryview(data)[offsets[0] : offsets[-1]]
 
 
 def decode(ids: np.ndarray, texts: list[bytes]) -> str:
@@ -434,6 +458,7 @@ def _encoded(docs: DataFrame, path: str, held: int, shape: Callable, schema: str
     segments = stored(encoded_segments(rows, path), "segments")
     least = head_count(segments, held)
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *_pack(segments.where(F.col("n") >= least), len(pieces(path).texts))))
+    give_back()  # the driver's Python stands beside its JVM
     rare = segments.where(F.col("n") < least)
 
     def run(batches: Iterator[pa.RecordBatch], more: bool) -> Iterator[pa.RecordBatch]:
